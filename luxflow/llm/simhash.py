@@ -79,7 +79,7 @@ def _links(radius: int, tile: int):
     """Rows sorted by bucket key come in; the links of a spanning forest of each bucket go out."""
 
     def bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        pops = np.bitwise_count(fp)
+        pops = np.bitwise_count(fp).astype(np.int16)
         order = np.lexsort((pops, key))
         cuts = np.nonzero(np.diff(key[order]))[0] + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
