@@ -1,21 +1,51 @@
-"""A training corpus out of documents, in five stages."""
+"""A training corpus out of documents, in five stages.
+
+Each stage works on all that the one before kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from luxflow.llm import simhash
+from luxflow.llm import langid, packing, pii, simhash, suffix_dedup
 from luxflow.llm.common import read_table, written
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def recounted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where they have it, as the length of the text as it now is."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: those without letters, and those of which no language is likelier than not."""
+    return langid.keep_known(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that still occur more than once go; documents of which nothing is left go with them."""
+    return recounted(suffix_dedup.clean(docs))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return recounted(pii.redact(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces, with their places in training sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("simhash_near_dedup", simhash_near_dedup), ("suffix_array_dedup", suffix_array_dedup), ("pii", redact_pii), ("best_fit_packing", best_fit_packing)]
 
-#: SQL can't express fingerprints' components, trained classifiers and packing.
+#: SQL can't express trained classifiers, components of fingerprints and packing.
 ORACLE_SQL = None
 
 

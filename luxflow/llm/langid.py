@@ -145,3 +145,25 @@ def identify(docs: DataFrame, sample: int = 5000, margin: float = 0.2) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out_fold), pa.array(lang), pa.array(np.clip(score, 0, 1)), pa.array(unsure)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     return texts_of(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_known(docs: DataFrame, sample: int = 5000, least: float = 0.5) -> DataFrame:
+    """docs without the rows that have no letters or whose best language scores below least; all stay where nothing can be learnt."""
+    model = train(docs, sample)
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            kept = []
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
+            for k in range(0, len(known), 256):
+                at = known[k : k + 256]
+                chance = m.predict(features(np.stack([ngram_counts(texts[i]) for i in at])))[1]
+                kept += [i for i, c in zip(at, chance.tolist(), strict=True) if c >= least]
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -117,36 +117,33 @@ def _removed(window: int, limit: int):
     return run
 
 
+def _kept(data: bytes, copies: int, spans: list[dict] | None, window: int) -> tuple[bytes, int]:
+    """The bytes left, and how many runs went."""
+    gone = [(0, len(data))] if copies > 1 and len(data) >= window else merged([(s["start"], s["end"]) for s in spans or ()])
+    parts, at = [], 0
+    for a, b in gone:
+        parts.append(data[at:a])
+        at = b
+    return b"".join([*parts, data[at:]]), len(gone)
+
+
 def _apply(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for text, copies, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "copies", "spans")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                gone = [(0, len(data))] if copies > 1 and len(data) >= window else merged([(s["start"], s["end"]) for s in spans or ()])
-                parts, at = [], 0
-                for a, b in gone:
-                    parts.append(data[at:a])
-                    at = b
-                kept = b"".join([*parts, data[at:]])
-                for column, value in zip(out, (len(data), len(data) - len(kept), len(gone), kept), strict=True):
+                kept, n = _kept(data, copies, spans, window)
+                for column, value in zip(out, (len(data), len(data) - len(kept), n, kept), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept), one row per input row; kept: the bytes left.
-
-    Each byte in a string of `window` bytes of one document that also starts elsewhere,
-    in it or another, goes; all occurrences do. n_spans: maximal removed runs. Null texts
-    are empty; of texts that occur as they are in several rows all bytes go, unless
-    shorter than window. window is 14 at least, and not 2 modulo 7. Anchors with over `hot` contexts are
-    not sent to one bucket: their windows are grouped by 128 bits of hash instead.
-    """
+def _spans(texts: DataFrame, window: int, gram: int, hot: int, block: int) -> DataFrame:
+    """(key, start, end): for each distinct text, runs of its bytes that go, copies of whole texts aside."""
     units = Units(byte_units, window, gram)
-    texts = keyed_texts(docs)
     found = recurring(texts, units, within=True)
     often = [r["h"] for r in found.where(F.col("n") > hot).select("h").collect()]  # at most the number of anchors over `hot`
     sent = contexts(texts, units, found.where(F.col("n") <= hot) if often else found)
@@ -155,10 +152,50 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
         held = hot_windows(texts, units, often).select("w1", "w2", "key", "start").distinct()
         again = held.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1")
         spans = spans.unionAll(held.join(again, ["w1", "w2"], "left_semi").select("key", "start", (F.col("start") + window).alias("end")))
-    rows = with_spans(texts, spans).select("doc_id", "copies", "spans", "text")
+    return spans
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept), one row per input row; kept: the bytes left.
+
+    Each byte in a string of `window` bytes of one document that also starts elsewhere,
+    in it or another, goes; all occurrences do. n_spans: maximal removed runs. Null texts
+    are empty; of texts that occur as they are in several rows all bytes go, unless
+    shorter than window. window is 14 at least, and not 2 modulo 7. Anchors with over
+    `hot` contexts are not sent to one bucket: their windows are grouped by 128 bits of
+    hash instead.
+    """
+    texts = keyed_texts(docs)
+    rows = with_spans(texts, _spans(texts, window, gram, hot, block)).select("doc_id", "copies", "spans", "text")
     return rows.mapInArrow(_apply(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """docs, in their own columns, without the bytes that dedup removes; rows that lose their whole text go. Halves of characters at a cut go too."""
+    texts = keyed_texts(docs)
+    found = _spans(texts, window, gram, hot, block)
+    tagged = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce(docs["text"], F.lit("")).alias("text"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))).alias("key"), docs["doc_id"].cast("long").alias("doc_id"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rows = [], []
+            for i, (text, copies, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (f"c{at}", "copies", "spans")), strict=True)):
+                left = text
+                if text and (copies > 1 or spans):
+                    kept, n = _kept(text.encode("utf-8", "surrogatepass"), copies, spans, window)
+                    left = kept.decode("utf-8", "ignore") if n else text
+                if left or not text:
+                    texts.append(left)
+                    rows.append(i)
+            held = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else held.column(f"c{i}") for i in range(len(columns))], columns)
+
+    columns = docs.columns
+    needed = [f"c{i}" for i in range(len(columns))]
+    return with_spans(tagged, found).select(*needed, "copies", "spans").mapInArrow(run, docs.schema)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of dedup."""
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
