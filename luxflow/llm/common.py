@@ -54,3 +54,12 @@ def chunked(items: Iterator[tuple[str, int]], limit: int) -> Iterator[list]:
             out, total = [], 0
     if out:
         yield out
+
+
+def trim(cache: dict[str, bytes], limit: int, short: int = 8) -> None:
+    """Keeps a cache of words below limit: long words, which seldom come again, go first."""
+    if len(cache) > limit:
+        kept = {w: x for w, x in cache.items() if len(w) <= short}
+        cache.clear()
+        if len(kept) <= limit // 2:
+            cache.update(kept)

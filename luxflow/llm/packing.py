@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunked, columns, texts_of, written
-from .word_bpe import WordBpe
+from .word_bpe import word_bpe
 
 LIMIT = 2048
 
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, end = WordBpe(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder, end = word_bpe(tokenizer), np.array([end_id], "<u4").tobytes()
         for ids, texts in columns(batches, "doc_id", "text"):
             out: tuple[list, ...] = ([], [], [], [], [])
             raws = (raw for part in chunked(((t, len(t)) for t in texts), 4_000_000) for raw in coder.encode_raw(part))

@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import columns, texts_of
+from .common import columns, texts_of, trim
 
 NONE = np.int64(1 << 40)
 SPACE = "▁"
@@ -26,7 +27,7 @@ SPACE = "▁"
 class Codec:
     """Encodes and decodes as the sentencepiece library does for a BPE model with identity normalisation."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 400_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         if sp.normalize("a éﬁ  b") != f"{SPACE}a{SPACE}éﬁ{SPACE}{SPACE}b":
@@ -138,10 +139,9 @@ class Codec:
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         """Ids without begin and end, little-endian unsigned 32-bit, of each text."""
         split = [self.words.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
+        trim(self.cache, self.limit)
         cache = self.cache
-        missing = list({w for s in split for w in s} - cache.keys())
+        missing = list(set().union(*split) - cache.keys())
         for i in range(0, len(missing), 50_000):
             part = missing[i : i + 50_000]
             cache.update(zip(part, self.merge_words(part), strict=True))
@@ -191,6 +191,12 @@ class Codec:
         return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One per Python worker, so that its tasks share what they have merged."""
+    return Codec(path)
+
+
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per input row, whole texts.
 
@@ -199,7 +205,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         head, tail = np.array([codec.bos], "<u4").tobytes(), np.array([codec.eos], "<u4").tobytes()
         for ids, texts in columns(batches, "doc_id", "text"):
             out: tuple[list, ...] = ([], [], [])

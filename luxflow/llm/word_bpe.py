@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
+from array import array
+from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
+from .common import trim
+
 #: Split pattern and normaliser of the vocabulary that the fast way below repeats; other files take the library's way throughout.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+_CHARS = [chr(c) for c in range(0x250)] + sorted({x for c in range(0x250) for x in chr(c).lower() if ord(x) >= 0x250})
+
+
 class WordBpe:
     """encode_raw(texts): each text's ids, little-endian unsigned 32-bit, without special tokens; their strings in a text are ordinary text.
 
@@ -21,7 +26,7 @@ class WordBpe:
     split here; others go to the library whole.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -29,22 +34,26 @@ class WordBpe:
         kinds = [p["type"] for p in (parts["normalizer"] or {}).get("normalizers", [])]
         splits = [p.get("pattern") for p in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.known = kinds == ["NFC", "Replace", "Lowercase"] and splits == [{"Regex": SPLIT}, None]
-        chars = [c for c in map(chr, range(sys.maxunicode)) if ord(c) <= 0x24F or ord(c) < 0x2D00 and any(c in chr(x).lower() for x in (0x23A, 0x23E, 0x243, 0x244, 0x245, 0x246))]
-        letters, numbers = ("".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == k) for k in "LN")
+        letters, numbers = ("".join(re.escape(c) for c in _CHARS if unicodedata.category(c)[0] == k) for k in "LN")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
         self.odd = re.compile("[^\t-\r -~\xa0-ɏ]|İ").search
         self.cache: dict[str, bytes] = {}
         self.limit = cache
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
+        trim(self.cache, self.limit)
         cache, whole = self.cache, [not self.known or self.odd(t) is not None for t in texts]
         split = [None if w else self.split(t.lower()) for t, w in zip(texts, whole, strict=True)]
-        missing = list({w for s in split if s for w in s if w not in cache})
+        missing = list(set().union(*filter(None, split)) - cache.keys())
         cache.update(zip(missing, self._library(missing), strict=True))
         other = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
         return [next(other) if s is None else b"".join(map(cache.__getitem__, s)) for s in split]
+
+
+@lru_cache(maxsize=1)
+def word_bpe(path: str) -> WordBpe:
+    """One per Python worker, so that its tasks share what they have encoded."""
+    return WordBpe(path)
