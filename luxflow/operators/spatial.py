@@ -40,10 +40,10 @@ def rectify(events: DataFrame, mapping: DataFrame, height: int, width: int) -> D
 
 def prerectify(events: DataFrame, mapping: DataFrame, height: int, width: int) -> DataFrame:
     """rectify, with idx dense again in the old order."""
-    from ..schema import dense_index
+    from ..schema import dense_again
 
     kept = rectify(events, mapping, height, width).withColumnRenamed("idx", "_old")
-    return dense_index(kept, ["_old"]).drop("_old")
+    return dense_again(kept, "_old").drop("_old")
 
 
 def pinhole_map(spark: SparkSession, height: int, width: int, calibration: tuple[float, ...], rounds: int = 20) -> DataFrame:

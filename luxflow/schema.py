@@ -7,7 +7,7 @@ A `recording` column may lead; operators take partition columns as `by`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,17 +56,32 @@ def camera_view(events: DataFrame) -> DataFrame:
     )
 
 
-def dense_index(df: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
+BUCKETS, BUCKET_ROWS = 256, 500_000
+
+
+def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """df with a dense 0-based index in the given order, without sending all rows to one task.
 
-    Rows are range-partitioned by the order; each takes its place in its partition plus
-    the sizes of the partitions before, which is a table of one row per partition.
+    Rows go to buckets by value of the first column, at about even quantiles of it; a
+    row's index is its place in its bucket plus the sizes of the buckets before, a table
+    of BUCKETS rows at most. Buckets are made of values, not of partitions, so the
+    two uses of them always agree.
     """
-    from pyspark.sql import Window
+    number = F.col(order[0]).cast("double")
+    n, *cuts = df.agg(F.count("*"), F.percentile_approx(number, [k / BUCKETS for k in range(1, BUCKETS)], 2000)).first()
+    parts = min(BUCKETS, n // BUCKET_ROWS + 1)
+    cuts = sorted({float(c) for c in (cuts[0] or [])[:: max(1, BUCKETS // parts)]}) if parts > 1 else []
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < number)) if cuts else F.lit(0)
+    return _numbered(df.withColumn("_part", bucket), order, name)
+
+
+def dense_again(df: DataFrame, order: str, name: str = "idx", bucket: int = 1 << 18) -> DataFrame:
+    """As dense_index for one whole-number column, such as an index that has lost rows: buckets of equal width, no look at the data."""
+    return _numbered(df.withColumn("_part", F.floor(F.col(order) / bucket)), [order], name)
+
 
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("_place", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND((1 << 33) - 1))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    sizes = df.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return df.withColumn("_place", place).join(before, "_part").withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import dense_index, polarity
+from ..schema import dense_again, polarity
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(idx, value): the lines of a text file with their dense place in it.
 
     Partitions of a file scan follow the file, so a line's place is its place in its
-    partition plus the lines of the partitions before.
+    partition, which needs no shuffle, plus the lines of the partitions before.
     """
     raw = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    return dense_index(raw, ["_id"]).drop("_id")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = raw.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return raw.withColumn("_part", part).join(F.broadcast(before), "_part").select((F.col("_before") + place).alias("idx"), "value")  # a row for each partition
 
 
 def fields(value: Column, pattern: str = r"\s+") -> Column:
@@ -27,7 +30,7 @@ def fields(value: Column, pattern: str = r"\s+") -> Column:
 def data_lines(df: DataFrame, comment: str = "#") -> DataFrame:
     """Without blank lines and comments, idx dense again."""
     kept = df.where((F.trim("value") != "") & ~F.ltrim("value").startswith(comment)).withColumnRenamed("idx", "_old")
-    return dense_index(kept, ["_old"]).drop("_old")
+    return dense_again(kept, "_old").drop("_old")
 
 
 def parse_events(rows: DataFrame, rule: str = "truthy") -> DataFrame:
