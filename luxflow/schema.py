@@ -67,7 +67,8 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame
     of BUCKETS rows at most. Buckets are made of values, not of partitions, so the
     two uses of them always agree.
     """
-    number = F.col(order[0]).cast("double")
+    timed = dict(df.dtypes)[order[0]].startswith("timestamp")
+    number = (F.unix_micros(F.col(order[0]).cast("timestamp")) if timed else F.col(order[0])).cast("double")
     n, *cuts = df.agg(F.count("*"), F.percentile_approx(number, [k / BUCKETS for k in range(1, BUCKETS)], 2000)).first()
     parts = min(BUCKETS, n // BUCKET_ROWS + 1)
     cuts = sorted({float(c) for c in (cuts[0] or [])[:: max(1, BUCKETS // parts)]}) if parts > 1 else []
