@@ -604,6 +604,38 @@ def src01_text_round_trip(spark, d):
     return text.parse_events(lines_.select("idx", "value"), rule="positive").select("idx", F.round("t", 6).alias("t"), "x", "y", F.col("p").cast("int").alias("p"))
 
 
+# --- streams --------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """The rows of a stream over the events table that has run until nothing is left."""
+    import uuid
+
+    from .streaming import live
+
+    raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    name = f"stream_{uuid.uuid4().hex}"
+    rows = camera_view(raw).withColumn("recording", F.lit("events"))
+    q = make(rows.select(*[c.split()[0] for c in live.EVENTS.split(", ")])).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query(f"WITH {CAM} SELECT t_us // 3600000000 * 3600000000 AS start_us, CAST(sum(CAST(p AS INTEGER)) AS BIGINT) AS \"on\", CAST(sum(CAST(NOT p AS INTEGER)) AS BIGINT) AS \"off\" FROM cam GROUP BY 1")
+def str05_stream_windows(spark, d):
+    from .streaming import live
+
+    return _streamed(spark, d, lambda s: live.window_counts(s, 3_600_000_000, 1_000_000), "complete").select("start_us", "on", "off")
+
+
+@query(f"WITH {LATE}, s AS (SELECT *, greatest(0, max(own) OVER (ORDER BY idx)) AS slice FROM raw) SELECT CAST(slice AS BIGINT) AS slice, y, x, CAST(sum(CAST(p AS INTEGER)) AS BIGINT) AS \"on\", CAST(sum(CAST(NOT p AS INTEGER)) AS BIGINT) AS \"off\" FROM s GROUP BY 1, 2, 3")
+def str10_stream_slices(spark, d):
+    from .streaming import live
+
+    n = _streamed(spark, d, lambda s: live.slice_counts(shaken(s), 7_200_000_000), "append")
+    return n.groupBy("slice", "y", "x").agg(F.sum("on").alias("on"), F.sum("off").alias("off"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
