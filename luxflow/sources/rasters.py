@@ -173,15 +173,19 @@ def read_hdf5(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]
         if any(len(f[k]) != n for k, _ in columns.values()):
             raise ValueError("datasets differ in length")
 
+    schema = spark.createDataFrame([], "idx long, " + ", ".join(f"{name} {kind}" for name, (_, kind) in columns.items())).schema
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import h5py
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        kinds = to_arrow_schema(schema)
         for batch in batches:
             for block in batch.column(0).to_pylist():
                 low, high = block * rows, min(n, (block + 1) * rows)
                 with h5py.File(path) as f:
                     held = [np.asarray(f[k][low:high]) for k, _ in columns.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), *[pa.array(a if a.ndim == 1 else list(a)) for a in held]], ["idx", *columns])
+                arrays = [np.arange(low, high), *held]
+                yield pa.RecordBatch.from_arrays([pa.array(a if a.ndim == 1 else list(a)).cast(f.type) for a, f in zip(arrays, kinds, strict=True)], schema=kinds)
 
-    schema = "idx long, " + ", ".join(f"{name} {kind}" for name, (_, kind) in columns.items())
     return spark.range(-(-n // rows)).mapInArrow(run, schema)

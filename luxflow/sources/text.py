@@ -33,13 +33,13 @@ def data_lines(df: DataFrame, comment: str = "#") -> DataFrame:
     return dense_again(kept, "_old").drop("_old")
 
 
-def parse_events(rows: DataFrame, rule: str = "truthy") -> DataFrame:
+def parse_events(rows: DataFrame, rule: str = "positive") -> DataFrame:
     """(idx, value) lines of `t x y p` as (idx, t, x, y, p)."""
     f = fields(F.col("value"))
     return rows.select("idx", f[0].cast("double").alias("t"), f[1].cast("int").alias("x"), f[2].cast("int").alias("y"), polarity(f[3].cast("int"), rule).alias("p"))
 
 
-def read_events(spark: SparkSession, path: str, rule: str = "truthy") -> DataFrame:
+def read_events(spark: SparkSession, path: str, rule: str = "positive") -> DataFrame:
     return parse_events(lines(spark, path), rule)
 
 
