@@ -175,7 +175,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-copies: of each component the row with the smallest doc_id stays, in its own columns."""
+    """The documents without near-copies: of each component the row with the smallest doc_id stays, in its own columns.
+
+    Of rows that repeat an id one stays. Rows without an id can't be told apart, and go.
+    """
     found = near_duplicates(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
