@@ -2,68 +2,121 @@
 
 A text is a run of units (bytes or words). Of each window of units the anchor is the
 k-gram of least hash in it, the leftmost of equals, so equal windows have the same
-anchor at the same place. Anchors are counted over all distinct texts; round each that
+anchor at the same place. Anchors are counted over all distinct texts. Round each that
 recurs, the text of the windows that it anchors (its context) is sent to the anchor's
-bucket, where windows are compared exactly. Equal texts are dealt with as one.
+bucket, once for each task that meets it, and windows are compared exactly there. What
+is found for a context is joined to its occurrences, and only texts in which something
+was found are shuffled to have it removed.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import texts_of, written
 from .hashing import Spans, sliding_min
 
-#: Bits of the filter of recurring anchors that every task gets: 16 MB, whatever the input.
-FILTER_BITS = 1 << 27
+#: Bits of a filter that every task gets: 16 MB, whatever the input.
+FILTER_LOG = 27
+LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class Units:
-    """How a text is cut into units, and how many make a window and an anchor.
+    """How texts are cut into units, and how many make a window and an anchor.
 
-    cut(text) gives the bytes that windows are compared by, and each unit's start and
-    end in them.
+    cut(texts) gives the bytes of all texts, one after another, that windows are
+    compared by, each unit's start and end in them, and each text's number of units.
     """
 
-    cut: Callable[[str], tuple[bytes, np.ndarray, np.ndarray]]
+    cut: Callable[[list[str]], tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]
     window: int
     gram: int
 
 
-def byte_units(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    data = text.encode("utf-8", "surrogatepass")
+def byte_units(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = b"".join(raw)
     at = np.arange(len(data) + 1)
-    return data, at[:-1], at[1:]
+    return data, at[:-1], at[1:], np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def word_units(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Words between white space, joined by one space."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(words) else ends
-    return b" ".join(words), starts, ends
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def anchors(units: Units, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per anchor in order: its hash, its unit, the first window that it anchors and the one after the last."""
-    n = len(starts)
-    windows = n - units.window + 1
-    if windows < 1:
-        none = np.empty(0, np.int64)
-        return none, none, none, none
-    hashes = Spans(np.frombuffer(data, np.uint8)).of(starts[: n - units.gram + 1], ends[units.gram - 1 :])
-    keyed = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    least = sliding_min(keyed, units.window - units.gram + 1)
-    first = np.concatenate([[0], np.nonzero(np.diff(least))[0] + 1])
-    unit = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return hashes[unit].view(np.int64), unit, first, np.append(first[1:], windows)
+def joined_words(text: str) -> bytes:
+    """The words of text, joined by one space."""
+    raw = text.encode("utf-8", "surrogatepass").translate(_SPACES)
+    return b" ".join(raw.split()) if b"  " in raw or raw[:1] == b" " or raw[-1:] == b" " else raw
+
+
+def word_units(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    raw = list(map(joined_words, texts))
+    data = b" ".join(filter(None, raw))
+    spaces = np.nonzero(np.frombuffer(data, np.uint8) == 32)[0]
+    count = np.fromiter((r.count(b" ") + 1 if r else 0 for r in raw), np.int64, len(raw))
+    if not data:
+        return data, spaces, spaces, count
+    return data, np.concatenate([[0], spaces + 1]), np.append(spaces, len(data)), count
+
+
+@dataclass
+class Batch:
+    """Texts with their doc_ids and keys, the bytes of all, and their anchors in order.
+
+    Of an anchor: its hash, text, unit, the first window that it anchors and the one
+    after the last (counted from the text's start), its context's place in data and
+    hash; begin: where each text's units begin, of all.
+    """
+
+    docs: list[int]
+    keys: list[bytes]
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    begin: np.ndarray
+    text: np.ndarray
+    h: np.ndarray
+    unit: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    context: np.ndarray
+
+    def only(self, hit: np.ndarray) -> Batch:
+        """With those anchors only."""
+        names = ("text", "h", "unit", "first", "last", "low", "high", "context")
+        return replace(self, **{n: getattr(self, n)[hit] for n in names})
+
+
+def anchors(units: Units, docs: list[int], keys: list[bytes], texts: list[str]) -> Batch:
+    data, starts, ends, count = units.cut(texts)
+    begin = np.cumsum(count) - count
+    n, reach = len(starts), units.window - 1
+    owner = np.repeat(np.arange(len(texts)), count)
+    inside = np.nonzero(owner[: max(n - reach, 0)] == owner[reach:])[0]
+    if not len(inside):
+        return Batch(docs, keys, data, starts, ends, begin, *[np.empty(0, np.int64)] * 8)
+    spans = Spans(np.frombuffer(data, np.uint8))
+    keyed = spans.rough(starts[: n - units.gram + 1], ends[units.gram - 1 :]) & np.uint64(0xFFFFFFFF00000000)
+    keyed |= np.arange(len(keyed), dtype=np.uint64)
+    least = sliding_min(keyed, units.window - units.gram + 1)[inside]
+    turn = np.nonzero((least[1:] != least[:-1]) | (inside[1:] != inside[:-1] + 1))[0] + 1
+    head = np.concatenate([[0], turn])
+    first, last = inside[head], inside[np.append(turn, len(inside)) - 1] + 1
+    unit = (least[head] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    text = owner[first]
+    low, high = starts[first], ends[last + units.window - 2]
+    h = spans.of(starts[unit], ends[unit + units.gram - 1]).view(np.int64)
+    return Batch(docs, keys, data, starts, ends, begin, text, h, unit - begin[text], first - begin[text], last - begin[text], low, high, spans.of(low, high).view(np.int64))
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -71,124 +124,239 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return texts_of(docs).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - 27)).astype(np.int64)
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in names), strict=True)
 
 
-def recurring(texts: DataFrame, units: Units, within: bool) -> DataFrame:
-    """(h, n) of the anchors in at least two distinct texts, or, if within, twice in one; n: how many anchors there are with that hash, as a bound on its contexts."""
+def _met(batches: Iterator[pa.RecordBatch], units: Units, bits: np.ndarray | None = None, size: int = 1 << 16) -> Iterator[Batch]:
+    """The distinct texts of a task, about size characters at a time, with their anchors, or those in the filter.
+
+    A text comes again if a smaller doc_id has it; a null one counts as the largest.
+    """
+    seen: dict[bytes, int] = {}
+    docs: list[int] = []
+    keys: list[bytes] = []
+    texts: list[str] = []
+    total = 0
+
+    def made() -> Batch:
+        found = anchors(units, docs, keys, texts)
+        return found if bits is None else found.only(np.nonzero(marked(bits, found.h))[0])
+
+    for doc_id, key, text in _rows(batches, "doc_id", "key", "text"):
+        doc = LAST if doc_id is None else doc_id
+        if seen.get(key, LAST + 1) <= doc:
+            continue
+        seen[key] = doc
+        docs.append(doc)
+        keys.append(key)
+        texts.append(text)
+        total += len(text)
+        if total > size:
+            yield made()
+            docs, keys, texts, total = [], [], [], 0
+    if texts:
+        yield made()
+
+
+def recurring(texts: DataFrame, units: Units) -> DataFrame:
+    """(h) of the anchors in at least two distinct texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            hs, keys, twice = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                h, times = np.unique(anchors(units, *units.cut(text))[0], return_counts=True)
-                hs.append(h)
-                twice.append((times > 1) & within)
-                keys.append(np.full(len(h), int.from_bytes(key[:8], "little", signed=True)))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(twice))], ["h", "key", "twice"])
-
-    found = texts.select("key", "text").mapInArrow(run, "h long, key long, twice boolean")
-    grouped = found.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max("twice").alias("twice"), F.count("*").alias("n"))
-    return written(grouped.where("least < most OR twice").select("h", "n"), "recurring")
-
-
-def _filter(found: DataFrame) -> np.ndarray:
-    """Bytes of a bitmap with the recurring hashes' leading 27 bits set."""
-    bit = F.shiftrightunsigned("h", 64 - 27)
-    parts = found.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+        for found in _met(batches, units):
+            order = np.lexsort((found.h, found.text))
+            h, text = found.h[order], found.text[order]
+            start = np.nonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]))[0] if len(h) else order
+            keys = np.fromiter(map(key_hash, found.keys), np.int64, len(found.keys))
+            yield pa.RecordBatch.from_arrays([pa.array(h[start]), pa.array(keys[text[start]])], ["h", "key"])
+
+    found = texts.select("doc_id", "key", "text").mapInArrow(run, "h long, key long")
+    return written(found.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h"), "recurring")
+
+
+def met(texts: DataFrame, units: Units, bits: np.ndarray | None) -> DataFrame:
+    """(h, context, key, doc, first, last) of each anchor, or of those in the filter, of the distinct texts of each task; context is 64 bits of hash."""
+    held = sent_filter(texts.sparkSession, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _met(batches, units, held()):
+            keys, docs = pa.array(found.keys, pa.binary()), np.array(found.docs, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.h), pa.array(found.context), keys.take(pa.array(found.text)), pa.array(docs[found.text]), pa.array(found.first.astype(np.int32)), pa.array(found.last.astype(np.int32))], ["h", "context", "key", "doc", "first", "last"])
+
+    return texts.mapInArrow(run, "h long, context long, key binary, doc long, first int, last int")
+
+
+def contexts_met(texts: DataFrame, units: Units) -> DataFrame:
+    """(h, context, doc, times) of all anchors: each context of a text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _met(batches, units):
+            if not len(found.h):
+                continue
+            order = np.lexsort((found.context, found.h, found.text))
+            h, context, text = found.h[order], found.context[order], found.text[order]
+            start = np.nonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (text[1:] != text[:-1])]))[0]
+            docs = np.array(found.docs, np.int64)[text[start]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[start], context[start], docs, np.diff(np.append(start, len(h))))], ["h", "context", "doc", "times"])
+
+    return texts.mapInArrow(run, "h long, context long, doc long, times long")
+
+
+def profile(rows: DataFrame) -> DataFrame:
+    """(h, mixed, least, most, times, n) of each anchor in rows (h, context, doc, times).
+
+    times: in how many places of distinct texts of a task it is met; least and most: the
+    smallest and largest doc_id there; mixed: its contexts differ; n: a bound on their
+    number.
+    """
+    found = rows.groupBy("h").agg(F.min("context").alias("a"), F.max("context").alias("b"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.sum("times").alias("times"), F.count("*").alias("n"))
+    return found.select("h", (F.col("a") != F.col("b")).alias("mixed"), "least", "most", "times", "n")
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bytes of a filter with a bit set for the leading bits of each value of a long column."""
+    bit = F.shiftrightunsigned(column, 64 - FILTER_LOG)
+    parts = hashes.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    out = np.zeros((1 << FILTER_LOG) // 8, np.uint8)
     for r in parts.toLocalIterator():  # at most 4096 rows of 4 kB
         out[r["part"] * 4096 : r["part"] * 4096 + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-def contexts(texts: DataFrame, units: Units, found: DataFrame) -> DataFrame:
-    """(h, key, doc_id, first, count, at, context) for each anchor that recurs, of each distinct text and task.
+def sent_filter(spark: SparkSession, bits: np.ndarray | None) -> Callable[[], np.ndarray | None]:
+    """A function that gives bits in a task; a filter with few bits set is small on its way there."""
+    if bits is None:
+        return lambda: None
+    held = spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+    return lambda: np.frombuffer(zlib.decompress(held.value), np.uint8)
 
-    first and count: the windows that it anchors; context: the units of those windows;
-    at: the anchor's place among them. Of equal texts in a task one is sent, with the
-    smallest doc_id so far.
-    """
-    held = texts.sparkSession.sparkContext.broadcast(_filter(found))  # of fixed size
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes.view(np.uint64) >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def key_hash(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+CONTEXTS = "h long, context long, at int, least long, most long, times long, text binary"
+
+
+def contexts(texts: DataFrame, units: Units, bits: np.ndarray) -> DataFrame:
+    """CONTEXTS rows: a task sends each context that it meets once, and at its end a row without text for it: in how many places it was met, and the smallest and largest doc_id there."""
+    held = sent_filter(texts.sparkSession, bits)
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["h", "context", "at", "least", "most", "times", "text"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
-        seen: dict[bytes, int] = {}
-        names = ["h", "key", "doc_id", "first", "count", "at", "context"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        out: list[list] = [[] for _ in names]
+        stats: dict[tuple[int, int], list[int]] = {}
+        rows: list[tuple] = []
         size = 0
-        for batch in batches:
-            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
-                order = doc_id if doc_id is not None else 1 << 63
-                if seen.get(key, 1 << 64) <= order:
-                    continue
-                seen[key] = order
-                data, starts, ends = units.cut(text)
-                h, unit, first, last = anchors(units, data, starts, ends)
-                if not len(h):
-                    continue
-                bit = _bits(h)
-                hit = np.nonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)[0]
-                lows, highs = starts[first[hit]].tolist(), ends[last[hit] + units.window - 2].tolist()
-                rows = (h[hit].tolist(), [key] * len(hit), [doc_id] * len(hit), first[hit].tolist(), (last - first)[hit].tolist(), (unit - first)[hit].tolist(), [data[a:b] for a, b in zip(lows, highs, strict=True)])
-                for column, values in zip(out, rows, strict=True):
-                    column.extend(values)
-                size += sum(highs) - sum(lows)
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-                    out, size = [[] for _ in names], 0
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    return texts.mapInArrow(run, "h long, key binary, doc_id long, first int, count int, at int, context binary")
-
-
-def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """The columns of contexts, sorted by h, in runs of whole buckets of about limit bytes; each (key, first) of a bucket once, with its smallest doc_id."""
-    top = np.iinfo(np.int64).max
-    held: list[tuple] = []
-    size = 0
-
-    def cut(rows: list[tuple]) -> tuple:
-        h, keys, doc, first, count, at, context = zip(*rows, strict=True)
-        return np.array(h, np.int64), list(keys), np.array(doc, np.int64), np.array(first, np.int64), np.array(count, np.int64), np.array(at, np.int64), list(context)
+        for found in _met(batches, units, held()):
+            docs = [found.docs[i] for i in found.text.tolist()]
+            for h, context, doc, place, low, high in zip(found.h.tolist(), found.context.tolist(), docs, (found.unit - found.first).tolist(), found.low.tolist(), found.high.tolist(), strict=True):
+                own = stats.get((h, context))
+                if own is None:
+                    stats[h, context] = [doc, doc, 1]
+                    rows.append((h, context, place, None, None, None, found.data[low:high]))
+                    size += high - low
+                else:
+                    own[0], own[1], own[2] = min(own[0], doc), max(own[1], doc), own[2] + 1
+            if size > 4_000_000:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+        rows = [(*k, None, *v, None) for k, v in stats.items()]
+        stats.clear()
+        for i in range(0, len(rows), 50_000):
+            yield batch(rows[i : i + 50_000])
+
+    return texts.mapInArrow(run, CONTEXTS)
+
+
+def decided(texts: DataFrame, units: Units, found: DataFrame, places: DataFrame, hot: int, compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> tuple[DataFrame, list[int]]:
+    """(key, doc, start, end, before) of the runs of units to look at, and the mixed anchors of over hot contexts, which are left out.
+
+    found: profiles of the anchors that recur; places: met. Where all of an anchor's
+    contexts are the same, all its windows recur, first in the document `before`;
+    others' contexts go to compare, which gives (h, context, a, b, before) for runs of
+    windows.
+    """
+    often = [r["h"] for r in found.where(F.col("mixed") & (F.col("n") > hot)).select("h").collect()]  # at most the number of anchors over `hot`
+    mixed = found.where(F.col("mixed") & (F.col("n") <= hot))
+    sent = contexts(texts, units, bitmap(mixed, "h")).repartition("h").sortWithinPartitions("h")
+    runs = sent.mapInArrow(compare, "h long, context long, a int, b int, before long")
+    parts = places.join(runs, ["h", "context"]).select("key", "doc", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b")).alias("end"), "before")
+    whole = places.join(found.where("NOT mixed").select("h", F.col("least").alias("before")), "h")
+    return parts.unionAll(whole.select("key", "doc", F.col("first").alias("start"), (F.col("last") + F.lit(units.window - 1)).alias("end"), "before")), often
+
+
+@dataclass
+class Block:
+    """Distinct contexts of whole buckets: bucket number, anchor, hash, the anchor's place, text, smallest and largest doc_id, number of places."""
+
+    bucket: np.ndarray
+    h: np.ndarray
+    context: np.ndarray
+    at: np.ndarray
+    text: list[bytes]
+    least: np.ndarray
+    most: np.ndarray
+    times: np.ndarray
+
+    def batch(self, own: np.ndarray, a: np.ndarray, b: np.ndarray, before: np.ndarray | None) -> pa.RecordBatch:
+        """What was found for contexts own."""
+        last = pa.nulls(len(a), pa.int64()) if before is None else pa.array(before)
+        return pa.RecordBatch.from_arrays([pa.array(self.h[own]), pa.array(self.context[own]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), last], ["h", "context", "a", "b", "before"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Block]:
+    """Rows of CONTEXTS, sorted by h, as blocks of about limit bytes; buckets of one context met in one place hold nothing and are left out."""
+    kept: list[list] = []
+    bucket: dict[int, list] = {}
+    size, number, last = 0, 0, None
+
+    def close() -> None:
+        nonlocal number, size
+        if len(bucket) > 1 or any(c[5] > 1 for c in bucket.values()):
+            kept.extend([number, last, context, *own] for context, own in ((k, v[1:]) for k, v in bucket.items()))
+            size += sum(len(c[2]) for c in bucket.values())
+            number += 1
+        bucket.clear()
+
+    def cut() -> Block:
+        columns = list(zip(*kept, strict=True))
+        kept.clear()
+        return Block(*[np.array(c, np.int64) for c in columns[:4]], list(columns[4]), *[np.array(c, np.int64) for c in columns[5:]])
+
+    for h, context, at, least, most, times, text in _rows(batches, "h", "context", "at", "least", "most", "times", "text"):
+        if h != last:
+            close()
+            last = h
+            if size > limit:
+                yield cut()
+                size, number = 0, 0
+        own = bucket.setdefault(context, [None, 0, b"", LAST, -LAST - 1, 0])
+        if text is not None:
+            own[1], own[2] = at, text
+        else:
+            own[3], own[4], own[5] = min(own[3], least), max(own[4], most), own[5] + times
+    close()
+    if kept:
+        yield cut()
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            row = (*row[:2], top if row[2] is None else row[2], *row[3:])
-            last = held[-1] if held else None
-            if last is not None and last[0] == row[0]:
-                if last[1] == row[1] and last[3] == row[3]:
-                    held[-1] = (*last[:2], min(last[2], row[2]), *last[3:])
-                    continue
-            elif size > limit:
-                yield cut(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[6])
-    if held:
-        yield cut(held)
-
-
-def distinct_contexts(h: np.ndarray, context: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Per row the number of its (h, context); those contexts; their buckets' numbers."""
-    number: dict[tuple[int, bytes], int] = {}
-    row = np.fromiter((number.setdefault(x, len(number)) for x in zip(h.tolist(), context, strict=True)), np.int64, len(h))
-    bucket = np.unique(np.fromiter((x[0] for x in number), np.int64, len(number)), return_inverse=True)[1]
-    return row, [x[1] for x in number], bucket
-
-
-def runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    """Start and end of each run of true values."""
-    edge = np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))
-    return list(zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True))
+
+def spread(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per item of a list of lists, one after another: its list's value, and its number in the list."""
+    return np.repeat(values, count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -202,41 +370,72 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def window_runs(mask: np.ndarray, value: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts' windows one after another, count[i] of context i -> context, start and end unit, value of each run of marked windows of one value."""
+    own, local = spread(np.arange(len(count)), count)
+    turn = np.concatenate([[True], (own[1:] != own[:-1]) | (value[1:] != value[:-1])])
+    before = np.concatenate([[False], mask[:-1]]) & ~turn
+    after = np.concatenate([mask[1:], [False]]) & ~np.concatenate([turn[1:], [True]])
+    start, end = np.nonzero(mask & ~before)[0], np.nonzero(mask & ~after)[0]
+    return own[start], local[start], local[end] + window, value[start]
+
+
 def hot_windows(texts: DataFrame, units: Units, hot: list[int]) -> DataFrame:
-    """(w1, w2, key, doc_id, start) of each window that an anchor in hot anchors: two hashes of the window in place of its text."""
+    """(w1, w2, key, doc, start) of each window that an anchor in hot anchors: two hashes of the window in place of its text."""
     held = texts.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64)))  # anchors of over `hot` contexts each: few
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = held.value
-        for batch in batches:
-            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
-                data, starts, ends = units.cut(text)
-                h, _, first, last = anchors(units, data, starts, ends)
-                hit = np.nonzero(np.isin(h, wanted))[0]
-                if not len(hit):
-                    continue
-                at = np.concatenate([np.arange(a, b) for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)])
-                raw = np.frombuffer(data, np.uint8)
-                w1 = Spans(raw).of(starts[at], ends[at + units.window - 1])
-                w2 = Spans(raw[::-1]).of(len(raw) - ends[at + units.window - 1], len(raw) - starts[at])
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array([key] * len(at), pa.binary()), pa.array([doc_id] * len(at), pa.int64()), pa.array(at.astype(np.int32))], ["w1", "w2", "key", "doc_id", "start"])
-
-    return texts.mapInArrow(run, "w1 long, w2 long, key binary, doc_id long, start int")
-
-
-def row_spans(mask: np.ndarray, count: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """mask: rows' windows one after another, count[i] of row i -> row, start and end unit of each run of marked windows."""
-    row = np.repeat(np.arange(len(count)), count)
-    local = np.arange(len(mask)) - np.repeat(np.cumsum(count) - count, count)
-    turn = np.concatenate([[True], row[1:] != row[:-1]])
-    before = np.concatenate([[False], mask[:-1]]) & ~turn
-    after = np.concatenate([mask[1:], [False]]) & ~np.concatenate([turn[1:], [True]])
-    start, end = np.nonzero(mask & ~before)[0], np.nonzero(mask & ~after)[0]
-    return row[start], first[row[start]] + local[start], first[row[end]] + local[end] + window
+        for found in _met(batches, units):
+            found = found.only(np.nonzero(np.isin(found.h, wanted))[0])
+            if not len(found.h):
+                continue
+            which, local = spread(np.arange(len(found.h)), found.last - found.first)
+            start = found.first[which] + local
+            text = found.text[which]
+            at = found.begin[text] + start
+            raw = np.frombuffer(found.data, np.uint8)
+            low, high = found.starts[at], found.ends[at + units.window - 1]
+            w1, w2 = Spans(raw).of(low, high), Spans(raw[::-1]).of(len(raw) - high, len(raw) - low)
+            keys, docs = [found.keys[i] for i in text.tolist()], [found.docs[i] for i in text.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(start.astype(np.int32))], ["w1", "w2", "key", "doc", "start"])
+
+    return texts.mapInArrow(run, "w1 long, w2 long, key binary, doc long, start int")
+
+
+def affected(texts: DataFrame, spans: DataFrame, per_doc: bool) -> DataFrame:
+    """(key, least, copies, spans) of the texts in which spans were found or that occur in several rows.
+
+    spans: (key, doc, start, end); per_doc: those of a text count only where doc is the
+    smallest id that has it.
+    """
+    copies = texts.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    by = ["key", "doc"] if per_doc else ["key"]
+    listed = spans.groupBy(*by).agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # no more than a text has units
+    if per_doc:
+        copies = copies.withColumn("doc", F.coalesce("least", F.lit(LAST)))
+    found = copies.join(listed, by, "left").where("copies > 1 OR spans IS NOT NULL")
+    return written(found.select("key", "least", "copies", "spans"), "affected")
 
 
-def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """texts with `least` and `copies` (the smallest doc_id and number of rows with that text) and `spans`, the removed runs of units found for it."""
-    copies = texts.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    listed = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # no more than a text has units
-    return texts.join(copies.join(listed, "key", "left"), "key")
+def key_bits(found: DataFrame) -> np.ndarray:
+    """A filter of the keys of affected texts."""
+    # as key_hash: the first eight bytes, the first one lowest
+    swapped = F.concat(*[F.substring("key", i, 1) for i in range(8, 0, -1)])
+    number = F.conv(F.hex(swapped), 16, -10).cast("long")
+    return bitmap(found.select(number.alias("k")), "k")
+
+
+def split_by(texts: DataFrame, bits: np.ndarray, schema, passed: Callable[[pa.RecordBatch], pa.RecordBatch] | None) -> DataFrame:
+    """Rows whose key is not in the filter, as passed makes them; without passed, the rows whose key is."""
+    held = sent_filter(texts.sparkSession, bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside_of = held()
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
+            inside = marked(inside_of, np.fromiter(map(key_hash, keys), np.int64, len(keys)))
+            rows = batch.filter(pa.array(inside if passed is None else ~inside))
+            yield rows if passed is None else passed(rows)
+
+    return texts.mapInArrow(run, schema)

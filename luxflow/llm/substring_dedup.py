@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recurrence import Units, blocks, contexts, distinct_contexts, hot_windows, keyed_texts, merged, recurring, row_spans, with_spans, word_units
+from .common import written
+from .recurrence import Units, affected, bitmap, blocks, decided, hot_windows, joined_words, key_bits, keyed_texts, merged, met, profile, recurring, split_by, window_runs, word_units
 
 WINDOW, GRAM, HOT, BLOCK = 13, 4, 20_000, 1_500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -70,51 +71,39 @@ def first_docs(texts: list[bytes], docs: np.ndarray, several: np.ndarray, window
     return out
 
 
-def _removed(window: int, limit: int):
+def _found(window: int, limit: int):
+    """Per context, its runs of windows that a document of smaller id than its largest has, and that id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, keys, doc, first, count, _, context in blocks(batches, limit):
-            row, texts, bucket = distinct_contexts(h, context)
-            least, most = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
-            np.minimum.at(least, row, doc)
-            np.maximum.at(most, row, doc)
-            alone = (np.bincount(bucket) == 1)[bucket] & (least == most)
-            used = np.nonzero(~alone)[0]  # buckets of one text in one document hold nothing
-            if not len(used):
-                continue
-            found = first_docs([texts[i] for i in used.tolist()], least[used], (least < most)[used], window)
-            of_text = np.full(len(texts), -1)
-            of_text[used] = np.arange(len(used))
-            rows = np.nonzero(of_text[row] >= 0)[0]
-            n = count[rows]
-            text_count = np.zeros(len(used), np.int64)
-            text_count[of_text[row[rows]]] = n
-            start = (np.cumsum(text_count) - text_count)[of_text[row[rows]]]
-            at = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            r, a, b = row_spans(found[at] < np.repeat(doc[rows], n), n, first[rows], window)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in rows[r].tolist()], pa.binary()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["key", "start", "end"])
+        for block in blocks(batches, limit):
+            count = np.fromiter((t.count(b" ") + 1 for t in block.text), np.int64, len(block.text)) - window + 1
+            first = first_docs(block.text, block.least, block.least < block.most, window)
+            own, a, b, doc = window_runs(first < np.repeat(block.most, count), first, count, window)
+            yield block.batch(own, a, b, doc)
 
     return run
 
 
-def _apply(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [])
-            for text, copy, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
-                n, gone = len(words), 0
-                if copy and n >= window:
-                    words, gone = [], n
-                elif spans:
-                    for a, b in reversed(merged([(s["start"], s["end"]) for s in spans])):
-                        del words[a:b]
-                    gone = n - len(words)
-                out[0].append(n)
-                out[1].append(gone)
-                out[2].append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+def _left(text: str | None, copy: bool, spans: list[dict] | None, window: int) -> tuple[int, int, bytes]:
+    """Words, words that go, and those left, joined."""
+    joined = joined_words(text or "")
+    n = joined.count(b" ") + 1 if joined else 0
+    if copy and n >= window:
+        return n, n, b""
+    if not spans:
+        return n, 0, joined
+    words = joined.split(b" ")
+    for s, e in reversed(merged([(x["start"], x["end"]) for x in spans])):
+        del words[s:e]
+    return n, n - len(words), b" ".join(words)
+
+
+SCHEMA = "doc_id long, n_words long, n_removed long, kept binary"
 
-    return run
+
+def _batch(ids: pa.Array, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+    return pa.RecordBatch.from_arrays([ids, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -123,24 +112,33 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     Each word in a window of `window` words that also starts in a document of smaller
     doc_id goes. Of documents with one text, all but that of the smallest id have all
     their windows in it; texts of fewer words than a window stay. A null doc_id counts
-    as larger than any other. Anchors with over `hot` contexts are not sent to one
+    as larger than any other. Anchors with over `hot` different contexts are not sent to one
     bucket: their windows are grouped by 128 bits of hash instead.
     """
     units = Units(word_units, window, gram)
     texts = keyed_texts(docs)
-    found = recurring(texts, units, within=False)
-    often = [r["h"] for r in found.where(F.col("n") > hot).select("h").collect()]  # at most the number of anchors over `hot`
-    sent = contexts(texts, units, found.where(F.col("n") <= hot) if often else found)
-    spans = sent.repartition("h").sortWithinPartitions("h", "key", "first").mapInArrow(_removed(window, block), "key binary, start int, end int")
+    places = written(met(texts, units, bitmap(recurring(texts, units), "h")), "places")
+    found = written(profile(places.withColumn("times", F.lit(1))).where("least < most"), "profiles")
+    spans, often = decided(texts, units, found, places, hot, _found(window, block))
+    spans = spans.where("before < doc").drop("before")
     if often:
-        own = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-        held = hot_windows(texts, units, often).groupBy("w1", "w2", "key", "start").agg(F.min(own).alias("doc"))
-        least = held.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-        late = held.join(least, ["w1", "w2"]).where("least < doc")
-        spans = spans.unionAll(late.select("key", "start", (F.col("start") + window).alias("end")))
+        held = hot_windows(texts, units, often)
+        least = held.groupBy("w1", "w2").agg(F.min("doc").alias("before"))
+        spans = spans.unionAll(held.join(least, ["w1", "w2"]).where("before < doc").select("key", "doc", "start", (F.col("start") + window).alias("end")))
+    changed = affected(texts, spans, per_doc=True)
+    keys = key_bits(changed)
+
+    def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return _batch(rows.column("doc_id"), [_left(t, False, None, window) for t in rows.column("text").to_pylist()])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            columns = (rows.column(c).to_pylist() for c in ("text", "copy", "spans"))
+            yield _batch(rows.column("doc_id"), [_left(t, bool(c), s, window) for t, c, s in zip(*columns, strict=True)])
+
     copy = F.when(F.col("doc_id").isNull(), F.col("least").isNotNull()).otherwise(F.col("doc_id") > F.col("least"))
-    rows = with_spans(texts, spans).select("doc_id", copy.alias("copy"), "spans", "text")
-    return rows.mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept binary")
+    rest = split_by(texts, keys, texts.schema, None).join(changed, "key", "left").select("doc_id", copy.alias("copy"), "spans", "text")
+    return split_by(texts, keys, SCHEMA, whole).unionAll(rest.mapInArrow(cut, SCHEMA))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recurrence import Units, blocks, byte_units, contexts, distinct_contexts, hot_windows, keyed_texts, merged, recurring, row_spans, with_spans
+from .common import written
+from .recurrence import Units, affected, bitmap, blocks, byte_units, contexts_met, decided, hot_windows, key_bits, keyed_texts, merged, met, profile, split_by, spread, window_runs
 
-WINDOW, GRAM, HOT, BLOCK = 400, 100, 20_000, 2_500_000
+WINDOW, GRAM, HOT, BLOCK = 400, 64, 20_000, 1_500_000
 
 #: Every difference modulo 7 is one of two of these.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -94,65 +95,55 @@ def recurs(texts: list[bytes], anchor: np.ndarray, bucket: np.ndarray, times: np
     return out
 
 
-def _removed(window: int, limit: int):
+def _found(window: int, limit: int):
+    """Per context, its runs of windows that occur elsewhere."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, keys, _, first, count, at, context in blocks(batches, limit):
-            row, texts, bucket = distinct_contexts(h, context)
-            place = np.zeros(len(texts), np.int64)
-            place[row] = at
-            times = np.bincount(row, minlength=len(texts))
-            n_text = np.fromiter(map(len, texts), np.int64, len(texts)) - window + 1
-            start = np.cumsum(n_text) - n_text
-            found = np.zeros(int(n_text.sum()), bool)
-            alone = (np.bincount(bucket) == 1)[bucket]
-            used = np.nonzero(~alone)[0]  # a bucket's only text recurs as a whole or not at all
-            if len(used):
-                inside = np.repeat(start[used], n_text[used]) + np.arange(int(n_text[used].sum())) - np.repeat(np.cumsum(n_text[used]) - n_text[used], n_text[used])
-                found[inside] = recurs([texts[i] for i in used.tolist()], place[used], bucket[used], times[used], window)
-            found |= np.repeat(alone & (times > 1), n_text)
-            pos = np.repeat(start[row], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            r, a, b = row_spans(found[pos], count, first, window)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in r.tolist()], pa.binary()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["key", "start", "end"])
+        for block in blocks(batches, limit):
+            count = np.fromiter(map(len, block.text), np.int64, len(block.text)) - window + 1
+            mask = np.repeat(block.times > 1, count)
+            mixed = np.nonzero((np.bincount(block.bucket) > 1)[block.bucket])[0]  # a bucket's only context recurs as a whole or not at all
+            if len(mixed):
+                start, local = spread((np.cumsum(count) - count)[mixed], count[mixed])
+                mask[start + local] = recurs([block.text[i] for i in mixed.tolist()], block.at[mixed], block.bucket[mixed], block.times[mixed], window)
+            own, a, b, _ = window_runs(mask, np.zeros(len(mask), np.int8), count, window)
+            yield block.batch(own, a, b, None)
 
     return run
 
 
-def _kept(data: bytes, copies: int, spans: list[dict] | None, window: int) -> tuple[bytes, int]:
-    """The bytes left, and how many runs went."""
+def _left(text: str | None, copies: int, spans: list[dict] | None, window: int) -> tuple[int, int, int, bytes]:
+    """Bytes, bytes that go, runs that go, and the bytes left."""
+    data = (text or "").encode("utf-8", "surrogatepass")
     gone = [(0, len(data))] if copies > 1 and len(data) >= window else merged([(s["start"], s["end"]) for s in spans or ()])
     parts, at = [], 0
     for a, b in gone:
         parts.append(data[at:a])
         at = b
-    return b"".join([*parts, data[at:]]), len(gone)
-
-
-def _apply(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for text, copies, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "copies", "spans")), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                kept, n = _kept(data, copies, spans, window)
-                for column, value in zip(out, (len(data), len(data) - len(kept), n, kept), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return run
+    kept = b"".join([*parts, data[at:]])
+    return len(data), len(data) - len(kept), len(gone), kept
 
 
-def _spans(texts: DataFrame, window: int, gram: int, hot: int, block: int) -> DataFrame:
-    """(key, start, end): for each distinct text, runs of its bytes that go, copies of whole texts aside."""
+def _changed(texts: DataFrame, window: int, gram: int, hot: int, block: int) -> DataFrame:
+    """(key, copies, spans) of the texts that lose bytes."""
     units = Units(byte_units, window, gram)
-    found = recurring(texts, units, within=True)
-    often = [r["h"] for r in found.where(F.col("n") > hot).select("h").collect()]  # at most the number of anchors over `hot`
-    sent = contexts(texts, units, found.where(F.col("n") <= hot) if often else found)
-    spans = sent.repartition("h").sortWithinPartitions("h", "key", "first").mapInArrow(_removed(window, block), "key binary, start int, end int")
+    found = written(profile(contexts_met(texts, units)).where("times > 1"), "profiles")
+    places = written(met(texts, units, bitmap(found, "h")), "places")
+    spans, often = decided(texts, units, found, places, hot, _found(window, block))
+    spans = spans.select("key", "start", "end")
     if often:
         held = hot_windows(texts, units, often).select("w1", "w2", "key", "start").distinct()
         again = held.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1")
         spans = spans.unionAll(held.join(again, ["w1", "w2"], "left_semi").select("key", "start", (F.col("start") + window).alias("end")))
-    return spans
+    return affected(texts, spans, per_doc=False).select("key", "copies", "spans")
+
+
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+
+
+def _batch(ids: pa.Array, rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -162,38 +153,51 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     in it or another, goes; all occurrences do. n_spans: maximal removed runs. Null texts
     are empty; of texts that occur as they are in several rows all bytes go, unless
     shorter than window. window is 14 at least, and not 2 modulo 7. Anchors with over
-    `hot` contexts are not sent to one bucket: their windows are grouped by 128 bits of
+    `hot` different contexts are not sent to one bucket: their windows are grouped by 128 bits of
     hash instead.
     """
     texts = keyed_texts(docs)
-    rows = with_spans(texts, _spans(texts, window, gram, hot, block)).select("doc_id", "copies", "spans", "text")
-    return rows.mapInArrow(_apply(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    changed = _changed(texts, window, gram, hot, block)
+    keys = key_bits(changed)
+
+    def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return _batch(rows.column("doc_id"), [_left(t, 1, None, window) for t in rows.column("text").to_pylist()])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            columns = (rows.column(c).to_pylist() for c in ("text", "copies", "spans"))
+            yield _batch(rows.column("doc_id"), [_left(t, c or 1, s, window) for t, c, s in zip(*columns, strict=True)])
+
+    rest = split_by(texts, keys, texts.schema, None).join(changed, "key", "left").select("doc_id", "copies", "spans", "text")
+    return split_by(texts, keys, SCHEMA, whole).unionAll(rest.mapInArrow(cut, SCHEMA))
 
 
 def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """docs, in their own columns, without the bytes that dedup removes; rows that lose their whole text go. Halves of characters at a cut go too."""
     texts = keyed_texts(docs)
-    found = _spans(texts, window, gram, hot, block)
-    tagged = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce(docs["text"], F.lit("")).alias("text"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))).alias("key"), docs["doc_id"].cast("long").alias("doc_id"))
-    at = docs.columns.index("text")
+    changed = _changed(texts, window, gram, hot, block)
+    keys = key_bits(changed)
+    columns, at = docs.columns, docs.columns.index("text")
+    text = F.coalesce(docs["text"], F.lit(""))
+    tagged = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows.column(f"c{i}") for i in range(len(columns))], columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows = [], []
             for i, (text, copies, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (f"c{at}", "copies", "spans")), strict=True)):
-                left = text
-                if text and (copies > 1 or spans):
-                    kept, n = _kept(text.encode("utf-8", "surrogatepass"), copies, spans, window)
-                    left = kept.decode("utf-8", "ignore") if n else text
+                _, gone, _, kept = _left(text, copies or 1, spans, window)
+                left = kept.decode("utf-8", "ignore") if gone else text
                 if left or not text:
                     texts.append(left)
                     rows.append(i)
             held = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else held.column(f"c{i}") for i in range(len(columns))], columns)
 
-    columns = docs.columns
-    needed = [f"c{i}" for i in range(len(columns))]
-    return with_spans(tagged, found).select(*needed, "copies", "spans").mapInArrow(run, docs.schema)
+    rest = split_by(tagged, keys, tagged.schema, None).join(changed, "key", "left").select(*[f"c{i}" for i in range(len(columns))], "copies", "spans")
+    return split_by(tagged, keys, docs.schema, whole).unionAll(rest.mapInArrow(cut, docs.schema))
 
 
 def digests(docs: DataFrame) -> DataFrame:
