@@ -118,7 +118,10 @@ def train(docs: DataFrame, sample: int = 5000) -> LanguageModel | None:
     for i, r in enumerate(rows):
         at = np.frombuffer(bytes(r["at"]), "<u2")
         x[i, at] = np.frombuffer(bytes(r["n"]), "<u2" if len(r["n"]) == 2 * len(at) else "<f4")
-    return LanguageModel.fit(features(x), [r["lang"] for r in rows]) if rows else None
+    if not rows:
+        return None
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)  # as features, in place
+    return LanguageModel.fit(np.sqrt(x, out=x), [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, sample: int = 5000, margin: float = 0.2) -> DataFrame:
