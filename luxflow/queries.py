@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import decode, render, representations, select, spatial, temporal
@@ -604,6 +604,72 @@ def src01_text_round_trip(spark, d):
     return text.parse_events(lines_.select("idx", "value"), rule="positive").select("idx", F.round("t", 6).alias("t"), "x", "y", F.col("p").cast("int").alias("p"))
 
 
+# --- more of the same operators on other streams ---------------------------------------
+
+
+@query("""WITH s AS (SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS idx, epoch_us(l_shipdate) AS t_us FROM lineitem),
+  p AS (SELECT DISTINCT epoch_us(o_orderdate) + 43200000000 * (o_orderkey % 2) AS t_us FROM orders WHERE o_orderkey % 9 = 0),
+  b AS (SELECT p.t_us, (SELECT count(*) FROM s WHERE s.t_us < p.t_us) AS n, (SELECT max(s.t_us) FROM s WHERE s.t_us < p.t_us) AS lo, (SELECT min(s.t_us) FROM s WHERE s.t_us >= p.t_us) AS hi FROM p)
+  SELECT t_us AS probe_id, t_us, CASE WHEN hi IS NULL THEN n - 1 WHEN lo IS NULL THEN n WHEN t_us - lo <= hi - t_us THEN n - 1 ELSE n END AS nearest FROM b""")
+def join04_nearest_of_runs(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 9 = 0")
+    p = o.select((F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 43_200_000_000 * (F.col("o_orderkey") % 2)).alias("t_us")).distinct()
+    return temporal.nearest(p.select("t_us", F.col("t_us").alias("probe_id")), srt01_dense_order(spark, d).select("idx", "t_us"), span=30 * 86_400_000_000)
+
+
+@query(f"WITH {CAM}, i AS (SELECT (idx * idx) % 90 AS i FROM cam WHERE idx < 200) SELECT i.i, c.t_us FROM i JOIN cam c ON c.idx = i.i")
+def srt06_scattered_reads(spark, d):
+    c = cam(spark, d)
+    return temporal.index_to_time(c.where("idx < 200").select(((F.col("idx") * F.col("idx")) % 90).alias("i")), c)
+
+
+@query(f"WITH {CAM}, s AS (SELECT idx, (t_us - min(t_us) OVER ()) // 3600000000 AS slice FROM cam), c AS (SELECT slice, idx, CAST(slice <> lag(slice, 1, -1) OVER (ORDER BY idx) AS INTEGER) AS turn FROM s) SELECT slice, min(idx) AS first, count(*) AS n FROM c GROUP BY slice")
+def win11_slice_runs(spark, d):
+    return temporal.slices(cam(spark, d), 3_600_000_000).groupBy("slice").agg(F.min("idx").alias("first"), F.count("*").alias("n"))
+
+
+@query(f"WITH {FLOW}, m AS (SELECT *, sqrt(sqrt(v * v + h * h)) AS mag FROM fl) SELECT y, x, CAST(floor((atan2(h, v) + pi()) * 180 / pi() / 2) AS INTEGER) AS hue, 255 AS sat, CAST(floor(255 * mag / (SELECT max(mag) FROM m)) AS INTEGER) AS val FROM m")
+def fn08_flow_view(spark, d):
+    return render.flow_hsv(flow_field(cam(spark, d)), order=0.5).select("y", "x", "hue", "sat", "val")
+
+
+@query(f"WITH {CAM}, c AS (SELECT x * 4 AS hue, 200 AS sat, 50 + y * 6 AS val FROM cam WHERE idx < 300), k AS (SELECT *, floor(hue / 30.0) AS s, hue / 30.0 - floor(hue / 30.0) AS f, val / 255.0 AS v, sat / 255.0 AS sa FROM c), q AS (SELECT *, v * (1 - sa) AS p0, v * (1 - sa * f) AS q0, v * (1 - sa * (1 - f)) AS t0 FROM k) SELECT hue, sat, val, CAST(round_even(255 * CASE s % 6 WHEN 0 THEN v WHEN 1 THEN q0 WHEN 2 THEN p0 WHEN 3 THEN p0 WHEN 4 THEN t0 ELSE v END, 0) AS INTEGER) AS r, CAST(round_even(255 * CASE s % 6 WHEN 0 THEN t0 WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q0 ELSE p0 END, 0) AS INTEGER) AS g, CAST(round_even(255 * CASE s % 6 WHEN 0 THEN p0 WHEN 1 THEN p0 WHEN 2 THEN t0 WHEN 3 THEN v WHEN 4 THEN v ELSE q0 END, 0) AS INTEGER) AS b FROM q")
+def fn09_hsv_to_rgb(spark, d):
+    c = cam(spark, d).where("idx < 300").select((F.col("x") * 4).alias("hue"), F.lit(200).alias("sat"), (F.col("y") * 6 + 50).alias("val"))
+    return c.select("hue", "sat", "val", *render.hsv_to_rgb(F.col("hue"), F.col("sat"), F.col("val")))
+
+
+@query("SELECT event_id AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def fn22_json(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.col("event_id").alias("idx"), F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query(f"WITH {CAM} SELECT idx, printf('%.9f %d %d %d', idx / 1000.0::DOUBLE, x, y, CAST(p AS INTEGER)) AS value FROM cam")
+def snk03_text_lines(spark, d):
+    from .sources import text
+
+    return text.format_events(cam(spark, d), F.col("idx") / 1000.0)
+
+
+@query(f"WITH {CAM} SELECT idx, t_us AS \"time\", x, y, p FROM cam")
+def snk01_parquet_round_trip(spark, d):
+    import uuid
+
+    from .sources import cache
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _scratch()
+    path = f"{folder}/snk01-{uuid.uuid4().hex}"
+    cache.convert(cam(spark, d), path, {"t_us": "time"})
+    return spark.read.parquet(path)
+
+
+def _scratch() -> str:
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="luxflow-")
+
+
 # --- streams --------------------------------------------------------------------------
 
 

@@ -118,7 +118,7 @@ def read_davis_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def format_events(events: DataFrame, t: Column | None = None) -> DataFrame:
-    """(idx, value): `%.9f %d %d %d` lines of t, x, y, p."""
+    """(idx, value): `%.9f %d %d %d` lines of t, x, y, p; digits beyond a double's precision are zeros."""
     at = F.col("t_us") / 1e6 if t is None else t
     return events.select("idx", F.format_string("%.9f %d %d %d", at, F.col("x"), F.col("y"), F.col("p").cast("int")).alias("value"))
 
