@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from ..sources import files, layout, rasters, rosbag, text
 from .recording import Recording
 
 #: Ground-truth frames of each MVSEC sequence that hold.
-MVSEC_VALID = {"indoor_flying1": (60, 1340), "indoor_flying2": (140, 1500), "indoor_flying3": (100, 1711), "indoor_flying4": (104, 380), "outdoor_day1": (0, 5020), "outdoor_day2": (30, 7000)}
+MVSEC_VALID = {"indoor_flying1": (60, 1340), "indoor_flying2": (140, 1500), "indoor_flying3": (100, 1711), "indoor_flying4": (104, 380), "outdoor_day1": (0, 5020), "outdoor_day2": (30, None)}
 
 
 def _timed(df: DataFrame, scale: float = 1e6) -> DataFrame:
@@ -60,8 +64,9 @@ def mvsec_map(spark: SparkSession, root: str, sequence: str, camera: str = "left
 
 def valid_frames(frames: DataFrame, sequence: str) -> DataFrame:
     """The ground-truth frames that hold."""
-    low, high = MVSEC_VALID.get(sequence, (0, 1 << 62))
-    return frames.where((F.col("idx") >= low) & (F.col("idx") < high))
+    low, high = MVSEC_VALID.get(sequence, (0, None))
+    kept = frames.where(F.col("idx") >= low)
+    return kept if high is None else kept.where(F.col("idx") < high)
 
 
 def dsec(spark: SparkSession, root: str, sequence: str, split: str = "train", camera: str = "left") -> Recording:
@@ -89,12 +94,28 @@ def dsec(spark: SparkSession, root: str, sequence: str, split: str = "train", ca
 
 def _scalar(path: str, key: str) -> int:
     import h5py
-    import numpy as np
 
     with h5py.File(path) as f:
         return int(np.asarray(f[key]))
 
 
+def dsec_map(spark: SparkSession, events_folder: str, key: str = "rectify_map") -> DataFrame:
+    """(y, x, rx, ry) of a camera's rectification map, read by rows of pixels."""
+    path = next(p for p in (f"{events_folder}/rectify_maps.h5", f"{events_folder}/rectify_map.h5") if files.exists(p))
+    height, width = SENSORS["dsec"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import h5py
+
+        for batch in batches:
+            for y in batch.column(0).to_pylist():
+                with h5py.File(path) as f:
+                    row = np.asarray(f[key][y], np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(width, y, np.int32)), pa.array(np.arange(width, dtype=np.int32)), pa.array(np.ascontiguousarray(row[:, 0])), pa.array(np.ascontiguousarray(row[:, 1]))], ["y", "x", "rx", "ry"])
+
+    return spark.range(height).mapInArrow(run, "y int, x int, rx float, ry float")
+
+
 def dsec_images(spark: SparkSession, folder: str, times: DataFrame) -> DataFrame:
     """PNG files by name joined to their times by place; an error if their numbers differ."""
     return rasters.ordinals(rasters.read_png(spark, f"{folder}/*.png"), times)

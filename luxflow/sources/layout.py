@@ -8,8 +8,9 @@ from . import files
 
 #: Names of the event-camera data set's recordings.
 ECD_REAL = (
-    "boxes_6dof", "boxes_rotation", "boxes_translation", "calibration", "dynamic_6dof", "dynamic_rotation", "dynamic_translation", "hdr_boxes", "hdr_poster", "office_spiral", "office_zigzag", "outdoors_running",
-    "outdoors_walking", "poster_6dof", "poster_rotation", "poster_translation", "shapes_6dof", "shapes_rotation", "shapes_translation", "slider_close", "slider_depth", "slider_far", "slider_hdr_close", "slider_hdr_far", "urban",
+    "shapes_rotation", "shapes_translation", "shapes_6dof", "poster_rotation", "poster_translation", "poster_6dof", "boxes_rotation", "boxes_translation", "boxes_6dof", "hdr_poster", "hdr_boxes",
+    "outdoors_walking", "outdoors_running", "dynamic_rotation", "dynamic_translation", "dynamic_6dof", "calibration", "office_zigzag", "office_spiral", "urban", "slider_close", "slider_far", "slider_hdr_close",
+    "slider_hdr_far", "slider_depth",
 )
 ECD_SYNTHETIC = ("simulation_3planes", "simulation_3walls")
 
@@ -54,7 +55,7 @@ def category(sequence: str) -> str:
 
 def drive(sequence: str) -> str:
     """A sequence name without its part letter."""
-    return re.sub(r"_[a-z]$", "", sequence)
+    return re.sub(r"_[^\W\d_]+$", "", sequence)
 
 
 def dsec_sequence(root: str, sequence: str, split: str = "train") -> dict[str, str]:

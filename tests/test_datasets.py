@@ -70,6 +70,12 @@ def test_dsec(spark, tmp_path):
     for way in ("forward", "backward"):
         (base / f"flow/{way}_timestamps.txt").write_text("# start, end\n" + "\n".join(f"{a}, {b}" for a, b in zip(times[:-1], times[1:], strict=True)))
     (base / "disparity/timestamps.txt").write_text("\n".join(map(str, times[::2])))
+    shift = rng.standard_normal((480, 640, 2)).astype(np.float32)
+    store(base / "events/left/rectify_map.h5", rectify_map=shift)
+    m = datasets.dsec_map(spark, str(base / "events/left"))
+    assert m.count() == 480 * 640
+    r = m.where("y = 479 AND x = 3").first()
+    assert (r.rx, r.ry) == tuple(shift[479, 3].tolist())
     r = datasets.dsec(spark, str(tmp_path), "zurich_city_04_a")
     s = {x.frame_idx: x for x in r.interval_samples().collect()}
     want = np.searchsorted(t + 1_600_000_000_000, times)
