@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import temporal
+from ..schema import dense_index
 
 
 def intervals(frames: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def intervals(frames: DataFrame) -> DataFrame:
 
 def _count_in(spans: DataFrame, stream: DataFrame, name: str) -> DataFrame:
     """(frame_idx, name): rows of a stream in each half-open interval, from the stream's places at both ends."""
-    dense = stream.select("t_us").withColumn("idx", F.row_number().over(Window.orderBy("t_us")) - 1) if "idx" not in stream.columns else stream.select("idx", "t_us")
+    dense = stream.select("idx", "t_us")
     ends = spans.select(F.concat(F.col("frame_idx"), F.lit(":0")).alias("probe_id"), F.col("t0").alias("t_us")).unionAll(spans.select(F.concat(F.col("frame_idx"), F.lit(":1")).alias("probe_id"), F.col("t1").alias("t_us")))
     at = temporal.time_to_index(ends, dense).select(F.split("probe_id", ":").alias("k"), "at")
     side = at.groupBy(F.col("k")[0].cast("long").alias("frame_idx")).agg(F.max(F.when(F.col("k")[1] == "1", F.col("at"))).alias("b"), F.max(F.when(F.col("k")[1] == "0", F.col("at"))).alias("a"))
@@ -28,7 +29,7 @@ def interval_samples(frames: DataFrame, events: DataFrame, imu: DataFrame | None
     spans = intervals(frames)
     out = spans.join(_count_in(spans, events, "num_events"), "frame_idx", "left")
     if imu is not None:
-        dense = imu.select("t_us").withColumn("idx", F.row_number().over(Window.orderBy("t_us")) - 1)
+        dense = dense_index(imu.select("t_us"), ["t_us"])
         out = out.join(_count_in(spans, dense, "num_imu"), "frame_idx", "left")
     else:
         out = out.withColumn("num_imu", F.lit(None).cast("long"))
