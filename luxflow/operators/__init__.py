@@ -1 +1 @@
-
+"""DataFrame operators on events and their side streams."""

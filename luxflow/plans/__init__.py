@@ -1 +1 @@
-
+"""Recordings and samples made of several streams."""

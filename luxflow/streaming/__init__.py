@@ -1 +1 @@
-
+"""Operators on live recordings."""
