@@ -36,11 +36,12 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *[docs[c] for c in more])
 
 
-def columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    """The named columns of each non-empty batch, as Python lists."""
+def columns(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 1000) -> Iterator[tuple[list, ...]]:
+    """The named columns of the batches, as Python lists of that many rows at most, so that a batch's texts are never all held twice."""
     for batch in batches:
-        if batch.num_rows:
-            yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield tuple(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
 
 
 def chunked(items: Iterator[tuple[str, int]], limit: int) -> Iterator[list]:

@@ -100,7 +100,7 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(langs[i : i + 512]), pa.array([u.astype("<u2").tobytes() for u in used]), pa.array([c[u].astype("<u2" if c.max() < 65536 else "<f4").tobytes() for c, u in zip(counts, used, strict=True)])], ["lang", "at", "n"])
 
 
-def train(docs: DataFrame, sample: int = 5000) -> LanguageModel | None:
+def train(docs: DataFrame, sample: int = 4000) -> LanguageModel | None:
     """A model from about `sample` labelled rows outside the held-out fold, as many of each language; None without any.
 
     The rows of a language are those whose id's hash is below that language's share,
@@ -120,11 +120,13 @@ def train(docs: DataFrame, sample: int = 5000) -> LanguageModel | None:
         x[i, at] = np.frombuffer(bytes(r["n"]), "<u2" if len(r["n"]) == 2 * len(at) else "<f4")
     if not rows:
         return None
+    langs = [r["lang"] for r in rows]
+    del rows, r
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)  # as features, in place
-    return LanguageModel.fit(np.sqrt(x, out=x), [r["lang"] for r in rows])
+    return LanguageModel.fit(np.sqrt(x, out=x), langs)
 
 
-def identify(docs: DataFrame, sample: int = 5000, margin: float = 0.2) -> DataFrame:
+def identify(docs: DataFrame, sample: int = 4000, margin: float = 0.2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous), one row per input row, from whole texts.
 
     Null texts and those without letters are `und` with score 0, as is all where no
@@ -150,7 +152,7 @@ def identify(docs: DataFrame, sample: int = 5000, margin: float = 0.2) -> DataFr
     return texts_of(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_known(docs: DataFrame, sample: int = 5000, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, sample: int = 4000, least: float = 0.5) -> DataFrame:
     """docs without the rows that have no letters or whose best language scores below least; all stay where nothing can be learnt."""
     model = train(docs, sample)
     if model is None:

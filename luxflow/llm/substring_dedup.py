@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .recurrence import Units, affected, bitmap, blocks, decided, hot_windows, joined_words, key_bits, keyed_texts, merged, met, profile, recurring, split_by, window_runs, word_units
 
-WINDOW, GRAM, HOT, BLOCK = 13, 4, 20_000, 1_500_000
+WINDOW, GRAM, HOT, BLOCK = 13, 4, 20_000, 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .recurrence import Units, affected, bitmap, blocks, byte_units, contexts_met, decided, hot_windows, key_bits, keyed_texts, merged, met, profile, split_by, spread, window_runs
 
-WINDOW, GRAM, HOT, BLOCK = 400, 64, 20_000, 1_500_000
+WINDOW, GRAM, HOT, BLOCK = 400, 64, 20_000, 1_000_000
 
 #: Every difference modulo 7 is one of two of these.
 PERIOD, COVER = 7, (0, 1, 3)
