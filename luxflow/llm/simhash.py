@@ -174,11 +174,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     return fps.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, ha, hb, texts in columns(batches, "doc_id", "ha", "hb", "text"):
+        fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ha, pa.int64()), pa.array(hb, pa.int64()), pa.array(fps)], ["doc_id", "ha", "hb", "fp"])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-copies: of each component the row with the smallest doc_id stays, in its own columns.
 
-    Of rows that repeat an id one stays. Rows without an id can't be told apart, and go.
+    Rows are told apart by a 128-bit hash of id, text and the other columns (but maps),
+    so null and repeated ids keep one row for each component too; rows without an id
+    come last. Of equal ids the row of least hash stays, the same one in every run.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    own = [docs["doc_id"].isNull(), docs["doc_id"].cast("long"), docs["text"].isNull(), docs["text"]]
+    own += [docs[f.name] for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    ha, hb = (F.xxhash64(F.lit(i), *own) for i in (0, 1))
+    marked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), ha.alias("ha"), hb.alias("hb"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ha", "hb")).alias("first")
+    nodes = written(marked.mapInArrow(_fingerprinted, "doc_id long, ha long, hb long, fp long").groupBy("fp").agg(first), "nodes")
+    found = connected_components(near_links(nodes.select("fp", F.col("fp").alias("rep"))))
+    grouped = nodes.join(found, nodes["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
+    kept = grouped.select("first.ha", "first.hb")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), ha.alias("ha"), hb.alias("hb")).dropDuplicates(["ha", "hb"])
+    return rows.join(kept, ["ha", "hb"], "left_semi").select("row.*")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from luxflow.llm import simhash
 from luxflow.llm.components import connected_components, local_components
@@ -68,3 +69,14 @@ def test_rows(spark):
     assert sorted((r.component_id is None, r.component_id) for r in got if r.doc_id is None) == [(False, 8), (True, None)]
     assert simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string").limit(0)).count() == 0
     assert connected_components(spark.createDataFrame([(1, 1), (2, None)], "a long, b long")).count() == 0
+
+
+def test_keep_one_without_or_with_repeated_ids(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
+    rows = [(None, texts["a"], "x"), (None, texts["a"], "y"), (None, texts["b"], "x"), (7, texts["c"], "x"), (7, texts["d"], "x"), (7, texts["c"], "x"), (3, texts["d"], "x"), (None, texts["e"], "x"), (9, texts["e"], "x"), (1, texts["f"], "x"), (None, texts["g"], "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ha string")
+    got = sorted((tuple(r) for r in simhash.keep_one(df).collect()), key=repr)
+    assert sorted((r[:2] for r in got), key=repr) == sorted([(None, texts["a"]), (None, texts["b"]), (7, texts["c"]), (3, texts["d"]), (9, texts["e"]), (1, texts["f"]), (None, texts["g"]), (None, None)], key=repr)
+    for parts in (1, 5):
+        again = simhash.keep_one(df.orderBy(F.desc("ha")).repartition(parts))
+        assert again.columns == df.columns and sorted((tuple(r) for r in again.collect()), key=repr) == got
