@@ -79,22 +79,38 @@ def slice_totals(sliced: DataFrame) -> DataFrame:
     return every.join(n, "slice", "left").select("slice", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def decayed_counts(counts: DataFrame, decay: float, horizon: int | None = None) -> DataFrame:
+def decayed_counts(counts: DataFrame, decay: float, horizon: int | None = None, bucket: int = 32) -> DataFrame:
     """(slice, y, x, on, off) as running sums in which each slice counts decay times the one before's.
 
-    Each count is sent on to the slices after it while its share is at least 1e-6 (or
-    for `horizon` slices), so no pixel's history meets in one row; slices without a
-    pixel's events in reach have no row for it.
+    A pixel has a row for every slice from its first to the last of all. Each count is
+    sent on to the slices of its bucket of `bucket` slices only; what a bucket starts
+    from is the decayed sum of the buckets before, found the same way, so no pixel's
+    history meets in one row. With a horizon, each count instead ends after that many
+    slices, and slices without a pixel's events in reach have no row for it.
     """
-    from math import ceil, log
-
     if decay <= 0:
         return counts.select("slice", "y", "x", F.col("on").cast("double").alias("on"), F.col("off").cast("double").alias("off"))
-    reach = horizon if horizon is not None else max(0, ceil(log(1e-6) / log(decay))) if decay < 1 else None
-    if reach is None:
-        raise ValueError("decay must be below 1, or a horizon given")
-    top = counts.agg(F.max("slice").alias("_top"))
-    sent = counts.crossJoin(F.broadcast(top)).select("y", "x", "on", "off", F.col("slice").alias("_from"), F.explode(F.sequence(F.col("slice"), F.least(F.col("slice") + reach, F.col("_top")))).alias("slice"))
+    if decay > 1 and horizon is None:
+        raise ValueError("decay must be 1 at most, or a horizon given")
+    if bucket < 2:
+        raise ValueError(f"bucket must be 2 at least, got {bucket}")
+    top = counts.agg(F.max("slice")).first()[0]
+    own = counts.select(F.col("slice").cast("long").alias("slice"), "y", "x", F.col("on").cast("double").alias("on"), F.col("off").cast("double").alias("off"))
+    return _decayed(own, decay, 0 if top is None else int(top), horizon, bucket)
+
+
+def _decayed(counts: DataFrame, decay: float, top: int, horizon: int | None, bucket: int) -> DataFrame:
+    last = F.lit(top)
+    if horizon is not None:
+        last = F.least(F.col("slice") + horizon, last)
+    elif top >= bucket:
+        at = F.floor(F.col("slice") / bucket)
+        left = F.pow(F.lit(decay), (at + 1) * bucket - F.col("slice"))  # at the next bucket's first slice
+        ends = counts.where(at < top // bucket).groupBy((at + 1).alias("slice"), "y", "x").agg(F.sum(F.col("on") * left).alias("on"), F.sum(F.col("off") * left).alias("off"))
+        starts = _decayed(ends, decay**bucket, top // bucket, None, bucket)
+        counts = counts.unionByName(starts.withColumn("slice", F.col("slice") * bucket))
+        last = F.least((at + 1) * bucket - 1, last)
+    sent = counts.select("y", "x", "on", "off", F.col("slice").alias("_from"), F.explode(F.sequence(F.col("slice"), last)).alias("slice"))
     share = F.pow(F.lit(decay), F.col("slice") - F.col("_from"))
     return sent.groupBy("slice", "y", "x").agg(F.sum(F.col("on") * share).alias("on"), F.sum(F.col("off") * share).alias("off"))
 

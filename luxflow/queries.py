@@ -394,6 +394,12 @@ SLICED = f"{CAM}, c AS (SELECT (t_us - (SELECT min(t_us) FROM cam)) // 864000000
 
 @query(f"WITH {SLICED}, g AS (SELECT unnest(generate_series(0, (SELECT max(slice) FROM c))) AS slice) SELECT g.slice, c.y, c.x, round(sum(c.a * 0.5 ** (g.slice - c.slice)), 6) AS \"on\", round(sum(c.b * 0.5 ** (g.slice - c.slice)), 6) AS \"off\" FROM c JOIN g ON g.slice >= c.slice AND g.slice <= c.slice + 20 GROUP BY 1, 2, 3")
 def win12_decayed_counts(spark, d):
+    n = representations.slice_counts(temporal.slices(cam(spark, d), 86_400_000_000))
+    return representations.decayed_counts(n, 0.5, horizon=20).select("slice", "y", "x", F.round("on", 6).alias("on"), F.round("off", 6).alias("off"))
+
+
+@query(SQL["win12_decayed_counts"].replace(" AND g.slice <= c.slice + 20", ""))
+def win12_decayed_counts_whole(spark, d):
     n = representations.slice_counts(temporal.slices(cam(spark, d), 86_400_000_000))
     return representations.decayed_counts(n, 0.5).select("slice", "y", "x", F.round("on", 6).alias("on"), F.round("off", 6).alias("off"))
 
