@@ -151,6 +151,34 @@ def set05_available(spark, d):
     return n.select(F.col("n_nationkey").alias("k")).intersect(c.where("c_custkey < 40").select(F.col("c_nationkey").alias("k")))
 
 
+# The SQL of some queries above and below holds a prefix of ids; *_whole are the same operators over every row.
+
+
+@query(f"WITH {CAM}, n AS (SELECT count(*) AS n FROM cam) SELECT idx - n // 2 AS i, CASE WHEN idx < n // 2 THEN idx - n // 2 + n ELSE idx - n // 2 END AS at FROM cam, n")
+def flt10_normalize_index_whole(spark, d):
+    c = cam(spark, d)
+    n = c.count()
+    return c.select((F.col("idx") - n // 2).alias("i")).select("i", select.normalize_index(F.col("i"), F.lit(n)).alias("at"))
+
+
+@query(SQL["set02_concat"].replace("idx >= 900", "idx >= 100"))
+def set02_concat_whole(spark, d):
+    c = cam(spark, d)
+    return c.where("idx < 100").unionByName(c.where("idx >= 100"))
+
+
+@query(SQL["set03_members"].replace(" AND idx < 500", ""))
+def set03_members_whole(spark, d):
+    c = cam(spark, d)
+    return select.members(c, c.where("y = 3 AND p").distinct(), "x", invert=True)
+
+
+@query(SQL["set05_available"].replace(" WHERE c_custkey < 40", ""))
+def set05_available_whole(spark, d):
+    n, c = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "customer"))
+    return n.select(F.col("n_nationkey").alias("k")).intersect(c.select(F.col("c_nationkey").alias("k")))
+
+
 @query("SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS idx, epoch_us(l_shipdate) AS t_us, l_orderkey FROM lineitem")
 def srt01_dense_order(spark, d):
     from .schema import dense_index
@@ -206,6 +234,13 @@ def join02_index_to_time(spark, d):
     return temporal.index_to_time(c.where("idx < 50").select((F.col("idx") * 13 - 20).alias("i")), c, c.count())
 
 
+@query(f"WITH {CAM}, n AS (SELECT count(*) AS n FROM cam), i AS (SELECT idx * 13 % (2 * n) - n AS i, n FROM cam, n) SELECT i.i, c.t_us FROM i JOIN cam c ON c.idx = CASE WHEN i.i < 0 THEN i.i + i.n ELSE i.i END")
+def join02_index_to_time_whole(spark, d):
+    c = cam(spark, d)
+    n = c.count()
+    return temporal.index_to_time(c.select((F.col("idx") * 13 % (2 * n) - n).alias("i")), c, n)
+
+
 NEAREST = """n AS (SELECT p.probe_id, p.t_us, b.idx AS bi, b.t_us AS bt, a.idx AS ai, a.t_us AS aft FROM probes p
   ASOF LEFT JOIN cam b ON p.t_us > b.t_us ASOF LEFT JOIN cam a ON p.t_us <= a.t_us)"""
 
@@ -462,6 +497,12 @@ def join15_sample_flow(spark, d):
     return spatial.sample_flow(q, fields(spark).where("frame = 0"), H, W).select("idx", "yc", "xc", "fx", "fy", "valid")
 
 
+@query(SQL["join15_sample_flow"].replace(" WHERE idx < 500)", ")"))
+def join15_sample_flow_whole(spark, d):
+    q = cam(spark, d).select("idx", (F.col("y") + F.col("idx") % 4 * 0.5 - 0.5).alias("yc"), (F.col("x") + F.col("idx") % 3 * 0.75).alias("xc"))
+    return spatial.sample_flow(q, fields(spark).where("frame = 0"), H, W).select("idx", "yc", "xc", "fx", "fy", "valid")
+
+
 def _step(source: str, frame: int, share: str, out: str) -> str:
     return (
         f"{out} AS (SELECT y0, x0, CAST(yc + coalesce(f.fy, 0) * CAST({share} AS FLOAT) AS FLOAT) AS yc, CAST(xc + coalesce(f.fx, 0) * CAST({share} AS FLOAT) AS FLOAT) AS xc, "
@@ -629,6 +670,12 @@ def srt06_scattered_reads(spark, d):
     return temporal.index_to_time(c.where("idx < 200").select(((F.col("idx") * F.col("idx")) % 90).alias("i")), c)
 
 
+@query(f"WITH {CAM}, i AS (SELECT (idx * idx) % (SELECT count(*) FROM cam) AS i FROM cam) SELECT i.i, c.t_us FROM i JOIN cam c ON c.idx = i.i")
+def srt06_scattered_reads_whole(spark, d):
+    c = cam(spark, d)
+    return temporal.index_to_time(c.select(((F.col("idx") * F.col("idx")) % c.count()).alias("i")), c)
+
+
 @query(f"WITH {CAM}, s AS (SELECT idx, (t_us - min(t_us) OVER ()) // 3600000000 AS slice FROM cam), c AS (SELECT slice, idx, CAST(slice <> lag(slice, 1, -1) OVER (ORDER BY idx) AS INTEGER) AS turn FROM s) SELECT slice, min(idx) AS first, count(*) AS n FROM c GROUP BY slice")
 def win11_slice_runs(spark, d):
     return temporal.slices(cam(spark, d), 3_600_000_000).groupBy("slice").agg(F.min("idx").alias("first"), F.count("*").alias("n"))
@@ -645,6 +692,12 @@ def fn09_hsv_to_rgb(spark, d):
     return c.select("hue", "sat", "val", *render.hsv_to_rgb(F.col("hue"), F.col("sat"), F.col("val")))
 
 
+@query(SQL["fn09_hsv_to_rgb"].replace(" FROM cam WHERE idx < 300)", " FROM cam)"))
+def fn09_hsv_to_rgb_whole(spark, d):
+    c = cam(spark, d).select((F.col("x") * 4).alias("hue"), F.lit(200).alias("sat"), (F.col("y") * 6 + 50).alias("val"))
+    return c.select("hue", "sat", "val", *render.hsv_to_rgb(F.col("hue"), F.col("sat"), F.col("val")))
+
+
 @query("SELECT event_id AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def fn22_json(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
