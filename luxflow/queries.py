@@ -221,6 +221,16 @@ def join01_time_to_index(spark, d):
     return temporal.time_to_index(probes(c), c)
 
 
+def every_probe(c: DataFrame) -> DataFrame:
+    return c.select(F.col("idx").alias("probe_id"), (F.col("t_us") + (F.col("idx") % 3 - 1) * 500000 * (F.col("idx") % 5)).alias("t_us"))
+
+
+@query(SQL["join01_time_to_index"].replace(" WHERE idx % 7 = 0", ""))
+def join01_time_to_index_whole(spark, d):
+    c = cam(spark, d)
+    return temporal.time_to_index(every_probe(c), c)
+
+
 @query("WITH s AS (SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS idx, epoch_us(l_shipdate) AS t_us FROM lineitem), p AS (SELECT DISTINCT epoch_us(o_orderdate) AS t_us FROM orders) SELECT p.t_us, p.t_us AS probe_id, (SELECT count(*) FROM s WHERE s.t_us < p.t_us) - 1 AS at FROM p")
 def join01_equal_timestamps(spark, d):
     s = srt01_dense_order(spark, d).select("idx", "t_us")
@@ -251,6 +261,12 @@ def join03_nearest(spark, d):
     return temporal.nearest(probes(c), c)
 
 
+@query(SQL["join03_nearest"].replace(" WHERE idx % 7 = 0", ""))
+def join03_nearest_whole(spark, d):
+    c = cam(spark, d)
+    return temporal.nearest(every_probe(c), c)
+
+
 @query(f"WITH {CAM}, {FRAMES}, e AS (SELECT min(t_us) AS lo, max(t_us) AS hi FROM cam), f AS (SELECT row_number() OVER (ORDER BY t_us) - 1 AS frame_idx, t_us FROM cam WHERE idx % 97 = 40) SELECT f.frame_idx, f.t_us, hi.n AS hi, lag(hi.n, 1, 0) OVER (ORDER BY f.frame_idx) AS lo FROM f JOIN (SELECT f.frame_idx, count(c.idx) AS n FROM f LEFT JOIN cam c ON c.t_us < f.t_us GROUP BY 1) hi USING (frame_idx)")
 def join05_frame_bounds(spark, d):
     c = cam(spark, d)
@@ -299,6 +315,13 @@ def join08_tolerance(spark, d):
     return temporal.within(left, right, 1)
 
 
+@query(f"WITH {CAM}, l AS (SELECT idx AS id, t_us + idx % 4 AS t_us FROM cam) SELECT l.id, l.t_us, r.idx AS match FROM l LEFT JOIN cam r ON r.t_us BETWEEN l.t_us - 1 AND l.t_us + 1")
+def join08_tolerance_whole(spark, d):
+    c = cam(spark, d)
+    left = c.select(F.col("idx").alias("id"), (F.col("t_us") + F.col("idx") % 4).alias("t_us"))
+    return temporal.within(left, c.select("idx", "t_us"), 1)
+
+
 @query(f"WITH {CAM}, {CAMFRAMES} SELECT c.idx AS probe_id, c.t_us, b.t_us AS t_before, a.t_us AS t_after FROM cam c ASOF LEFT JOIN f b ON c.t_us >= b.t_us ASOF LEFT JOIN f a ON c.t_us < a.t_us")
 def join09_bracket(spark, d):
     c = cam(spark, d)
@@ -664,6 +687,13 @@ def join04_nearest_of_runs(spark, d):
     return temporal.nearest(p.select("t_us", F.col("t_us").alias("probe_id")), srt01_dense_order(spark, d).select("idx", "t_us"), span=30 * 86_400_000_000)
 
 
+@query(SQL["join04_nearest_of_runs"].replace(" WHERE o_orderkey % 9 = 0", ""))
+def join04_nearest_of_runs_whole(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    p = o.select((F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 43_200_000_000 * (F.col("o_orderkey") % 2)).alias("t_us")).distinct()
+    return temporal.nearest(p.select("t_us", F.col("t_us").alias("probe_id")), srt01_dense_order(spark, d).select("idx", "t_us"), span=30 * 86_400_000_000)
+
+
 @query(f"WITH {CAM}, i AS (SELECT (idx * idx) % 90 AS i FROM cam WHERE idx < 200) SELECT i.i, c.t_us FROM i JOIN cam c ON c.idx = i.i")
 def srt06_scattered_reads(spark, d):
     c = cam(spark, d)

@@ -19,3 +19,12 @@ def test_every_event_is_used(spark, name):
 def test_keys_come_from_every_row():
     for name, cut in (("set03_members", "idx < 500"), ("set05_available", "c_custkey")):
         assert cut in queries.oracle_sql()[name] and cut not in queries.oracle_sql()[f"{name}_whole"]
+
+
+@pytest.mark.parametrize("name", ["join01_time_to_index", "join03_nearest", "join08_tolerance"])
+def test_every_event_probes(spark, name):
+    assert queries.queries()[f"{name}_whole"](spark, D).count() == size(f"SELECT count(*) FROM '{D}/events.parquet'")
+
+
+def test_every_order_probes(spark):
+    assert queries.queries()["join04_nearest_of_runs_whole"](spark, D).count() == size(f"SELECT count(DISTINCT epoch_us(o_orderdate) + 43200000000 * (o_orderkey % 2)) FROM '{D}/orders.parquet'")
