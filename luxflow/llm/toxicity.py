@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     """A model from about that many toxic, unlabelled and labelled rows outside the held-out fold; None without toxic ones.
 
     The class prior is the toxic share of all labelled rows of that part. Rows are
-    taken by their id's hash, so which ones, and how many, don't hang on the input's size.
+    taken by their id's hash, so which ones, and how many, don't hang on the input's size;
+    of a labelled id that repeats, the text of least hash counts.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -134,9 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     if not n1 or not total:
         return None
     draw = share(F.col("doc_id"))
-    picked = known.where(((F.col("toxic") == 1) & (draw < positives / n1)) | (draw < checked / n)).limit(2 * (positives + checked))
-    marked = learn.join(F.broadcast(picked), "doc_id").select("text", "toxic")  # bounded by the limit above
-    plain = learn.where(share(F.struct("doc_id", F.length("text")), 1) < unlabelled / total).limit(2 * unlabelled).select("text", F.lit(-1).alias("toxic"))
+    picked = known.where(((F.col("toxic") == 1) & (draw < positives / n1)) | (draw < checked / n)).orderBy(F.xxhash64("doc_id", F.lit(2))).limit(2 * (positives + checked))
+    marked = learn.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")  # bounded by the limit above
+    plain = learn.where(share(F.struct("doc_id", F.length("text")), 1) < unlabelled / total).orderBy(F.xxhash64("doc_id", "text")).limit(2 * unlabelled).select("text", F.lit(-1).alias("toxic"))
     rows = marked.unionAll(plain).select("toxic", "text").mapInArrow(_feature_rows, "toxic int, at binary").orderBy("toxic", F.xxhash64("at")).collect()
     found: dict[int, list[np.ndarray]] = {-1: [], 0: [], 1: []}
     for r in rows:

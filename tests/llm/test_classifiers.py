@@ -52,3 +52,18 @@ def test_toxic_held_out(spark):
     assert got[2000].score == got[2001].score
     assert toxicity.score(d.limit(0), lab).count() == 0
     assert {r.score for r in toxicity.score(d, lab.limit(0)).collect()} == {0.0}
+
+
+def test_toxic_sample_of_repeated_ids_is_bounded(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(1, f"Grobnik {words(rng, EN, 6)} {i}") for i in range(400)] + [(i, words(rng, EN, 8)) for i in range(10, 310)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1)] + [(i, int(i % 7 == 0)) for i in range(10, 310)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.ToxicityModel, "fit", classmethod(lambda cls, toxic, plain, prior: seen.append([x.tolist() for x in toxic])))
+    for parts in (1, 6):
+        try:
+            toxicity.train(d.repartition(parts), lab)
+        except AttributeError:  # there is no model to calibrate
+            pass
+    assert len(seen[0]) <= 1 + sum(i % 7 == 0 for i in range(10, 310))
+    assert seen[0] == seen[1]
