@@ -111,7 +111,7 @@ def reconstruct(events: DataFrame, windows: DataFrame, height: int, width: int,
     window, cropped, sharpened and rescaled by the windows' running median bounds. One
     recording's windows are one sequence, so they are one task by nature.
     """
-    g = render.crop_geometry(height, width, encoders)
+    g = render.padding(height, width, encoders)
     voxels = voxel_windows(windows, height, width, bins)
 
     def images(rows: pd.DataFrame) -> pd.DataFrame:
@@ -119,10 +119,10 @@ def reconstruct(events: DataFrame, windows: DataFrame, height: int, width: int,
         for window, cells in rows.sort_values("window").groupby("window"):
             grid = np.zeros((bins, height, width))
             np.add.at(grid, (cells["bin"].to_numpy(), cells["y"].to_numpy(), cells["x"].to_numpy()), cells["value"].to_numpy())
-            padded = np.pad(grid, ((0, 0), (g["top"], g["bottom"]), (g["left"], g["right"])), mode="reflect")
+            padded = np.pad(grid, ((0, 0), (g.top, g.bottom), (g.left, g.right)), mode="reflect")
             image, state = m(padded, state)
             y, x = np.mgrid[0:height, 0:width]
-            out.append(pd.DataFrame({"frame_idx": window, "y": y.ravel(), "x": x.ravel(), "value": image[g["iy0"] : g["iy1"], g["ix0"] : g["ix1"]].ravel()}))
+            out.append(pd.DataFrame({"frame_idx": window, "y": y.ravel(), "x": x.ravel(), "value": g.cropped(image).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"frame_idx": [], "y": [], "x": [], "value": []})
 
     raw = voxels.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(images, "frame_idx long, y int, x int, value double")

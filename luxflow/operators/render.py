@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from math import ceil, erf, floor, sqrt
+from math import sqrt
+from statistics import NormalDist
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,15 +77,13 @@ def color_wheel(spark, size: int) -> DataFrame:
 
 
 def gaussian_kernel(size: int = 5, sigma: float = 1.0) -> list[list[float]]:
-    """Square roots of products of the normal distribution's shares of `size` equal steps, normalised."""
-    step = (2 * sigma + 1.0) / size
-    low, high = -sigma - step / 2.0, sigma + step / 2.0
-    edges = [low + (high - low) * i / size for i in range(size + 1)]
-    cdf = [0.5 * (1 + erf(e / sqrt(2))) for e in edges]
-    share = [b - a for a, b in zip(cdf, cdf[1:], strict=False)]
-    raw = [[sqrt(a * b) for b in share] for a in share]
-    total = sum(map(sum, raw))
-    return [[v / total for v in row] for row in raw]
+    """g_i g_j, summing to 1, where g_i squared is the standard normal's mass in the i-th of `size` equal bins round 0.
+
+    Fixed: the bins reach half of (2 sigma + 1) / size beyond sigma on either side.
+    """
+    normal, width = NormalDist(), (2 * sigma + (2 * sigma + 1) / size) / size
+    g = [sqrt(normal.cdf((i + 1 - size / 2) * width) - normal.cdf((i - size / 2) * width)) for i in range(size)]
+    return [[a * b / sum(g) ** 2 for b in g] for a in g]
 
 
 def convolve(image: DataFrame, kernel: list[list[float]], height: int, width: int, value: str = "value") -> DataFrame:
@@ -120,20 +120,32 @@ def flip(cells: DataFrame, height: int, width: int) -> DataFrame:
     return cells.withColumn("y", height - 1 - F.col("y")).withColumn("x", width - 1 - F.col("x"))
 
 
-def crop_geometry(height: int, width: int, encoders: int) -> dict[str, int]:
-    """Padded size, paddings and the centre crop that undoes them, for a network that halves `encoders` times."""
-    unit = 2**encoders
-    h, w = unit * ceil(height / unit), unit * ceil(width / unit)
-    return {
-        "height_crop": h, "width_crop": w, "top": ceil(0.5 * (h - height)), "bottom": floor(0.5 * (h - height)), "left": ceil(0.5 * (w - width)), "right": floor(0.5 * (w - width)),
-        "iy0": h // 2 - height // 2, "iy1": h // 2 + ceil(height / 2), "ix0": w // 2 - width // 2, "ix1": w // 2 + ceil(width / 2),
-    }
+class Padding(NamedTuple):
+    """A padded size, and what is added before and after each side."""
+
+    height: int
+    width: int
+    top: int
+    bottom: int
+    left: int
+    right: int
+
+    def cropped(self, image):
+        """What was padded, out of the padded image (an array of rows)."""
+        return image[self.top : self.height - self.bottom, self.left : self.width - self.right]
+
+
+def padding(height: int, width: int, encoders: int) -> Padding:
+    """To the next multiple of 2 ** encoders; of an odd number of added rows or columns one more comes before."""
+    more = [-n % 2**encoders for n in (height, width)]
+    (top, bottom), (left, right) = ((n - n // 2, n // 2) for n in more)
+    return Padding(height + more[0], width + more[1], top, bottom, left, right)
 
 
 def reflect_pad(cells: DataFrame, height: int, width: int, encoders: int) -> DataFrame:
     """Cells on the padded grid, its borders mirrored without the edge pixel."""
-    g = crop_geometry(height, width, encoders)
-    padded = grid(cells.sparkSession, g["height_crop"], g["width_crop"])
+    g = padding(height, width, encoders)
+    padded = grid(cells.sparkSession, g.height, g.width)
     mirror = lambda c, n: F.when(c < 0, -c).when(c >= n, 2 * (n - 1) - c).otherwise(c)
-    source = padded.withColumn("_y", mirror(F.col("y") - g["top"], height)).withColumn("_x", mirror(F.col("x") - g["left"], width))
+    source = padded.withColumn("_y", mirror(F.col("y") - g.top, height)).withColumn("_x", mirror(F.col("x") - g.left, width))
     return source.join(cells.withColumnRenamed("y", "_y").withColumnRenamed("x", "_x"), ["_y", "_x"], "left").drop("_y", "_x")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -118,5 +118,7 @@ def metadata(events: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str, name: str = "frame_idx") -> DataFrame:
-    """A side stream with a dense index; side streams are short beside events, so one window does."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """A side stream with a dense index in the given order."""
+    from ..schema import dense_index
+
+    return dense_index(df, list(order), name)

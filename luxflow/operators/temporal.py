@@ -7,27 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN_US = 3_600_000_000
+#: Distinct times in a bucket, about, and frames that are sent to every task at most.
+BUCKET, FRAMES = 1 << 18, 200_000
 
 
-def as_of(probes: DataFrame, events: DataFrame, probe_id: str = "probe_id", t: str = "t_us", by: Sequence[str] = (), strict: bool = True, span: int | None = None) -> DataFrame:
-    """probes with `at`: the last event's idx with time before (strict) or not after each probe's; -1 if none.
+def _span(events: DataFrame, t: str) -> int | float:
+    """Width of a bucket of time in which about BUCKET events are, so dense recordings have short buckets."""
+    n, low, high = events.agg(F.count("*"), F.min(t), F.max(t)).first()
+    if not n or high == low:
+        return 1
+    width = (high - low) / (n // BUCKET + 1)
+    return max(1, int(width) + 1) if isinstance(low, int) else width * (1 + 1e-9)
 
-    events: (idx, t), idx dense and in time order. Events and probes meet in buckets of
-    `span` time units; each bucket starts from the largest idx of the buckets before.
+
+def as_of(probes: DataFrame, events: DataFrame, probe_id: str = "probe_id", t: str = "t_us", by: Sequence[str] = (), strict: bool = True, span: int | float | None = None, around: bool = False) -> DataFrame:
+    """probes with `at`: the last event's idx with time before (strict) or not after each probe's; -1 if none, also of a null time.
+
+    events: (idx, t), idx dense and in time order. Of events at one time only the last
+    idx matters, so they are aggregated first. Times and probes meet in buckets of
+    `span` time units, by default such that a bucket has about BUCKET events; what a
+    bucket starts from is a table of one row per bucket. Probes carry their columns
+    along and are shuffled once. around: also `t_left` and `t_right`, the times of that
+    event and of the next one.
     """
     if span is None:
-        span = SPAN_US
+        span = _span(events, t)
     first = 0 if strict else 2  # before or after events of the same time
-    both = events.select(*by, F.col(t).alias("_t"), F.col("idx").alias("_idx"), F.lit(1).alias("_k"), F.lit(None).cast(probes.schema[probe_id].dataType).alias("_probe"))
-    both = both.unionByName(probes.select(*by, F.col(t).alias("_t"), F.lit(None).cast("long").alias("_idx"), F.lit(first).alias("_k"), F.col(probe_id).alias("_probe")))
-    both = both.withColumn("_b", F.floor(F.col("_t") / span))
-    ends = both.groupBy(*by, "_b").agg(F.max("_idx").alias("_end"))
-    before = ends.select(*by, "_b", F.max("_end").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    row = F.struct(*[probes[c] for c in probes.columns])
+    none = F.lit(None).cast(probes.select(row.alias("r")).schema["r"].dataType)
+    times = events.select(*by, F.col(t).alias("_t"), F.col("idx").alias("_idx")).groupBy(*by, "_t").agg(F.max("_idx").alias("_idx"))
+    both = times.select(*by, "_t", "_idx", F.lit(1).alias("_k"), none.alias("_row"))
+    both = both.unionByName(probes.select(*by, F.col(t).alias("_t"), F.lit(None).cast("long").alias("_idx"), F.lit(first).alias("_k"), row.alias("_row")))
+    both = both.withColumn("_b", F.floor(F.col("_t") / span)).withColumn("_et", F.when(F.col("_k") == 1, F.col("_t")))
+    ends = times.groupBy(*by, F.floor(F.col("_t") / span).alias("_b")).agg(F.max("_idx").alias("_end"), F.max("_t").alias("_high"), F.min("_t").alias("_low"))
+    # the buckets of probes, which may have no events
+    marks = both.select(*by, "_b").distinct().join(ends, [*by, "_b"], "left")
+    back = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(*by, "_b", F.max("_end").over(back).alias("_before"), *([F.max("_high").over(back).alias("_left"), F.min("_low").over(ahead).alias("_right")] if around else []))
     run = Window.partitionBy(*by, "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_at", F.max("_idx").over(run)).where(F.col("_k") == first).join(before, [*by, "_b"])
-    found = found.select(*by, F.col("_probe").alias(probe_id), F.coalesce("_at", "_before", F.lit(-1)).cast("long").alias("at"))
-    return probes.join(found, [*by, probe_id])
+    found = both.withColumn("_at", F.max("_idx").over(run))
+    if around:
+        turned = Window.partitionBy(*by, "_b").orderBy(F.desc("_t"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn("_tl", F.max("_et").over(run)).withColumn("_tr", F.min("_et").over(turned))
+    found = found.where(F.col("_k") == first).join(carried, [*by, "_b"], "left")
+    out = [F.coalesce("_at", "_before", F.lit(-1)).cast("long").alias("at")]
+    if around:
+        out += [F.coalesce("_tl", "_left").alias("t_left"), F.coalesce("_tr", "_right").alias("t_right")]
+    return found.select("_row.*", *out)
 
 
 def time_to_index(probes: DataFrame, events: DataFrame, **options) -> DataFrame:
@@ -47,58 +74,72 @@ def nearest(probes: DataFrame, stream: DataFrame, probe_id: str = "probe_id", t:
     The earlier of two equally near; of rows at one time, the first if it is at or after
     the probe, the last if before; null for an empty stream.
     """
-    placed = as_of(probes, stream, probe_id, t, strict=True, **options)
-    times = stream.select(F.col("idx").alias("_i"), F.col(t).alias("_ti"))
-    left = times.select(F.col("_i").alias("at"), F.col("_ti").alias("_left"))
-    right = times.select((F.col("_i") - 1).alias("at"), F.col("_ti").alias("_right"))
-    both = placed.join(left, "at", "left").join(right, "at", "left")
+    placed = as_of(probes, stream, probe_id, t, strict=True, around=True, **options)
     near = (
-        F.when(F.col("_left").isNull() & F.col("_right").isNull(), F.lit(None).cast("long"))
-        .when(F.col("_right").isNull(), F.col("at")).when(F.col("_left").isNull(), F.col("at") + 1)
-        .when(F.col(t) - F.col("_left") <= F.col("_right") - F.col(t), F.col("at")).otherwise(F.col("at") + 1)
+        F.when(F.col("t_left").isNull() & F.col("t_right").isNull(), F.lit(None).cast("long"))
+        .when(F.col("t_right").isNull(), F.col("at")).when(F.col("t_left").isNull(), F.col("at") + 1)
+        .when(F.col(t) - F.col("t_left") <= F.col("t_right") - F.col(t), F.col("at")).otherwise(F.col("at") + 1)
     )
-    return both.withColumn("nearest", near).drop("at", "_left", "_right")
+    return placed.withColumn("nearest", near).drop("at", "t_left", "t_right")
 
 
 def bracket(probes: DataFrame, stream: DataFrame, probe_id: str = "probe_id", t: str = "t_us") -> DataFrame:
     """probes with (t_before, t_after): the last time at or before, the first after."""
-    placed = as_of(probes, stream, probe_id, t, strict=False)
-    left = stream.select(F.col("idx").alias("at"), F.col(t).alias("t_before"))
-    right = stream.select((F.col("idx") - 1).alias("at"), F.col(t).alias("t_after"))
-    return placed.join(left, "at", "left").join(right, "at", "left").drop("at")
+    placed = as_of(probes, stream, probe_id, t, strict=False, around=True)
+    return placed.withColumnsRenamed({"t_left": "t_before", "t_right": "t_after"}).drop("at")
 
 
 def frame_bounds(frames: DataFrame, events: DataFrame) -> DataFrame:
     """frames (frame_idx, t_us) with [lo, hi): the events since the frame before; the first frame's start with event 0."""
+    from .running import with_previous
+
     placed = as_of(frames, events, "frame_idx").withColumn("hi", F.col("at") + 1).drop("at")
-    return placed.withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("frame_idx")))
+    return with_previous(placed, "frame_idx", {"lo": "hi"}).withColumn("lo", F.coalesce("lo", F.lit(0)))
 
 
-def in_frames(events: DataFrame, frames: DataFrame) -> DataFrame:
+def _owned(events: DataFrame, frames: DataFrame, at: str, limit: int) -> DataFrame:
+    """events with the frame_idx of the first frame whose `at` is above theirs; frames: (frame_idx, at), frame_idx dense from 0, at not falling.
+
+    Up to `limit` frames are sent to every task: each interval is listed under the
+    equal bins that it touches, about two rows a frame, and events look up their bin, so
+    they are not shuffled at all. More frames are joined as of.
+    """
+    n, low, high = frames.agg(F.count("*"), F.min(at), F.max(at)).first()
+    if not n:
+        return events.withColumn("frame_idx", F.lit(None).cast("long")).where(F.lit(False))
+    if n > limit:
+        ends = frames.select(F.col("frame_idx").alias("idx"), F.col(at))
+        placed = as_of(events, ends, "idx", at, strict=False)
+        return placed.withColumn("frame_idx", F.col("at") + 1).where(F.col("frame_idx") < n).drop("at")
+    from .running import with_previous
+
+    width = max(1, (high - low) // n)
+    spans = with_previous(frames.select("frame_idx", F.col(at).alias("_t1")), "frame_idx", {"_t0": "_t1"}).where("_t0 < _t1")
+    bins = spans.select(F.col("frame_idx").alias("_f"), "_t0", "_t1", F.explode(F.sequence(F.floor(F.col("_t0") / width), F.floor((F.col("_t1") - 1) / width))).alias("_bin"))
+    own = events.withColumn("_bin", F.floor(F.col(at) / width)).alias("e").join(F.broadcast(bins), (F.col("e._bin") == bins["_bin"]) & (F.col(at) >= F.col("_t0")) & (F.col(at) < F.col("_t1")), "left")
+    frame = F.when(F.col(at) < low, F.lit(0).cast("long")).otherwise(F.col("_f").cast("long"))
+    return own.select(*[F.col(f"e.{c}") for c in events.columns], frame.alias("frame_idx")).where("frame_idx IS NOT NULL")
+
+
+def in_frames(events: DataFrame, frames: DataFrame, limit: int = FRAMES) -> DataFrame:
     """events with the frame_idx whose interval [previous frame, frame) they fall in; those after the last frame go.
 
     Frame k owns [t of k-1, t of k), so an event's frame is the one after the last frame at or before it.
     """
-    f = frames.select(F.col("frame_idx").alias("idx"), "t_us")
-    placed = as_of(events, f, "idx", strict=False)
-    n = frames.agg(F.count("*").alias("_n"))
-    return placed.withColumn("frame_idx", F.col("at") + 1).crossJoin(F.broadcast(n)).where(F.col("frame_idx") < F.col("_n")).drop("at", "_n")
+    return _owned(events, frames.select("frame_idx", "t_us"), "t_us", limit)
 
 
-def frames_by_event_index(events: DataFrame, frames: DataFrame) -> DataFrame:
+def frames_by_event_index(events: DataFrame, frames: DataFrame, limit: int = FRAMES) -> DataFrame:
     """As in_frames, by each frame's stored event_idx: frame k owns [event_idx of k-1, event_idx of k)."""
-    ends = frames.select(F.col("frame_idx").alias("idx"), F.col("event_idx").alias("pos"))
-    placed = as_of(events.withColumn("pos", F.col("idx")), ends, "idx", "pos", strict=False, span=1 << 18)
-    n = frames.agg(F.count("*").alias("_n"))
-    return placed.withColumn("frame_idx", F.col("at") + 1).crossJoin(F.broadcast(n)).where(F.col("frame_idx") < F.col("_n")).drop("at", "_n", "pos")
+    return _owned(events.withColumn("_pos", F.col("idx")), frames.select("frame_idx", F.col("event_idx").alias("_pos")), "_pos", limit).drop("_pos")
 
 
 def within(left: DataFrame, right: DataFrame, tolerance: int = 1) -> DataFrame:
-    """left (id, t_us) with match: the right idx whose t_us is within tolerance, tried from the last at or before the probe's end of tolerance backwards."""
-    placed = as_of(left.withColumn("_probe_t", F.col("t_us") + tolerance).withColumnRenamed("t_us", "_t0").withColumnRenamed("_probe_t", "t_us"), right, "id", strict=False)
-    times = right.select(F.col("idx").alias("at"), F.col("t_us").alias("_tr"))
-    hit = F.when(F.abs(F.col("_tr") - F.col("_t0")) <= tolerance, F.col("at"))
-    return placed.join(times, "at", "left").select("id", F.col("_t0").alias("t_us"), hit.alias("match"))
+    """left (id, t_us) with match: the last right idx whose t_us is at most tolerance after the probe, if it is not further before it either."""
+    shifted = left.withColumn("_t0", F.col("t_us")).withColumn("t_us", F.col("t_us") + tolerance)
+    placed = as_of(shifted, right, "id", strict=False, around=True)
+    hit = F.when(F.abs(F.col("t_left") - F.col("_t0")) <= tolerance, F.col("at"))
+    return placed.select("id", F.col("_t0").alias("t_us"), hit.alias("match"))
 
 
 def count_windows(events: DataFrame, n: int) -> DataFrame:
@@ -141,7 +182,7 @@ def time_windows(events: DataFrame, width: int | float, t: str = "t_us", include
     if include_last and low is not None:
         bounds.append((len(bounds), bounds[-1][2] if bounds else low, high + width))
     starts = events.sparkSession.createDataFrame([(i, float(a)) for i, a, _ in bounds], "idx long, _s double")
-    placed = as_of(events.withColumn("_s", F.col(t).cast("double")), starts, "idx", "_s", strict=False, span=max(1, int(width * 1000)))
+    placed = as_of(events.withColumn("_s", F.col(t).cast("double")), starts, "idx", "_s", strict=False, span=max(1.0, float(width) * 1000))
     end = bounds[-1][2] if bounds else float("-inf")
     return placed.withColumnRenamed("at", "window").where((F.col("window") >= 0) & (F.col(t) < end)).drop("_s")
 
@@ -170,13 +211,22 @@ def slices(events: DataFrame, slice_us: int, late: bool = True) -> DataFrame:
 
 
 def previous(df: DataFrame, order: str, column: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """A side stream with the value of its row before."""
-    return df.withColumn(name, F.lag(column).over(Window.partitionBy(*by).orderBy(order)))
+    """A side stream with the value of its row before; order is dense."""
+    from .running import with_previous
 
+    return with_previous(df, order, {name: column}, by)
 
-def sliding_median(df: DataFrame, order: str, columns: Sequence[str], size: int, by: Sequence[str] = ()) -> DataFrame:
-    """Each column's median over a row and the `size` rows before."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-size, 0)
-    return df.withColumns({f"{c}_median": F.percentile(F.col(c), 0.5).over(w) for c in columns})
 
+def sliding_median(df: DataFrame, order: str, columns: Sequence[str], size: int, by: Sequence[str] = (), bucket: int = 1 << 16) -> DataFrame:
+    """Each column's median over a row and the `size` rows before; order is dense.
 
+    Rows are dealt over buckets of the order; the last `size` rows of a bucket also go
+    to the next ones that reach back to them.
+    """
+    bucket = max(bucket, size + 1)
+    own = F.floor(F.col(order) / bucket)
+    late = F.col(order) % bucket >= bucket - size
+    spread = df.withColumn("_b", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(-size, 0)
+    made = spread.withColumns({f"{c}_median": F.percentile(F.col(c), 0.5).over(w) for c in columns})
+    return made.where(F.col("_b") == own).drop("_b")

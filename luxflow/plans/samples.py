@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import temporal
+from ..operators.running import with_previous
 from ..schema import dense_index
 
 
 def intervals(frames: DataFrame) -> DataFrame:
     """(frame_idx, t0, t1) between neighbouring frames."""
-    f = frames.select("frame_idx", F.col("t_us").alias("t0"), F.lead("t_us").over(Window.orderBy("frame_idx")).alias("t1"))
-    return f.where("t1 IS NOT NULL")
+    pairs = with_previous(frames.select("frame_idx", F.col("t_us").alias("t1")), "frame_idx", {"t0": "t1"}).where("t0 IS NOT NULL")
+    return pairs.select((F.col("frame_idx") - 1).alias("frame_idx"), "t0", "t1")
 
 
 def _count_in(spans: DataFrame, stream: DataFrame, name: str) -> DataFrame:

@@ -56,24 +56,30 @@ def camera_view(events: DataFrame) -> DataFrame:
     )
 
 
-BUCKETS, BUCKET_ROWS = 256, 500_000
+BUCKET_ROWS = 500_000
 
 
-def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, order: list[str], name: str = "idx", rows: int = BUCKET_ROWS) -> DataFrame:
     """df with a dense 0-based index in the given order, without sending all rows to one task.
 
-    Rows go to buckets by value of the first column, at about even quantiles of it; a
-    row's index is its place in its bucket plus the sizes of the buckets before, a table
-    of BUCKETS rows at most. Buckets are made of values, not of partitions, so the
-    two uses of them always agree.
+    Up to `rows` rows are numbered in one task. More are range-partitioned by all order
+    columns, about `rows` to a partition, and written once to the shared folder with
+    their place in their partition; an index is that place plus the sizes of the
+    partitions before, a table of one row for each. As they are written, a partition that
+    is made again can't be cut elsewhere. Rows equal in all order columns are numbered
+    arbitrarily, and share a partition.
     """
-    timed = dict(df.dtypes)[order[0]].startswith("timestamp")
-    number = (F.unix_micros(F.col(order[0]).cast("timestamp")) if timed else F.col(order[0])).cast("double")
-    n, *cuts = df.agg(F.count("*"), F.percentile_approx(number, [k / BUCKETS for k in range(1, BUCKETS)], 2000)).first()
-    parts = min(BUCKETS, n // BUCKET_ROWS + 1)
-    cuts = sorted({float(c) for c in (cuts[0] or [])[:: max(1, BUCKETS // parts)]}) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < number)) if cuts else F.lit(0)
-    return _numbered(df.withColumn("_part", bucket), order, name)
+    from .shared import written
+
+    n = df.count()
+    if n <= rows:
+        return _numbered(df.withColumn("_part", F.lit(0)), order, name)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    cut = df.repartitionByRange(n // rows + 1, *order).sortWithinPartitions(*order)
+    cut = written(cut.withColumn("_part", F.spark_partition_id()).withColumn("_place", place), "numbered")
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return cut.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")  # a row for each `rows` rows
 
 
 def dense_again(df: DataFrame, order: str, name: str = "idx", bucket: int = 1 << 18) -> DataFrame:
