@@ -32,3 +32,11 @@ def names(folder: str, suffix: str = "") -> list[str]:
 def exists(path: str) -> bool:
     system, at = opened(path)
     return system.get_file_info(at).type != fs.FileType.NotFound
+
+
+def write(path: str, data: bytes) -> None:
+    """A whole file; folders above it are made."""
+    system, at = opened(path)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(at) as f:
+        f.write(data)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -92,6 +93,19 @@ def read_png(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(run, IMAGE)
 
 
+def read_frames(spark: SparkSession, index: str) -> DataFrame:
+    """(idx, t, path, height, width, channels, pixels): the images of a list of times and names."""
+    from .text import read_index
+
+    listed = read_index(spark, index)
+    return listed.join(read_png(spark, f"{index.rpartition('/')[0]}/*.png"), "path").select("idx", "t", "path", "height", "width", "channels", "pixels")
+
+
+def depth_of(images: DataFrame) -> DataFrame:
+    """(path, y, x, depth) of one-channel depth images, their values as they are."""
+    return pixels(images).where("channel = 0").select("path", "y", "x", F.col("value").cast("float").alias("depth"))
+
+
 def same_shape(images: DataFrame) -> DataFrame:
     """images, or an error if their shapes differ."""
     shapes = images.select("height", "width", "channels").distinct().limit(2).count()
@@ -128,34 +142,96 @@ def ordinals(images: DataFrame, times: DataFrame) -> DataFrame:
     return numbered(images, "path", name="idx").join(times, "idx")
 
 
-def read_npz_flow(spark: SparkSession, path: str, x: str = "x_flow_dist", y: str = "y_flow_dist", t: str = "timestamps") -> DataFrame:
-    """(frame, t, height, width, fx, fy) of an archive of flow frames, one row per frame; each task reads its frames."""
-    n = len(_array(path, t))
+def npz_members(path: str) -> dict[str, tuple[int, int, int]]:
+    """Each member of an archive: where its header begins in the file, its bytes there, and how they are packed; only the archive's directory is read."""
+    system, at = files.opened(path)
+    with system.open_input_file(at) as f, zipfile.ZipFile(pa.PythonFile(f) if not hasattr(f, "seekable") else f) as z:
+        return {i.filename.removesuffix(".npy"): (i.header_offset, i.compress_size, i.compress_type) for i in z.infolist()}
+
+
+class _Member:
+    """One array of an archive, read as far as it is asked for."""
+
+    def __init__(self, path: str, member: tuple[int, int, int]):
+        offset, size, packed = member
+        name, extra = struct.unpack("<HH", files.read(path, offset + 26, 4))
+        self.path, self.at, self.size, self.packed = path, offset + 30 + name + extra, size, packed
+        if packed not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise ValueError(f"unknown packing {packed} in {path}")
+        head = self._bytes(0, min(1 << 12, size) if not packed else 1 << 12)
+        stream = io.BytesIO(head)
+        version = np.lib.format.read_magic(stream)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        self.shape, fortran, self.dtype = read(stream)
+        if fortran:
+            raise ValueError(f"arrays in column order are not read: {path}")
+        self.first = stream.tell()
+
+    def _bytes(self, low: int, n: int) -> bytes:
+        """n unpacked bytes from low on; of stored members just those are read, of deflated ones all before are unpacked and let go."""
+        if not self.packed:
+            return files.read(self.path, self.at + low, n)
+        system, at = files.opened(self.path)
+        out, seen, machine = [], 0, zlib.decompressobj(-15)
+        with system.open_input_file(at) as f:
+            f.seek(self.at)
+            left = self.size
+            while left and seen < low + n:
+                raw = f.read(min(left, 1 << 20))
+                left -= len(raw)
+                part = machine.decompress(raw)
+                out.append(part[max(0, low - seen) : max(0, low + n - seen)])
+                seen += len(part)
+        return b"".join(out)
+
+    def rows(self, low: int, high: int) -> np.ndarray:
+        step = int(np.prod(self.shape[1:], dtype=np.int64)) * self.dtype.itemsize
+        raw = self._bytes(self.first + low * step, (high - low) * step)
+        return np.frombuffer(raw, self.dtype).reshape(high - low, *self.shape[1:])
+
+
+def read_npz_flow(spark: SparkSession, path: str, x: str = "x_flow_dist", y: str = "y_flow_dist", t: str = "timestamps", block: int = 16) -> DataFrame:
+    """(frame, t, height, width, fx, fy) of an archive of flow frames, one row per frame; a task reads blocks of frames out of the archive's members."""
+    members = npz_members(path)
+    n = _Member(path, members[t]).shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(0).to_pylist()
-            if not wanted:
-                continue
-            fx, fy, times = (_array(path, k) for k in (x, y, t))
-            for i in wanted:
-                h, w = fx[i].shape
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([float(times[i])]), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([fx[i].ravel().astype(np.float32)], pa.list_(pa.float32())), pa.array([fy[i].ravel().astype(np.float32)], pa.list_(pa.float32()))], ["frame", "t", "height", "width", "fx", "fy"])
+            for low in batch.column(0).to_pylist():
+                high = min(n, low + block)
+                fx, fy, times = (_Member(path, members[k]).rows(low, high) for k in (x, y, t))
+                h, w = fx.shape[1:]
+                flat = [pa.FixedSizeListArray.from_arrays(pa.array(a.astype(np.float32).ravel()), h * w).cast(pa.list_(pa.float32())) for a in (fx, fy)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array(times.astype(float)), pa.array(np.full(high - low, h, np.int32)), pa.array(np.full(high - low, w, np.int32)), *flat], ["frame", "t", "height", "width", "fx", "fy"])
 
-    return spark.range(n).mapInArrow(run, "frame long, t double, height int, width int, fx array<float>, fy array<float>")
+    return spark.range(0, n, block).mapInArrow(run, "frame long, t double, height int, width int, fx array<float>, fy array<float>")
 
 
-def _array(path: str, key: str) -> np.ndarray:
-    with np.load(io.BytesIO(files.read(path))) as held:
-        return held[key]
+def read_npz_rows(spark: SparkSession, path: str, columns: dict[str, str], block: int = 1 << 16) -> DataFrame:
+    """(idx, name...) of an archive of equally long arrays, such as odometry: scalars as double, rows as array<double>; read by tasks in blocks."""
+    members = npz_members(path)
+    shapes = {name: _Member(path, members[key]).shape for name, key in columns.items()}
+    n = next(iter(shapes.values()))[0]
+    if any(s[0] != n for s in shapes.values()):
+        raise ValueError(f"arrays differ in length in {path}")
+    schema = "idx long, " + ", ".join(f"{name} {'double' if len(s) == 1 else 'array<double>'}" for name, s in shapes.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in batch.column(0).to_pylist():
+                held = [_Member(path, members[key]).rows(low, min(n, low + block)).astype(float) for key in columns.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, min(n, low + block))), *map(_rows_of, held)], ["idx", *columns])
+
+    return spark.range(0, n, block).mapInArrow(run, schema)
 
 
-def read_npz_rows(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """(idx, name...) of an archive of equally long arrays, such as odometry: scalars as double, rows as array<double>."""
-    held = {name: np.asarray(_array(path, key), float) for name, key in columns.items()}
-    rows = [(i, *[float(a[i]) if a.ndim == 1 else a[i].ravel().tolist() for a in held.values()]) for i in range(len(next(iter(held.values()))))]
-    schema = "idx long, " + ", ".join(f"{n} {'double' if a.ndim == 1 else 'array<double>'}" for n, a in held.items())
-    return spark.createDataFrame(rows, schema)
+def _rows_of(a: np.ndarray) -> pa.Array:
+    """An array's rows: numbers, or lists over its one flat buffer."""
+    if a.ndim == 1:
+        return pa.array(a)
+    width = int(np.prod(a.shape[1:], dtype=np.int64))
+    offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * width)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(a).ravel()))
 
 
 def flow_pixels(flows: DataFrame) -> DataFrame:
@@ -186,6 +262,6 @@ def read_hdf5(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]
                 with h5py.File(path) as f:
                     held = [np.asarray(f[k][low:high]) for k, _ in columns.values()]
                 arrays = [np.arange(low, high), *held]
-                yield pa.RecordBatch.from_arrays([pa.array(a if a.ndim == 1 else list(a)).cast(f.type) for a, f in zip(arrays, kinds, strict=True)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([_rows_of(a).cast(f.type) for a, f in zip(arrays, kinds, strict=True)], schema=kinds)
 
     return spark.range(-(-n // rows)).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import dense_again, polarity
+from . import files
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -77,12 +78,16 @@ def read_integer_rows(spark: SparkSession, path: str, columns: int = 1) -> DataF
 
 
 def read_index(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """(idx, t, path): an image or depth list; names are taken from the list's folder, and must exist if check."""
+    """(idx, t, path): an image or depth list; names are taken from the list's folder. If check, they must exist, and times must rise."""
+    from ..operators.select import order_violations
+
     folder = os.path.dirname(path)
     f = fields(F.col("value"))
-    listed = data_lines(lines(spark, path)).select("idx", f[0].cast("double").alias("t"), F.concat(F.lit(folder + "/"), f[1]).alias("path"))
+    listed = data_lines(lines(spark, path)).select("idx", f[0].cast("double").alias("t"), F.concat(F.lit(folder.removeprefix("file:") + "/"), f[1]).alias("path"))
     if not check:
         return listed
+    if order_violations(listed, "t", strict=True).first()["violations"]:
+        raise ValueError(f"timestamps do not rise in {path}")
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:", "").alias("path"), F.lit(True).alias("_there"))
     missing = F.raise_error(F.concat(F.lit("missing file "), F.col("path"))).cast("string")
     return listed.join(there, "path", "left").select("idx", "t", F.when(F.col("_there"), F.col("path")).otherwise(missing).alias("path"))
@@ -90,8 +95,7 @@ def read_index(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 
 def read_calibration(path: str) -> tuple[float, ...]:
     """fx fy cx cy k1 k2 p1 p2 k3; a missing k3 is 0."""
-    with open(path, encoding="utf-8") as f:
-        values = tuple(float(v) for v in f.read().split())
+    values = tuple(float(v) for v in files.read(path).decode().split())
     if len(values) not in (8, 9):
         raise ValueError(f"expected 8 or 9 numbers in {path}, got {len(values)}")
     return values if len(values) == 9 else (*values, 0.0)

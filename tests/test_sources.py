@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from luxflow.operators import decode, temporal
 from luxflow.plans import recording
 from luxflow.sources import aedat4, cache, generate, layout, rasters, rosbag, text, words
+from luxflow.sources.encode import aedat4_file, bag, packet, tables_packet
 
 
 def evt3(path, values, header=b"% evt 3.0\n% format EVT3;height=10;width=32\n% end\n", rest=b""):
@@ -84,123 +85,14 @@ def test_bin(spark, tmp_path):
     assert [(r.i, r.x, r.y, r.p, r.t_us) for r in got] == [(0, 1, 2, True, 5), (2, 3, 4, False, 70000 + 8192), (4, 7, 8, True, 2 + 2 * 8192)]
 
 
-class Flat:
-    """A small FlatBuffers writer: tables of scalars and references, appended one after another."""
-
-    def __init__(self):
-        self.parts = bytearray()
-
-    def table(self, slots):
-        """slots: {number: (format, value) or ('ref', position)} -> position."""
-        while len(self.parts) % 8:
-            self.parts += b"\0"
-        n = max(slots, default=-1) + 1
-        vtable = len(self.parts)
-        at, offsets = 8, {}
-        for k, (kind, value) in slots.items():
-            size = 4 if kind == "ref" else struct.calcsize(kind)
-            at = -(-at // size) * size
-            offsets[k] = at
-            at += size
-        vsize = 4 + 2 * n
-        pad = -(vtable + vsize) % 8
-        start = vtable + vsize + pad
-        self.parts += struct.pack("<HH", vsize, at) + b"".join(struct.pack("<H", offsets.get(k, 0)) for k in range(n)) + bytes(pad)
-        body = bytearray(at)
-        struct.pack_into("<i", body, 0, start - vtable)
-        self.parts += body
-        for k, (kind, value) in slots.items():
-            place = start + offsets[k]
-            if kind == "ref":
-                self.fix(place, value)
-            else:
-                struct.pack_into(kind, self.parts, place, *(value if isinstance(value, tuple) else (value,)))
-        return start
-
-    def fix(self, place, target):
-        self.refs = getattr(self, "refs", [])
-        self.refs.append((place, target))
-
-    def vector(self, raw, n):
-        while (len(self.parts) + 4) % 8:
-            self.parts += b"\0"
-        at = len(self.parts)
-        self.parts += struct.pack("<I", n) + raw
-        return at
-
-    def finish(self, build, ident, prefixed=True):
-        """build returns the root; references are laid out by a second vector of positions behind their users."""
-        root = build(self)
-        out = bytearray(struct.pack("<I", root + 8) + ident) + self.parts
-        for place, target in getattr(self, "refs", []):
-            struct.pack_into("<I", out, place + 8, target - place)
-        return (struct.pack("<I", len(out)) if prefixed else b"") + bytes(out)
-
-
-def packet(ident, raw_vector, n, more=None, slot=0):
-    """A root table whose slot refers to a vector behind it."""
-    f = Flat()
-
-    def build(f):
-        slots = {slot: ("ref", 0), **(more or {})}
-        root = f.table(slots)
-        v = f.vector(raw_vector, n)
-        f.refs = [(p, v) for p, _ in f.refs]
-        return root
-
-    return f.finish(build, ident)
-
-
-def tables_packet(ident, tables):
-    f = Flat()
-
-    def build(f):
-        root = f.table({0: ("ref", 0)})
-        user = f.refs.pop()[0]
-        v = f.vector(bytes(4 * len(tables)), len(tables))
-        refs = [(user, v)]
-        for i, t in enumerate(tables):
-            refs.append((v + 4 + 4 * i, f.table(t)))
-        f.refs = refs
-        return root
-
-    return f.finish(build, ident)
-
-
-def container(path, streams, packets, compression=0, table=True):
-    xml = '<dv><node name="outInfo">' + "".join(f'<node name="{i}"><attr key="originalOutputName">{n}</attr><attr key="typeIdentifier">{t}</attr></node>' for i, (n, t) in enumerate(streams)) + "</node></dv>"
-    squeeze = (lambda b: pa.Codec("lz4").compress(b, asbytes=True)) if compression in (1, 2) else (lambda b: pa.Codec("zstd").compress(b, asbytes=True)) if compression else (lambda b: b)
-
-    def head(position):
-        f = Flat()
-
-        def build(f):
-            root = f.table({0: ("<i", compression), 1: ("<q", position), 2: ("ref", 0)})
-            v = f.vector(xml.encode(), len(xml))
-            f.refs = [(p, v) for p, _ in f.refs]
-            return root
-
-        return f.finish(build, b"IOHE", prefixed=False)
-
-    body, index = b"", []
-    first = len(aedat4.MAGIC) + 4 + len(head(0))
-    for stream, data in packets:
-        data = squeeze(data)
-        index.append((first + len(body) + 8, stream, len(data)))
-        body += struct.pack("<ii", stream, len(data)) + data
-    end = squeeze(tables_packet(b"FTAB", [{0: ("<q", at), 1: ("<ii", (s, n))} for at, s, n in index])) if table else b""
-    h = head(first + len(body) if table else -1)
-    path.write_bytes(aedat4.MAGIC + struct.pack("<I", len(h)) + h + body + end)
-    return str(path)
-
-
 @pytest.mark.parametrize(("compression", "table"), [(0, True), (0, False), (1, True), (3, True), (4, False)])
 def test_aedat4(spark, tmp_path, compression, table):
     events = lambda rows: packet(b"EVTS", b"".join(struct.pack("<qhhBBh", t, x, y, p, 0, 0) for t, x, y, p in rows), len(rows))
     frame = packet(b"FRME", bytes(range(6)), 6, {0: ("<q", 10), 5: ("<b", 0), 6: ("<h", 3), 7: ("<h", 2)}, slot=10)
     imu = tables_packet(b"IMUS", [{0: ("<q", 7), 2: ("<f", 0.1), 3: ("<f", 0.2), 4: ("<f", 0.3), 5: ("<f", 1.1), 6: ("<f", 1.2), 7: ("<f", 1.3)}])
     trigger = tables_packet(b"TRIG", [{0: ("<q", 8), 1: ("<b", 2)}])
-    path = container(tmp_path / "a.aedat4", [("events", "EVTS"), ("frames", "FRME"), ("mine", "IMUS"), ("triggers", "TRIG")], [(0, events([(1, 2, 3, 1)])), (1, frame), (2, imu), (0, events([(4, 5, 6, 0), (5, 6, 7, 1)])), (3, trigger)], compression, table)
+    (tmp_path / "a.aedat4").write_bytes(aedat4_file([("events", "EVTS"), ("frames", "FRME"), ("mine", "IMUS"), ("triggers", "TRIG")], [(0, events([(1, 2, 3, 1)])), (1, frame), (2, imu), (0, events([(4, 5, 6, 0), (5, 6, 7, 1)])), (3, trigger)], compression, table))
+    path = str(tmp_path / "a.aedat4")
     assert rows(aedat4.read_events(spark, path), "idx", "t_us", "x", "y", "p") == [(0, 1, 2, 3, True), (1, 4, 5, 6, False), (2, 5, 6, 7, True)]
     f = aedat4.read(spark, path, "frames").first()
     assert (f.t_us, f.height, f.width, f.channels, bytes(f.pixels)) == (10, 2, 3, 1, bytes(range(6)))
@@ -344,17 +236,6 @@ def test_cache_follows_its_source(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).columns == ["idx", "time", "x", "y", "p"]
 
 
-def bag(topic_bodies):
-    def record(head, body):
-        h = b"".join(struct.pack("<I", len(k) + 1 + len(v)) + k + b"=" + v for k, v in head.items())
-        return struct.pack("<I", len(h)) + h + struct.pack("<I", len(body)) + body
-
-    topics = sorted({t for t, _, _ in topic_bodies})
-    inner = b"".join(record({b"op": bytes([7]), b"conn": struct.pack("<I", i), b"topic": t.encode()}, b"") for i, t in enumerate(topics))
-    inner += b"".join(record({b"op": bytes([2]), b"conn": struct.pack("<I", topics.index(t)), b"time": struct.pack("<II", ns // 10**9, ns % 10**9)}, body) for t, ns, body in topic_bodies)
-    return rosbag.MAGIC + record({b"op": bytes([3])}, bytes(10)) + record({b"op": bytes([5]), b"compression": b"none"}, inner)
-
-
 def test_rosbag(spark, tmp_path):
     head = struct.pack("<III", 0, 1, 2) + struct.pack("<I", 3) + b"imu"
     body = head + struct.pack("<4d", 0, 0, 0, 1) + bytes(72) + struct.pack("<3d", 1, 2, 3) + bytes(72) + struct.pack("<3d", 4, 5, 6) + bytes(72)
