@@ -116,9 +116,16 @@ def dsec_map(spark: SparkSession, events_folder: str, key: str = "rectify_map")
     return spark.range(height).mapInArrow(run, "y int, x int, rx float, ry float")
 
 
-def dsec_images(spark: SparkSession, folder: str, times: DataFrame) -> DataFrame:
-    """PNG files by name joined to their times by place; an error if their numbers differ."""
-    return rasters.ordinals(rasters.read_png(spark, f"{folder}/*.png"), times)
+def dsec_images(spark: SparkSession, folder: str, times: str, exposures: str | None = None) -> DataFrame:
+    """(idx, t_us, path, height, width, channels, pixels), PNG files by name joined to the times of a list by place; with a list of them, exposure_start and exposure_end too. An error if their numbers differ."""
+    stamps = text.read_integer_rows(spark, times).select("idx", F.col("v0").alias("t_us"))
+    out = rasters.ordinals(rasters.read_png(spark, f"{folder}/*.png"), stamps)
+    if exposures is None:
+        return out
+    spans = text.read_integer_rows(spark, exposures, 2).select("idx", F.col("v0").alias("exposure_start"), F.col("v1").alias("exposure_end"))
+    if spans.count() != stamps.count():
+        raise ValueError("exposures and timestamps differ in number")
+    return out.join(spans, "idx")
 
 
 def backward_anchor(samples: DataFrame, backward: DataFrame) -> DataFrame:
