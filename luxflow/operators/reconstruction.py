@@ -100,10 +100,16 @@ def recurrent_unet(bins: int, base: int = 8, encoders: int = 2, residual: int =
             x = relu(conv2d(upsample(x + skip), *conv))
         return _sigmoid(conv2d(x + first, *prediction))[0], new
 
+    run.weights = held
     return run
 
 
-def reconstruct(events: DataFrame, windows: DataFrame, height: int, width: int, bins: int, run: Callable[[], Model], encoders: int = 2, amount: float = 0.3, median: int = 10) -> DataFrame:
+def parameter_count(model: Model) -> int:
+    """How many numbers a model has learnt, or would."""
+    return sum(np.size(w) for w in model.weights.values())
+
+
+def reconstruct(events: DataFrame | None, windows: DataFrame, height: int, width: int, bins: int, run: Callable[[], Model], encoders: int = 2, amount: float = 0.3, median: int = 10) -> DataFrame:
     """(frame_idx, y, x, level): an image per window of events, in 0..255.
 
     windows: events with `window`. Voxels are built and normalised per window, padded by

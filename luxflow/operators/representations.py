@@ -130,8 +130,10 @@ def to_byte(value: Column, low: Column, high: Column) -> Column:
 
 
 def collate(samples: DataFrame, size: int, order: str = "frame_idx") -> DataFrame:
-    """(batch, samples): the rows of each `size` neighbours as an array of structs in order."""
+    """(batch, samples): the rows of each `size` neighbours as an array of structs in order; without samples an error."""
     if size < 1:
         raise ValueError("batch size must be positive")
+    if samples.isEmpty():
+        raise ValueError("there are no samples to batch")
     held = F.array_sort(F.collect_list(F.struct(order, *[c for c in samples.columns if c != order])))
     return samples.groupBy(F.floor(F.col(order) / size).alias("batch")).agg(held.alias("samples"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from enum import Enum
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import select, spatial, temporal
-from ..sources import layout, text
+from ..sources import cache, layout, rasters, text
 from . import samples
+from .protocols import EventSource, Samples
 
 
 class Loading(Enum):
@@ -31,7 +33,7 @@ class Loading(Enum):
 
 
 @dataclass
-class Recording:
+class Recording(EventSource):
     """events: (idx, t_us, x, y, p). Side streams: (idx, t_us, ...), or None where a recording has none."""
 
     events: DataFrame
@@ -58,11 +60,9 @@ class Recording:
             df.unpersist()
         self._held.clear()
 
-    def __enter__(self) -> Recording:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.close()
+    def __del__(self) -> None:
+        if self._held:
+            warnings.warn("a recording with persisted streams was not closed", ResourceWarning, stacklevel=2)
 
     @property
     def num_events(self) -> int:
@@ -72,6 +72,7 @@ class Recording:
         return select.metadata(self.events)
 
     def load_events(self, start: int, stop: int, check: bool = True) -> DataFrame:
+        """Events from start up to stop; check counts them first, to refuse places outside the recording."""
         return select.by_index(self.events, start, stop, self.num_events if check else None)
 
     def get_events_by_time(self, start: int, stop: int) -> DataFrame:
@@ -81,6 +82,13 @@ class Recording:
         """The last event strictly before t; -1 if none."""
         return self.events.where(F.col("t_us") < t).agg(F.coalesce(F.max("idx"), F.lit(-1))).first()[0]
 
+    def index_to_time(self, index: int) -> int:
+        """The time of an event, negative ones from the end."""
+        found = select.row(self.events, index).first()
+        if found is None:
+            raise IndexError(index)
+        return found["t_us"]
+
     def times_to_indices(self, probes: DataFrame) -> DataFrame:
         return temporal.time_to_index(probes, self.events)
 
@@ -124,6 +132,10 @@ class Recording:
         frames = self.stream("frames").withColumnRenamed("idx", "frame_idx").select("frame_idx", "t_us")
         return samples.interval_samples(frames, self.events, self.streams.get("imu"), self.streams.get("disparity"))
 
+    def samples(self) -> Samples:
+        """Frames by number, each with its events."""
+        return Samples(self.frame_samples(), on_close=self.close)
+
     def undistort(self, mapping: DataFrame, height: int, width: int) -> DataFrame:
         return spatial.undistort(self.events, mapping, height, width)
 
@@ -136,8 +148,13 @@ def _micros(df: DataFrame) -> DataFrame:
     return df.withColumn("t_us", F.rint(F.col("t") * 1e6).cast("long"))
 
 
-def davis(spark, root: str, name: str | None = None, resolution: tuple[int, int] | None = None) -> Recording:
-    """A DAVIS or ECD text recording; files that are missing or hold no rows give empty streams, or None if absent."""
+def davis(spark, root: str, name: str | None = None, resolution: tuple[int, int] | None = None, copies: str | None = None) -> Recording:
+    """A DAVIS or ECD text recording; files that are missing or hold no rows give empty streams, or None if absent.
+
+    Without a resolution it is that of the first frame, if there is one. copies: a
+    folder in which events are kept as Parquet, sorted by place, so that ranges of them
+    are found by row-group statistics; made again when the text changes.
+    """
     from ..sources import files
 
     folder = layout.davis_recording(root, name)
@@ -150,7 +167,13 @@ def davis(spark, root: str, name: str | None = None, resolution: tuple[int, int]
         "imu": _micros(text.read_imu(spark, f"{folder}/imu.txt")) if there("imu.txt") else None,
         "pose": _micros(text.read_pose(spark, f"{folder}/groundtruth.txt")) if there("groundtruth.txt") else None,
     }
-    return Recording(_micros(text.read_davis_events(spark, f"{folder}/events.txt")).select("idx", "t_us", "x", "y", "p"), streams, resolution)
+    if resolution is None and streams["frames"] is not None:
+        first = streams["frames"].orderBy("idx").select("path").first()
+        if first is not None and first["path"].endswith(".png") and files.read(first["path"], 0, 8) == rasters.SIGNATURE:
+            resolution = rasters.png_shape(first["path"])
+    read = lambda: _micros(text.read_davis_events(spark, f"{folder}/events.txt")).select("idx", "t_us", "x", "y", "p")
+    events = read() if copies is None else cache.cached(spark, copies, f"{folder}/events.txt", "events", read)
+    return Recording(events, streams, resolution)
 
 
 def ecd(spark, root: str, sequence: str) -> Recording:

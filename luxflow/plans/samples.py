@@ -42,6 +42,38 @@ def interval_samples(frames: DataFrame, events: DataFrame, imu: DataFrame | None
     return out.select("frame_idx", "t0", "t1", "num_events", "num_imu", "disparity")
 
 
+def modal_samples(
+    spans: DataFrame, events: DataFrame, images: DataFrame | None = None, has_flow: bool = False, backward: DataFrame | None = None, disparity: DataFrame | None = None, imu: DataFrame | None = None, lidar: DataFrame | None = None,
+) -> DataFrame:
+    """(frame_idx, t0, t1, num_events, num_imu, num_lidar, image_start, image_end, flow, flow_backward, disparity), a row per interval.
+
+    The images nearest to both ends, the disparity nearest to the end, the interval's own
+    flow, and the backward flow that starts within a microsecond of the interval. A
+    missing stream gives nulls.
+    """
+    none = F.lit(None).cast("long")
+    out = spans.select("frame_idx", "t0", "t1")
+    for name, stream in (("num_events", events), ("num_imu", imu), ("num_lidar", lidar)):
+        if stream is None:
+            out = out.withColumn(name, none)
+        else:
+            dense = stream if stream is events else dense_index(stream.select("t_us"), ["t_us"])
+            out = out.join(_count_in(spans, dense, name), "frame_idx", "left")
+    for name, stream, end in (("image_start", images, "t0"), ("image_end", images, "t1"), ("disparity", disparity, "t1")):
+        if stream is None:
+            out = out.withColumn(name, none)
+        else:
+            near = temporal.nearest(spans.select(F.col("frame_idx").alias("probe_id"), F.col(end).alias("t_us")), stream.select("idx", "t_us"))
+            out = out.join(near.select(F.col("probe_id").alias("frame_idx"), F.col("nearest").alias(name)), "frame_idx", "left")
+    out = out.withColumn("flow", F.col("frame_idx").cast("long") if has_flow else none)
+    if backward is None:
+        out = out.withColumn("flow_backward", none)
+    else:
+        same = temporal.within(spans.select(F.col("frame_idx").alias("id"), F.col("t0").alias("t_us")), backward.select("idx", "t_us"), 1)
+        out = out.join(same.select(F.col("id").alias("frame_idx"), F.col("match").alias("flow_backward")), "frame_idx", "left")
+    return out.select("frame_idx", "t0", "t1", "num_events", "num_imu", "num_lidar", "image_start", "image_end", "flow", "flow_backward", "disparity")
+
+
 def frame_samples(frames: DataFrame, events: DataFrame, pose: DataFrame | None = None, depth: DataFrame | None = None) -> DataFrame:
     """A row per frame: its events as an array of structs in order, and the nearest pose and depth rows' idx."""
     owned = temporal.in_frames(events, frames).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "t_us", "x", "y", "p"))).alias("events"))

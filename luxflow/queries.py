@@ -258,6 +258,26 @@ def join07_samples(spark, d):
     return interval_samples(camframes(c), c, c.where("idx % 10 = 0"), disparity)
 
 
+def _near(end: str, stream: str) -> str:
+    return f"(SELECT s.frame_idx, CASE WHEN a.idx IS NULL THEN b.idx WHEN b.idx IS NULL THEN a.idx WHEN s.{end} - b.t_us <= a.t_us - s.{end} THEN b.idx ELSE a.idx END AS near FROM s ASOF LEFT JOIN {stream} b ON s.{end} > b.t_us ASOF LEFT JOIN {stream} a ON s.{end} <= a.t_us)"
+
+
+@query(f"""WITH {CAM}, {CAMFRAMES}, s AS (SELECT * FROM (SELECT frame_idx, t_us AS t0, lead(t_us) OVER (ORDER BY frame_idx) AS t1 FROM f) WHERE t1 IS NOT NULL),
+  img AS (SELECT row_number() OVER (ORDER BY t_us) - 1 AS idx, t_us FROM cam WHERE idx % 71 = 3), disp AS (SELECT row_number() OVER (ORDER BY t_us) - 1 AS idx, t_us FROM cam WHERE idx % 53 = 5),
+  back AS (SELECT row_number() OVER (ORDER BY t_us) - 1 AS idx, t_us FROM (SELECT t_us + frame_idx % 3 AS t_us FROM f WHERE frame_idx % 2 = 0))
+  SELECT s.frame_idx, s.t0, s.t1, (SELECT count(*) FROM cam c WHERE c.t_us >= s.t0 AND c.t_us < s.t1) AS num_events, (SELECT count(*) FROM cam c WHERE c.idx % 10 = 0 AND c.t_us >= s.t0 AND c.t_us < s.t1) AS num_imu,
+  (SELECT count(*) FROM cam c WHERE c.idx % 7 = 0 AND c.t_us >= s.t0 AND c.t_us < s.t1) AS num_lidar, i0.near AS image_start, i1.near AS image_end, s.frame_idx AS flow, b.idx AS flow_backward, d.near AS disparity
+  FROM s JOIN {_near('t0', 'img')} i0 USING (frame_idx) JOIN {_near('t1', 'img')} i1 USING (frame_idx) JOIN {_near('t1', 'disp')} d USING (frame_idx) LEFT JOIN back b ON b.t_us BETWEEN s.t0 - 1 AND s.t0 + 1""")
+def join07_modal_samples(spark, d):
+    from .plans.samples import intervals, modal_samples
+
+    c = cam(spark, d)
+    f = camframes(c)
+    back = f.where("frame_idx % 2 = 0").select((F.col("t_us") + F.col("frame_idx") % 3).alias("t_us"))
+    every = lambda n, k: select.numbered(c.where(f"idx % {n} = {k}").select("t_us"), "t_us", name="idx")
+    return modal_samples(intervals(f), c, every(71, 3), True, select.numbered(back, "t_us", name="idx"), every(53, 5), c.where("idx % 10 = 0"), c.where("idx % 7 = 0"))
+
+
 @query(f"WITH {CAM}, l AS (SELECT idx AS id, t_us + idx % 4 AS t_us FROM cam) SELECT l.id, l.t_us, r.idx AS match FROM l LEFT JOIN cam r ON r.t_us BETWEEN l.t_us - 1 AND l.t_us + 1")
 def join08_tolerance(spark, d):
     c = cam(spark, d)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 import uuid
 from collections.abc import Callable
 
@@ -24,20 +22,20 @@ def signature(path: str, key: str, version: str = "1") -> str:
 def cached(spark: SparkSession, root: str, path: str, key: str, build: Callable[[], DataFrame], order: str = "idx") -> DataFrame:
     """build()'s rows as Parquet in root, range-partitioned and sorted by order so that row groups can be skipped; built again when the source changes.
 
-    The copy is written under another name and moved into place, so a reader never
-    sees half of it.
+    A copy is written under a name of its own; the small file that points to it is
+    written last, so a reader never sees half of one, in any store. The pointer holds the
+    number of rows, and a copy that has another is refused.
     """
-    folder = f"{root}/{signature(path, key)}"
-    if not os.path.exists(f"{folder}/metadata.json"):
-        work = f"{root}/.{uuid.uuid4().hex}"
-        build().repartitionByRange(order).sortWithinPartitions(order).write.parquet(f"{work}/data")
-        with open(f"{work}/metadata.json", "w", encoding="utf-8") as f:
-            json.dump({"source": path, "key": key, "rows": spark.read.parquet(f"{work}/data").count()}, f)
-        try:
-            os.rename(work, folder)
-        except OSError:  # another writer was first
-            shutil.rmtree(work)
-    return spark.read.parquet(f"{folder}/data")
+    pointer = f"{root}/{signature(path, key)}.json"
+    if not files.exists(pointer):
+        folder = f"{root}/{uuid.uuid4().hex}"
+        build().repartitionByRange(order).sortWithinPartitions(order).write.parquet(folder)
+        files.write(pointer, json.dumps({"source": path, "key": key, "folder": folder, "rows": spark.read.parquet(folder).count()}).encode())
+    held = json.loads(files.read(pointer))
+    copy = spark.read.parquet(held["folder"])
+    if copy.count() != held["rows"]:  # of the files' footers
+        raise ValueError(f"{held['folder']} is not whole: {held['rows']} rows expected")
+    return copy
 
 
 def convert(events: DataFrame, path: str, names: dict[str, str] | None = None, compression: str = "zstd", mode: str = "overwrite") -> int:

@@ -59,10 +59,15 @@ def drive(sequence: str) -> str:
 
 
 def dsec_sequence(root: str, sequence: str, split: str = "train") -> dict[str, str]:
-    """Folder of each modality: per modality below root, below root/split, all below root/split/sequence, or root itself the sequence."""
+    """Folder of each modality: per modality below root, below root/split (or Split), all below root/split/sequence, or root itself the sequence."""
+    if split not in ("train", "test"):
+        raise ValueError(f"split must be train or test, got {split!r}")
     found = {}
     for kind in ("events", "images", "flow", "disparity", "optical_flow", "calibration"):
-        ways = (f"{root}/{split}_{kind}/{sequence}/{kind}", f"{root}/{split}_{kind}/{sequence}", f"{root}/{kind}/{sequence}", f"{root}/{split}/{sequence}/{kind}", f"{root}/{sequence}/{kind}", f"{root}/{kind}")
+        ways = (
+            f"{root}/{split}_{kind}/{sequence}/{kind}", f"{root}/{split}_{kind}/{sequence}", f"{root}/{kind}/{sequence}", f"{root}/{split}/{sequence}/{kind}",
+            f"{root}/{split.capitalize()}/{sequence}/{kind}", f"{root}/{sequence}/{kind}", f"{root}/{kind}",
+        )
         for way in ways:
             if files.exists(way):
                 found[kind] = way
@@ -72,6 +77,13 @@ def dsec_sequence(root: str, sequence: str, split: str = "train") -> dict[str, s
     return found
 
 
+def auxiliary_root(root: str, sequence: str) -> str:
+    """Where a drive's bags and calibrations are: below root, or else one level up."""
+    above = root.rstrip("/").rpartition("/")[0]
+    own = f"data/{drive(sequence)}"
+    return above if not files.exists(f"{root}/{own}") and files.exists(f"{above}/{own}") else root
+
+
 def yaml_calibration(path: str) -> dict:
     """A calibration file; a leading %YAML directive of an older style is skipped."""
     import yaml

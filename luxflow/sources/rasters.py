@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import warnings
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -63,6 +64,12 @@ def decode_png(data: bytes) -> np.ndarray:
     return values.astype(np.uint8 if depth == 8 else np.uint16).reshape(height, width, channels)
 
 
+def png_shape(path: str) -> tuple[int, int]:
+    """(height, width) of a PNG file, from its first bytes."""
+    width, height = struct.unpack(">II", files.read(path, 16, 8))
+    return height, width
+
+
 def encode_png(image: np.ndarray) -> bytes:
     """A PNG of (height, width) or (height, width, 1 to 4) pixels of 8 or 16 bits."""
     image = image[:, :, None] if image.ndim == 2 else image
@@ -265,3 +272,43 @@ def read_hdf5(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]
                 yield pa.RecordBatch.from_arrays([_rows_of(a).cast(f.type) for a, f in zip(arrays, kinds, strict=True)], schema=kinds)
 
     return spark.range(-(-n // rows)).mapInArrow(run, schema)
+
+
+def read_times(spark: SparkSession, path: str, key: str, kind: str = "int") -> DataFrame:
+    """(idx, t) of an HDF5 dataset of times alone; a warning if the largest is the largest of its type, which then was too small."""
+    held = read_hdf5(spark, path, {"t": (key, kind)})
+    top = held.agg(F.max("t")).first()[0]
+    if top == {"int": (1 << 31) - 1, "bigint": (1 << 63) - 1, "long": (1 << 63) - 1}.get(kind):
+        warnings.warn(f"times of {path} reach the end of {kind}", stacklevel=2)
+    return held
+
+
+def read_hdf5_frames(spark: SparkSession, path: str, key: str, times: str, kind: str = "float", block: int = 8) -> DataFrame:
+    """(idx, t, shape, values) of an HDF5 dataset of one image, field or scan for each time, in blocks of a few; values row by row."""
+    import h5py
+
+    with h5py.File(path) as f:
+        n, shape = len(f[key]), [int(v) for v in f[key].shape[1:]]
+        if len(f[times]) != n:
+            raise ValueError(f"{key} and {times} differ in length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import h5py
+
+        for batch in batches:
+            for low in batch.column(0).to_pylist():
+                high = min(n, low + block)
+                with h5py.File(path) as f:
+                    values, t = np.asarray(f[key][low:high]), np.asarray(f[times][low:high], float)
+                flat = _rows_of(values.reshape(high - low, -1).astype({"float": np.float32, "double": np.float64, "int": np.int32}[kind]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array(t), pa.array([shape] * (high - low), pa.list_(pa.int32())), flat], ["idx", "t", "shape", "values"])
+
+    return spark.range(0, n, block).mapInArrow(run, f"idx long, t double, shape array<int>, values array<{kind}>")
+
+
+def field_pixels(frames: DataFrame) -> DataFrame:
+    """(idx, t, channel, y, x, value) of frames with shape (height, width), or (channels, height, width)."""
+    h, w = F.element_at("shape", -2), F.element_at("shape", -1)
+    at = frames.select("idx", "t", h.alias("_h"), w.alias("_w"), F.posexplode("values").alias("_k", "value"))
+    cell = F.floor(F.col("_k") / F.col("_w"))
+    return at.select("idx", "t", F.floor(cell / F.col("_h")).cast("int").alias("channel"), (cell % F.col("_h")).cast("int").alias("y"), (F.col("_k") % F.col("_w")).cast("int").alias("x"), "value")
