@@ -6,7 +6,7 @@ width) and (height, width); models are looked up by name in an explicit registry
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -109,57 +109,110 @@ def parameter_count(model: Model) -> int:
     return sum(np.size(w) for w in model.weights.values())
 
 
-def reconstruct(events: DataFrame | None, windows: DataFrame, height: int, width: int, bins: int, run: Callable[[], Model], encoders: int = 2, amount: float = 0.3, median: int = 10) -> DataFrame:
-    """(frame_idx, y, x, level): an image per window of events, in 0..255.
+class Frames:
+    """The steps of one recording's windows through a model: voxels in, images out, the model's state kept from one to the next."""
 
-    windows: events with `window`. Voxels are built and normalised per window, padded by
-    mirroring, passed in order through the model, whose state goes on from window to
-    window, cropped, sharpened and rescaled by the windows' running median bounds. One
-    recording's windows are one sequence, so they are one task by nature.
+    def __init__(self, height: int, width: int, bins: int, run: Model, encoders: int = 2, state: object = None):
+        self.shape, self.run, self.state = (bins, height, width), run, state
+        self.edge = render.padding(height, width, encoders)
+
+    def step(self, b: np.ndarray, y: np.ndarray, x: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """(height, width) image of a window's normalised voxels."""
+        grid, edge = np.zeros(self.shape), self.edge
+        np.add.at(grid, (b, y, x), value)
+        image, self.state = self.run(np.pad(grid, ((0, 0), (edge.top, edge.bottom), (edge.left, edge.right)), mode="reflect"), self.state)
+        return edge.cropped(image)
+
+
+def image_rows(number: int, image: np.ndarray) -> pd.DataFrame:
+    y, x = np.mgrid[0 : image.shape[0], 0 : image.shape[1]]
+    return pd.DataFrame({"frame_idx": number, "y": y.ravel(), "x": x.ravel(), "value": image.ravel()})
+
+
+def reconstruct(windows: DataFrame, height: int, width: int, bins: int, run: Callable[[], Model], encoders: int = 2, amount: float = 0.3, median: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, frame_idx, y, x, level): an image per window of events, in 0..255.
+
+    windows: events with `window`, and the columns by that tell recordings apart, such
+    as `recording`. Voxels are built and normalised per window, padded by mirroring,
+    passed in order through the model, whose state goes on from window to window,
+    cropped, sharpened and rescaled by the windows' running median bounds. Recordings
+    are dealt over tasks; one recording's windows are a sequence, so one task's, which
+    holds one window at a time.
     """
-    g = render.padding(height, width, encoders)
-    voxels = voxel_windows(windows, height, width, bins)
-
-    def images(rows: pd.DataFrame) -> pd.DataFrame:
-        m, state, out = run(), None, []
-        for window, cells in rows.sort_values("window").groupby("window"):
-            grid = np.zeros((bins, height, width))
-            np.add.at(grid, (cells["bin"].to_numpy(), cells["y"].to_numpy(), cells["x"].to_numpy()), cells["value"].to_numpy())
-            padded = np.pad(grid, ((0, 0), (g.top, g.bottom), (g.left, g.right)), mode="reflect")
-            image, state = m(padded, state)
-            y, x = np.mgrid[0:height, 0:width]
-            out.append(pd.DataFrame({"frame_idx": window, "y": y.ravel(), "x": x.ravel(), "value": g.cropped(image).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"frame_idx": [], "y": [], "x": [], "value": []})
-
-    raw = voxels.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(images, "frame_idx long, y int, x int, value double")
-    bounds = representations.intensity_bounds(raw, median)
-    sharp = sharpened(raw, height, width, amount)
-    return sharp.join(bounds, "frame_idx").select("frame_idx", "y", "x", representations.to_byte(F.col("value"), F.col("low"), F.col("high")).alias("level"))
-
-
-def voxel_windows(windows: DataFrame, height: int, width: int, bins: int) -> DataFrame:
-    """(window, bin, y, x, value): each window's voxel grid, normalised over its own non-zero cells; windows are independent, so all are built at once."""
+    by = list(by)
+    voxels = voxel_windows(windows, height, width, bins, by)
+    kinds = ", ".join(f"{c} {dict(voxels.dtypes)[c]}" for c in by)
+
+    def images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        key, frames = None, None
+
+        def finish() -> pd.DataFrame:
+            cells = pd.concat(held)
+            made = image_rows(int(cells["window"].iloc[0]), frames.step(*(cells[c].to_numpy() for c in ("bin", "y", "x", "value"))))
+            for c in by:
+                made.insert(0, c, cells[c].iloc[0])
+            return made[[*by, "frame_idx", "y", "x", "value"]]
+
+        for batch in batches:
+            for now, cells in batch.groupby([*by, "window"], sort=False, dropna=False):
+                now = now if isinstance(now, tuple) else (now,)
+                if held and now != key:
+                    yield finish()
+                    held.clear()
+                if frames is None or key is None or now[:-1] != key[:-1]:
+                    frames = Frames(height, width, bins, run(), encoders)
+                key = now
+                held.append(cells)
+        if held:
+            yield finish()
+
+    ordered = voxels.repartition(*by) if by else voxels.coalesce(1)
+    raw = ordered.sortWithinPartitions(*by, "window").mapInPandas(images, f"{kinds + ', ' if by else ''}frame_idx long, y int, x int, value double")
+    bounds = representations.intensity_bounds(raw, median, by=by)
+    sharp = sharpened(raw, height, width, amount, by=by)
+    return sharp.join(bounds, [*by, "frame_idx"]).select(*by, "frame_idx", "y", "x", representations.to_byte(F.col("value"), F.col("low"), F.col("high")).alias("level"))
+
+
+def voxel_windows(windows: DataFrame, height: int, width: int, bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, window, bin, y, x, value): each window's voxel grid, normalised over its own non-zero cells; windows are independent, so all are built at once."""
     inside = windows.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
-    ends = windows.groupBy("window").agg(F.min("t_us").alias("_low"), F.max("t_us").alias("_high"))
+    ends = windows.groupBy(*by, "window").agg(F.min("t_us").alias("_low"), F.max("t_us").alias("_high"))
     length = F.when(F.col("_high") == F.col("_low"), 1).otherwise(F.col("_high") - F.col("_low"))
-    placed = inside.join(ends, "window").withColumn("_tn", (bins - 1) * (F.col("t_us") - F.col("_low")) / length).withColumn("_p", F.when(F.col("p"), 1.0).otherwise(-1.0))
+    placed = inside.join(ends, [*by, "window"]).withColumn("_tn", (bins - 1) * (F.col("t_us") - F.col("_low")) / length).withColumn("_p", F.when(F.col("p"), 1.0).otherwise(-1.0))
     b, share = F.col("_tn").cast("int"), F.col("_tn") - F.col("_tn").cast("int")
-    spread = placed.select("window", "y", "x", F.explode(F.array(F.struct(b.alias("bin"), (F.col("_p") * (1 - share)).alias("v")), F.struct((b + 1).alias("bin"), (F.col("_p") * share).alias("v")))).alias("_s"))
-    cells = spread.where(F.col("_s.bin") < bins).groupBy("window", F.col("_s.bin").alias("bin"), "y", "x").agg(F.sum("_s.v").alias("value")).where("value <> 0")
-    w = Window.partitionBy("window")
+    spread = placed.select(*by, "window", "y", "x", F.explode(F.array(F.struct(b.alias("bin"), (F.col("_p") * (1 - share)).alias("v")), F.struct((b + 1).alias("bin"), (F.col("_p") * share).alias("v")))).alias("_s"))
+    cells = spread.where(F.col("_s.bin") < bins).groupBy(*by, "window", F.col("_s.bin").alias("bin"), "y", "x").agg(F.sum("_s.v").alias("value")).where("value <> 0")
+    w = Window.partitionBy(*by, "window")
     mean = F.avg("value").over(w)
     std = F.sqrt(F.avg(F.col("value") * F.col("value")).over(w) - mean * mean)
-    return cells.select("window", "bin", "y", "x", F.when(std > 0, (F.col("value") - mean) / std).otherwise(F.lit(0.0)).alias("value"))
-
-
-def sharpened(images: DataFrame, height: int, width: int, amount: float, sigma: float = 1.0) -> DataFrame:
+    return cells.select(*by, "window", "bin", "y", "x", F.when(std > 0, (F.col("value") - mean) / std).otherwise(F.lit(0.0)).alias("value"))
+
+
+def voxels(t: np.ndarray, x: np.ndarray, y: np.ndarray, p: np.ndarray, bins: int, ends: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """bin, y, x and value of one window's voxels as voxel_windows makes them, from its events and the window's first and last time."""
+    length = ends[1] - ends[0] or 1
+    place = (bins - 1) * (t - ends[0]) / length
+    low = place.astype(np.int64)
+    sign = np.where(p, 1.0, -1.0)
+    at = np.concatenate([low, low + 1])
+    value = np.concatenate([sign * (1 - (place - low)), sign * (place - low)])
+    cells = np.stack([at, np.tile(y, 2), np.tile(x, 2)], axis=1)[at < bins]
+    found, group = np.unique(cells, axis=0, return_inverse=True)
+    total = np.bincount(group.ravel(), value[at < bins], len(found))
+    found, total = found[total != 0], total[total != 0]
+    std = total.std() if len(total) else 0.0
+    return found[:, 0], found[:, 1], found[:, 2], (total - total.mean()) / std if std > 0 else np.zeros(len(total))
+
+
+def sharpened(images: DataFrame, height: int, width: int, amount: float, sigma: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
     """Unsharp masking of every frame at once."""
     if amount <= 0:
         return images
     kernel = render.gaussian_kernel(5, sigma)
     weights = F.array(*[F.struct(F.lit(2 - i).alias("dy"), F.lit(2 - j).alias("dx"), F.lit(v).alias("w")) for i, row in enumerate(kernel) for j, v in enumerate(row)])
-    sent = images.select("frame_idx", "y", "x", "value", F.explode(weights).alias("_k"))
-    sent = sent.select("frame_idx", (F.col("y") + F.col("_k.dy")).alias("y"), (F.col("x") + F.col("_k.dx")).alias("x"), (F.col("value") * F.col("_k.w")).alias("_v"))
+    sent = images.select(*by, "frame_idx", "y", "x", "value", F.explode(weights).alias("_k"))
+    sent = sent.select(*by, "frame_idx", (F.col("y") + F.col("_k.dy")).alias("y"), (F.col("x") + F.col("_k.dx")).alias("x"), (F.col("value") * F.col("_k.w")).alias("_v"))
     inside = sent.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
-    blurred = inside.groupBy("frame_idx", "y", "x").agg(F.sum("_v").alias("_b"))
-    return images.join(blurred, ["frame_idx", "y", "x"]).select("frame_idx", "y", "x", ((1 + amount) * F.col("value") - amount * F.col("_b")).alias("value"))
+    blurred = inside.groupBy(*by, "frame_idx", "y", "x").agg(F.sum("_v").alias("_b"))
+    return images.join(blurred, [*by, "frame_idx", "y", "x"]).select(*by, "frame_idx", "y", "x", ((1 + amount) * F.col("value") - amount * F.col("_b")).alias("value"))

@@ -115,13 +115,13 @@ def _decayed(counts: DataFrame, decay: float, top: int, horizon: int | None, buc
     return sent.groupBy("slice", "y", "x").agg(F.sum(F.col("on") * share).alias("on"), F.sum(F.col("off") * share).alias("off"))
 
 
-def intensity_bounds(frames: DataFrame, size: int, value: str = "value") -> DataFrame:
-    """(frame_idx, low, high): each frame's least and largest value, held to [0, 0.45] and [0.55, 1], as medians over it and the size frames before."""
+def intensity_bounds(frames: DataFrame, size: int, value: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """(*by, frame_idx, low, high): each frame's least and largest value, held to [0, 0.45] and [0.55, 1], as medians over it and the size frames before."""
     from .temporal import sliding_median
 
-    ends = frames.groupBy("frame_idx").agg(F.least(F.greatest(F.min(value), F.lit(0.0)), F.lit(0.45)).alias("low"), F.least(F.greatest(F.max(value), F.lit(0.55)), F.lit(1.0)).alias("high"))
-    m = sliding_median(ends, "frame_idx", ["low", "high"], size)
-    return m.select("frame_idx", F.col("low_median").alias("low"), F.col("high_median").alias("high"))
+    ends = frames.groupBy(*by, "frame_idx").agg(F.least(F.greatest(F.min(value), F.lit(0.0)), F.lit(0.45)).alias("low"), F.least(F.greatest(F.max(value), F.lit(0.55)), F.lit(1.0)).alias("high"))
+    m = sliding_median(ends, "frame_idx", ["low", "high"], size, by)
+    return m.select(*by, "frame_idx", F.col("low_median").alias("low"), F.col("high_median").alias("high"))
 
 
 def to_byte(value: Column, low: Column, high: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.reconstruction import Frames, Model, image_rows, voxels
+
 EVENTS = "recording string, idx long, t_us long, x int, y int, p boolean"
 
 
@@ -51,6 +54,35 @@ def slice_counts(events: DataFrame, slice_us: int) -> DataFrame:
     return events.groupBy("recording").applyInPandasWithState(step, SLICES, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+IMAGES = "recording string, frame_idx long, y int, x int, value double"
+
+
+def reconstructions(events: DataFrame, slice_us: int, height: int, width: int, bins: int, run: Callable[[], Model], encoders: int = 2) -> DataFrame:
+    """IMAGES rows: a model's image of each slice of every recording, as soon as an event of a later slice has come.
+
+    Slices and late events are as in slice_counts; slices without events have no image.
+    Between batches are kept, for each recording, the first time, the current slice
+    with its events so far, and the model's state, so images are those of the whole
+    recording in one run.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("idx", kind="stable")
+        t0, now, waiting, kept = pickle.loads(state.get[0]) if state.exists else (int(rows["t_us"].iloc[0]), 0, None, None)
+        own = ((rows["t_us"] - t0) // slice_us).clip(lower=now).cummax()
+        rows = rows[["t_us", "x", "y", "p"]].assign(slice=own)
+        rows = rows if waiting is None else pd.concat([waiting, rows])
+        last = int(rows["slice"].iloc[-1])
+        frames = Frames(height, width, bins, run(), encoders, kept)
+        for number, part in rows[rows["slice"] < last].groupby("slice"):
+            inside = part[(part["x"] >= 0) & (part["x"] < width) & (part["y"] >= 0) & (part["y"] < height)]
+            image = frames.step(*voxels(inside["t_us"].to_numpy(), inside["x"].to_numpy(), inside["y"].to_numpy(), inside["p"].to_numpy(), bins, (part["t_us"].min(), part["t_us"].max())))
+            yield image_rows(int(number), image).assign(recording=key[0])[["recording", "frame_idx", "y", "x", "value"]]
+        state.update((pickle.dumps((t0, last, rows[rows["slice"] == last], frames.state)),))
+
+    return events.groupBy("recording").applyInPandasWithState(step, IMAGES, "held binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def newest(stream: DataFrame, show: Callable[[DataFrame], None], column: str = "slice"):
     """A query that hands over only each batch's newest slice of every recording."""
 

@@ -33,9 +33,23 @@ def test_frames_of_events(spark):
     from pyspark.sql import functions as F
 
     e = generate.events(spark, 300, 10, 14).withColumn("t_us", F.rint(F.col("t") * 1e6).cast("long"))
-    got = reconstruction.reconstruct(e, temporal.count_windows(e, 100), 10, 14, 2, lambda: reconstruction.model("recurrent_unet", bins=2))
+    got = reconstruction.reconstruct(temporal.count_windows(e, 100), 10, 14, 2, lambda: reconstruction.model("recurrent_unet", bins=2))
     rows = got.collect()
     assert len(rows) == 3 * 140 and all(0 <= r.level <= 255 for r in rows)
     v = reconstruction.voxel_windows(temporal.count_windows(e, 100), 10, 14, 2).toPandas()
     for _, cells in v.groupby("window"):
         assert abs(cells["value"].mean()) < 1e-9 and abs(cells["value"].std(ddof=0) - 1) < 1e-9
+
+
+def test_recordings_have_states_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    e = generate.events(spark, 300, 10, 14).withColumn("t_us", F.rint(F.col("t") * 1e6).cast("long"))
+    w = temporal.count_windows(e, 100)
+    run = lambda: reconstruction.model("recurrent_unet", bins=2)
+    alone = {(r.frame_idx, r.y, r.x): r.level for r in reconstruction.reconstruct(w, 10, 14, 2, run).collect()}
+    both = w.withColumn("recording", F.lit("a")).unionByName(w.withColumn("recording", F.lit("b")))
+    rows = reconstruction.reconstruct(both, 10, 14, 2, run, by=["recording"]).collect()
+    for name in "ab":
+        assert {(r.frame_idx, r.y, r.x): r.level for r in rows if r.recording == name} == alone
+    assert reconstruction.parameter_count(run()) == sum(np.size(v) for v in run().weights.values()) > 1000

@@ -34,3 +34,24 @@ def test_windows_with_watermark(spark, tmp_path):
     q.awaitTermination()
     got = {r.start_us: r.on + r.off for r in spark.table("w").collect()}
     assert got == (rows(200, 2)["t_us"] // 1000 * 1000).value_counts().to_dict()
+
+
+def test_streamed_images_are_those_of_the_whole(spark, tmp_path):
+    from luxflow.operators import reconstruction
+
+    data = rows(300, 3).assign(t_us=lambda d: d["t_us"].cummax())
+    for k in range(3):
+        spark.createDataFrame(data[k * 100 : (k + 1) * 100], live.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: reconstruction.model("recurrent_unet", bins=2, base=2, encoders=1)
+    stream = live.reconstructions(live.tail(spark, str(tmp_path / "in"), max_files=1), 1000, 3, 4, 2, run, encoders=1)
+    q = stream.writeStream.format("memory").queryName("images").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    got = {(r.frame_idx, r.y, r.x): r.value for r in spark.table("images").collect()}
+    sliced = temporal.slices(spark.createDataFrame(data, live.EVENTS), 1000).withColumnRenamed("slice", "window")
+    cells = reconstruction.voxel_windows(sliced, 3, 4, 2).toPandas()
+    frames, last = reconstruction.Frames(3, 4, 2, run(), 1), int(cells["window"].max())
+    want = {}
+    for number, part in cells[cells["window"] < last].groupby("window"):
+        image = frames.step(*(part[c].to_numpy() for c in ("bin", "y", "x", "value")))
+        want |= {(int(number), y, x): image[y, x] for y in range(3) for x in range(4)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
