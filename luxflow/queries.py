@@ -690,25 +690,31 @@ def snk01_parquet_round_trip(spark, d):
 # --- streams --------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """The rows of a stream over the events table that has run until nothing is left; each batch is a folder of Parquet files, in complete mode the last one holds all."""
+def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str, rows: Callable[[DataFrame], DataFrame] = lambda c: c, files: int = 4) -> DataFrame:
+    """What a stream has made when nothing is left: the events are put into a folder of a few files in order, which is tailed a file at a time.
+
+    Each batch of the result is a folder of Parquet files; in complete mode the last one holds all.
+    """
     from .shared import place
     from .streaming import live
 
-    raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    rows = make(camera_view(raw).withColumn("recording", F.lit("events")).select(*[c.split()[0] for c in live.EVENTS.split(", ")]))
-    path, batches = place(spark, "stream"), []
+    folder, path, batches = place(spark, "tailed"), place(spark, "stream"), []
+    events = rows(cam(spark, d)).withColumn("recording", F.lit("events")).select(*[c.split()[0] for c in live.EVENTS.split(", ")])
+    n = events.count()
+    for k in range(files):  # one after another, as a recording grows
+        events.where((F.col("idx") >= n * k // files) & (F.col("idx") < n * (k + 1) // files)).coalesce(1).write.mode("append").parquet(folder)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
         batches.append(number)
 
-    q = rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    made = make(live.tail(spark, folder, max_files=1))
+    q = made.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    made = spark.read.schema(rows.schema)
+    held = spark.read.schema(made.schema)
     if not batches:
-        return spark.createDataFrame([], rows.schema)
-    return made.parquet(f"{path}/batch={max(batches)}") if mode == "complete" else made.parquet(*[f"{path}/batch={n}" for n in sorted(set(batches))])
+        return spark.createDataFrame([], made.schema)
+    return held.parquet(f"{path}/batch={max(batches)}") if mode == "complete" else held.parquet(*[f"{path}/batch={n}" for n in sorted(set(batches))])
 
 
 @query(f"WITH {CAM} SELECT t_us // 3600000000 * 3600000000 AS start_us, CAST(sum(CAST(p AS INTEGER)) AS BIGINT) AS \"on\", CAST(sum(CAST(NOT p AS INTEGER)) AS BIGINT) AS \"off\" FROM cam GROUP BY 1")
@@ -719,13 +725,41 @@ def str05_stream_windows(spark, d):
 
 
 @query(f"WITH {LATE}, s AS (SELECT *, greatest(0, max(own) OVER (ORDER BY idx)) AS slice FROM raw) SELECT CAST(slice AS BIGINT) AS slice, y, x, CAST(sum(CAST(p AS INTEGER)) AS BIGINT) AS \"on\", CAST(sum(CAST(NOT p AS INTEGER)) AS BIGINT) AS \"off\" FROM s GROUP BY 1, 2, 3")
-def str10_stream_slices(spark, d):
+def str04_stream_slices(spark, d):
     from .streaming import live
 
-    n = _streamed(spark, d, lambda s: live.slice_counts(shaken(s), 7_200_000_000), "append")
+    n = _streamed(spark, d, lambda s: live.slice_counts(s, 7_200_000_000), "append", shaken)
     return n.groupBy("slice", "y", "x").agg(F.sum("on").alias("on"), F.sum("off").alias("off"))
 
 
+@query(f"WITH {CAM}, s AS (SELECT (t_us - (SELECT min_by(t_us, idx) FROM cam)) // 86400000000 AS slice FROM cam), k AS (SELECT slice, row_number() OVER (ORDER BY slice) AS value FROM s GROUP BY 1) SELECT slice AS frame_idx, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, value::DOUBLE AS value FROM k, generate_series(0, {H - 1}) a(y), generate_series(0, {W - 1}) b(x) WHERE slice < (SELECT max(slice) FROM s)")
+def str10_stream_images(spark, d):
+    """A model that counts the windows it has seen shows that its state goes on from batch to batch."""
+    import numpy as np
+
+    from .streaming import live
+
+    def counter(grid: np.ndarray, state: object) -> tuple[np.ndarray, object]:
+        seen = (state or 0) + 1
+        return np.full(grid.shape[1:], float(seen)), seen
+
+    images = _streamed(spark, d, lambda s: live.reconstructions(s, 86_400_000_000, H, W, 3, lambda: counter, encoders=1), "append")
+    return images.select("frame_idx", "y", "x", "value")
+
+
+@query(f"WITH {CAM}, s AS (SELECT *, (t_us - (SELECT min_by(t_us, idx) FROM cam)) // 86400000000 AS slice FROM cam) SELECT slice, y, x, CAST(sum(CAST(p AS INTEGER)) AS BIGINT) AS \"on\", CAST(sum(CAST(NOT p AS INTEGER)) AS BIGINT) AS \"off\" FROM s WHERE slice = (SELECT max(slice) FROM s) GROUP BY 1, 2, 3")
+def str06_newest_slice(spark, d):
+    """What a display shows last of a whole recording that came in one batch."""
+    from .shared import place
+    from .streaming import live
+
+    folder, path = place(spark, "tailed"), place(spark, "shown")
+    cam(spark, d).withColumn("recording", F.lit("events")).select(*[c.split()[0] for c in live.EVENTS.split(", ")]).write.parquet(folder)
+    show = live.newest(live.slice_counts(live.tail(spark, folder), 86_400_000_000), lambda b: b.write.mode("overwrite").parquet(path))
+    show.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("slice", "y", "x", "on", "off")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -335,6 +335,43 @@ def src25_odometry_archives(spark, d):
     return out
 
 
+# --- a whole recording ----------------------------------------------------------------------
+
+
+def _davis(spark: SparkSession, d: str) -> str:
+    """A recording's folder: event k at k / 1000 s, a frame after every FILE events, a pose and IMU row for every 500th."""
+    folder, n = _images(spark, d, lambda rows: np.minimum(_counts(rows), 255).astype(np.uint8))
+    c = cam(spark, d)
+    text.write_events(c, f"{folder}/events.txt", F.col("idx") / 1000.0)
+    files.write(f"{folder}/images.txt", "".join(f"{(i + 1) * FILE / 1000} {i:06d}.png\n" for i in range(n)).encode())
+    for name, width in (("groundtruth.txt", 8), ("imu.txt", 7)):
+        rows = c.where("idx % 500 = 0").select("idx", F.concat_ws(" ", (F.col("idx") / 1000.0).cast("string"), *[F.col("x").cast("string")] * (width - 1)).alias("value"))
+        rows.repartitionByRange("idx").sortWithinPartitions("idx").select("value").write.text(f"{folder}/{name}")
+    return folder
+
+
+@query(f"WITH {DEALT}, f AS (SELECT file AS frame_idx, count(*) AS n FROM ev GROUP BY 1), m AS (SELECT max(i) AS top FROM (SELECT row_number() OVER (ORDER BY idx) - 1 AS i FROM cam WHERE idx % 500 = 0)) SELECT frame_idx, (frame_idx + 1) * {FILE} * 1000 AS t_us, n, least((frame_idx + 1) * {FILE // 500}, top) AS pose FROM f, m")
+def api05_davis_frames(spark, d):
+    from .plans import recording
+
+    held = recording.davis(spark, _davis(spark, d)).frame_samples()
+    return held.select("frame_idx", "t_us", F.size("events").cast("long").alias("n"), "pose")
+
+
+@query(f"WITH {CAM}, n AS (SELECT count(*) AS n FROM cam) SELECT {H} AS height, {W} AS width, n AS events, n - 1 AS last, (n - 1) * 1000 AS t_last, CAST(ceil(n / 500.0) AS BIGINT) AS imu FROM n")
+def prj07_recording_facts(spark, d):
+    """The sensor's size is that of the first frame where it isn't given; events are read from a copy the second time."""
+    from .plans import recording
+
+    folder, copies = _davis(spark, d), place(spark, "copies")
+    files.write(f"{folder}/made", b"")
+    with recording.davis(spark, folder, copies=copies) as r:
+        again = recording.davis(spark, folder, copies=copies)
+        n = again.num_events
+        row = (*r.resolution, n, r.time_to_index(n * 1000), again.index_to_time(-1), r.stream("imu").count())
+    return spark.createDataFrame([row], "height int, width int, events long, last long, t_last long, imu long")
+
+
 # --- bags ---------------------------------------------------------------------------------
 
 
