@@ -1,6 +1,9 @@
 """A training corpus out of documents, in five stages.
 
 Each stage works on all that the one before kept, written as Parquet and read again.
+Stages take rows as they are: null and repeated doc_ids are kept apart by their texts, null
+texts are empty ones, further columns pass through (the last stage has its own), and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,27 +22,27 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: those without letters, and those of which no language is likelier than not."""
+    """Documents without a language go: those without letters, null texts among them, and those of which no language is likelier than not. Without labelled rows to learn from all stay."""
     return langid.keep_known(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays."""
+    """One document of each group of near-copies stays, the one of smallest doc_id; rows without an id come last. Rows equal in all columns are one."""
     return simhash.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that still occur more than once go; documents of which nothing is left go with them."""
+    """Byte strings that still occur more than once go; documents of which nothing is left go with them. Empty and null texts stay."""
     return recounted(suffix_dedup.clean(docs))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; null texts stay null."""
     return recounted(pii.redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces, with their places in training sequences."""
+    """Every document's pieces, with their places in training sequences; a null text is one end id."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -37,8 +37,23 @@ def depth_level(depth: Column, low: float, high: float, fill: float | None = Non
     return (F.least(F.greatest(d, F.lit(low)), F.lit(high)) - low) / (high - low)
 
 
-def color_depth(depths: DataFrame, colors: list[tuple[float, float, float]], low: float = 0.1, high: float = 100.0, fill: float = 100.0) -> DataFrame:
-    """depths (y, x, depth) with (r, g, b), 0 to 255: the map's colour at the depth's level; colors: the map from low to high, evenly spaced."""
+# A public-domain polynomial in a level from 0 to 1, lowest power first, for red, green and blue of the viridis map.
+VIRIDIS = (
+    (0.2777273272234177, 0.1050930431085774, -0.3308618287255563, -4.634230498983486, 6.228269936347081, 4.776384997670288, -5.435455855934631),
+    (0.005407344544966578, 1.404613529898575, 0.214847559468213, -5.799100973351585, 14.17993336680509, -13.74514537774601, 4.645852612178535),
+    (0.3340998053353061, 1.384590162594685, 0.09509516302823659, -19.33244095627987, 56.69055260068105, -65.35303263337234, 26.3124352495832),
+)
+
+
+def viridis(n: int = 256) -> list[tuple[float, float, float]]:
+    """n colours from dark blue to yellow; within a few of 255 of the map's own table."""
+    at = [i / (n - 1) for i in range(n)]
+    return [tuple(min(1.0, max(0.0, sum(c * t**k for k, c in enumerate(row)))) for row in VIRIDIS) for t in at]
+
+
+def color_depth(depths: DataFrame, colors: list[tuple[float, float, float]] | None = None, low: float = 0.1, high: float = 100.0, fill: float = 100.0) -> DataFrame:
+    """depths (y, x, depth) with (r, g, b), 0 to 255: the map's colour at the depth's level; colors: the map from low to high, evenly spaced; viridis if not given."""
+    colors = colors or viridis()
     at = F.least(F.floor(depth_level(F.col("depth"), low, high, fill) * len(colors)), F.lit(len(colors) - 1)).cast("int")
     channel = lambda i: F.floor(F.get(F.array(*[F.lit(float(c[i])) for c in colors]), at) * 255).cast("int")
     return depths.select("*", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))

@@ -536,6 +536,15 @@ def fn06_depth_levels(spark, d):
     return render.color_depth(image(cam(spark, d)).withColumnRenamed("value", "depth"), colors, 2.0, 20.0).select("y", "x", "g")
 
 
+def _poly(row: tuple[float, ...]) -> str:
+    return "CAST(floor(255 * least(1.0, greatest(0.0, " + " + ".join(f"({c!r})::DOUBLE * t ** {k}" for k, c in enumerate(row)) + "))) AS INTEGER)"
+
+
+@query(f"WITH {IMAGE}, l AS (SELECT y, x, least(floor((least(greatest(value, 2.0), 20.0) - 2) / 18 * 256), 255) / 255.0::DOUBLE AS t FROM img) SELECT y, x, {_poly(render.VIRIDIS[0])} AS r, {_poly(render.VIRIDIS[1])} AS g, {_poly(render.VIRIDIS[2])} AS b FROM l")
+def fn06_depth_colors(spark, d):
+    return render.color_depth(image(cam(spark, d)).withColumnRenamed("value", "depth"), None, 2.0, 20.0).select("y", "x", "r", "g", "b")
+
+
 @query(f"WITH {FLOW}, m AS (SELECT *, sqrt(v * v + h * h) AS mag FROM fl) SELECT y, x, CAST(floor((atan2(h, v) + pi()) * 180 / pi() / 2) AS INTEGER) AS hue, 255 AS sat, CAST(floor(255 * mag / (SELECT max(mag) FROM m)) AS INTEGER) AS val FROM m")
 def fn09_flow_hsv(spark, d):
     return render.flow_hsv(flow_field(cam(spark, d))).select("y", "x", "hue", "sat", "val")
