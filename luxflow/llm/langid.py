@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, texts_of
+from .common import columns, lean, texts_of, thrifty, written
 from .folds import held_out, share
 
 UNKNOWN = "und"
@@ -103,17 +103,22 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = 4000) -> LanguageModel | None:
     """A model from about `sample` labelled rows outside the held-out fold, as many of each language; None without any.
 
-    The rows of a language are those whose id's hash is below that language's share,
-    so the sample needs no sort and is the same in every run.
+    The rows of a language are those whose hash is below that language's share, so the
+    sample needs no sort of the table and is the same in every run; rows that repeat in
+    id and text count once. Where there are more languages than `sample`, those of which
+    a row is drawn are learnt.
     """
+    h = F.xxhash64("text")
     learn = texts_of(docs, "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
-    if not sizes:
+    sizes = written(learn.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = sizes.count()
+    if not languages:
         return None
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(lang, sample / len(sizes) / n) for lang, n in sizes.items()], "lang string, part double")
-    chosen = learn.join(F.broadcast(shares), "lang").where(share(F.struct("doc_id", F.length("text"))) < F.col("part"))  # one row for each of 500 languages at most
-    rows = chosen.select("lang", "text").mapInArrow(_train_rows, "lang string, at binary, n binary").orderBy("lang", F.xxhash64("at", "n")).limit(2 * sample).collect()
+    chosen = learn.join(sizes, "lang").withColumn("h", h).where(share(F.struct("doc_id", "h")) < sample / languages / F.col("n"))
+    once = chosen.groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).withColumn("draw", F.xxhash64("doc_id", "h", F.lit(3)))
+    # one short text's copies under many ids may be drawn more often than asked for
+    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "h"))).where(F.col("place") <= 2 * sample // languages + 1)
+    rows = ranked.orderBy("draw", "doc_id", "h").limit(2 * sample).select("lang", "text").mapInArrow(thrifty(_train_rows), "lang string, at binary, n binary").orderBy("lang", F.xxhash64("at", "n")).collect()
     x = np.zeros((len(rows), FEATURES), np.float32)
     for i, r in enumerate(rows):
         at = np.frombuffer(bytes(r["at"]), "<u2")
@@ -149,11 +154,11 @@ def identify(docs: DataFrame, sample: int = 4000, margin: float = 0.2) -> DataFr
                 score[at], unsure[at] = chance, lead < margin
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out_fold), pa.array(lang), pa.array(np.clip(score, 0, 1)), pa.array(unsure)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    return texts_of(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return texts_of(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(thrifty(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_known(docs: DataFrame, sample: int = 4000, least: float = 0.5) -> DataFrame:
-    """docs without the rows that have no letters or whose best language scores below least; all stay where nothing can be learnt."""
+    """docs without the rows that have no letters (null texts too) or whose best language scores below least; all stay where nothing can be learnt."""
     model = train(docs, sample)
     if model is None:
         return docs
@@ -171,4 +176,5 @@ def keep_known(docs: DataFrame, sample: int = 4000, least: float = 0.5) -> DataF
                 kept += [i for i, c in zip(at, chance.tolist(), strict=True) if c >= least]
             yield batch.take(pa.array(kept, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    lean(docs.sparkSession)
+    return docs.mapInArrow(thrifty(run), docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, columns, texts_of, written
+from .common import chunked, columns, texts_of, thrifty, written
 from .word_bpe import word_bpe
 
 LIMIT = 2048
@@ -32,13 +32,15 @@ class Gaps:
         self._index()
 
     def _index(self) -> None:
-        """Sets of sums as bits: bit s is set if some single length, or pair of lengths, sums to s."""
+        """Sets of sums as bits: bit s is set if some single length, or pair or triple of lengths, sums to s."""
         mask = (1 << (self.limit + 1)) - 1
         self.lengths = sorted(self.left, reverse=True)
         self.singles = sum(1 << n for n in self.lengths)
-        self.pairs = 0
+        self.pairs = self.triples = 0
         for n in self.lengths:
             self.pairs |= self.singles << n & mask
+        for n in self.lengths:
+            self.triples |= self.pairs << n & mask
 
     def take(self, lengths: Counter, times: int) -> None:
         gone = False
@@ -70,8 +72,10 @@ class Gaps:
             return (gap,)
         if found := self._pair(gap, used):
             return found
+        if not self.triples >> gap & 1:
+            return None
         for a in self.lengths:
-            if a < gap - 1 and 3 * a >= gap and (found := self._pair(gap - a, used, (a,))):
+            if a < gap - 1 and 3 * a >= gap and self.pairs >> (gap - a) & 1 and (found := self._pair(gap - a, used, (a,))):
                 return found
         return None
 
@@ -133,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = 0)
         coder, end = word_bpe(tokenizer), np.array([end_id], "<u4").tobytes()
         for ids, texts in columns(batches, "doc_id", "text"):
             out: tuple[list, ...] = ([], [], [], [], [])
-            raws = (raw for part in chunked(((t, len(t)) for t in texts), 4_000_000) for raw in coder.encode_raw(part))
+            raws = (raw for part in chunked(((t, len(t)) for t in texts), 1_000_000) for raw in coder.encode_raw(part))
             for doc_id, raw in zip(ids, raws, strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * limit)):
@@ -142,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = 0)
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts_of(docs).mapInArrow(thrifty(run, "word_bpe"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _places(made: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:

@@ -63,6 +63,20 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+OP6 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT r, i, md5(b[i:i + 399]) AS k FROM (SELECT r, b, unnest(generate_series(1, octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) > 399)),
+again AS (SELECT k FROM win GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT r, i FROM win SEMI JOIN again USING (k)),
+turn AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS t FROM hit),
+run AS (SELECT r, min(i) AS a, max(i) + 399 AS e FROM (SELECT r, i, sum(t) OVER (PARTITION BY r ORDER BY i) AS g FROM turn) GROUP BY r, g),
+gap AS (SELECT r, coalesce(lag(e) OVER w, 0) + 1 AS low, a - 1 AS high FROM run WINDOW w AS (PARTITION BY r ORDER BY a) UNION ALL SELECT r, max(e) + 1, NULL FROM run GROUP BY 1),
+kept AS (SELECT r, string_agg(hex(b[low:coalesce(high, octet_length(b))]), '' ORDER BY low) AS x FROM gap JOIN d USING (r) GROUP BY 1),
+n AS (SELECT r, sum(e - a + 1) AS removed, count(*) AS spans FROM run GROUP BY 1)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN removed IS NULL THEN sha256(b) ELSE sha256(unhex(x)) END AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
 OP9 = """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) > 12)),
@@ -78,4 +92,4 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't state tokenizers, classifiers, XXH64 components and packing, nor approximate search; those are tested by brute force."""
-    return {"op4_exact_top_k": OP4, "op9_substring_dedup": OP9}
+    return {"op4_exact_top_k": OP4, "op6_suffix_dedup": OP6, "op9_substring_dedup": OP9}

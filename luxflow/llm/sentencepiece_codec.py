@@ -11,14 +11,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import columns, texts_of, trim
+from .common import WordCache, columns, texts_of, thrifty, worker_held
 
 NONE = np.int64(1 << 40)
 SPACE = "▁"
@@ -27,7 +26,7 @@ SPACE = "▁"
 class Codec:
     """Encodes and decodes as the sentencepiece library does for a BPE model with identity normalisation."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 48 << 20):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         if sp.normalize("a éﬁ  b") != f"{SPACE}a{SPACE}éﬁ{SPACE}{SPACE}b":
@@ -52,8 +51,7 @@ class Codec:
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         spans = any(a != " " == b for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self.words = re.compile(r"(?s).+" if spans else r" *[^ \n]+| +|\n+" if "\n" not in inner else r" *[^ ]+| +")
-        self.cache: dict[str, bytes] = {}
-        self.limit = cache
+        self.cache = WordCache(cache)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE: no such piece) and id of the piece that two symbols make."""
@@ -139,13 +137,14 @@ class Codec:
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         """Ids without begin and end, little-endian unsigned 32-bit, of each text."""
         split = [self.words.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        trim(self.cache, self.limit)
         cache = self.cache
         missing = list(set().union(*split) - cache.keys())
-        for i in range(0, len(missing), 50_000):
-            part = missing[i : i + 50_000]
-            cache.update(zip(part, self.merge_words(part), strict=True))
-        return [b"".join(map(cache.__getitem__, s)) for s in split]
+        for i in range(0, len(missing), 20_000):
+            part = missing[i : i + 20_000]
+            cache.add(part, self.merge_words(part))
+        out = [b"".join(map(cache.__getitem__, s)) for s in split]
+        cache.trim()
+        return out
 
     def encode(self, texts: list[str], bos: bool = True, eos: bool = True) -> list[np.ndarray]:
         head, tail = (np.array([x] if y else [], "<u4").tobytes() for x, y in ((self.bos, bos), (self.eos, eos)))
@@ -191,10 +190,9 @@ class Codec:
         return "".join(out)
 
 
-@lru_cache(maxsize=1)
 def codec_of(path: str) -> Codec:
     """One per Python worker, so that its tasks share what they have merged."""
-    return Codec(path)
+    return worker_held(("sentencepiece", path), lambda: Codec(path))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
@@ -212,7 +210,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and size < 4_000_000:
+                while end < len(texts) and size < 1_000_000:
                     size += len(texts[end])
                     end += 1
                 for raw in codec.encode_raw(texts[at:end]):
@@ -224,4 +222,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                 at = end
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs).mapInArrow(thrifty(run, "sentencepiece"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, texts_of, written
+from .common import columns, lean, texts_of, thrifty, written
 from .components import connected_components, local_components
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 3, 2048
@@ -85,17 +85,18 @@ def _links(radius: int, tile: int):
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
         size = ends - starts
         small = size <= 32
-        last = np.repeat(ends, size)
         near, far = [], []
-        row = np.nonzero(np.repeat(small, size))[0]
-        step = 1
-        while len(row):  # in small buckets: each value against the one `step` places on
-            row = row[row + step < last[row]]
-            a, b = order[row], order[row + step]
-            hit = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-            near.append(a[hit])
-            far.append(b[hit])
-            step += 1
+        for n in np.unique(size[small & (size > 1)]).tolist():  # buckets of n values: a tile each, many tiles at once
+            begin = starts[size == n]
+            upper = np.triu(np.ones((n, n), bool), 1)
+            for i in range(0, len(begin), max(1, (1 << 18) // n**2)):
+                at = order[begin[i : i + max(1, (1 << 18) // n**2), None] + np.arange(n)]
+                at = at[(np.diff(pops[at], axis=1) <= radius).any(axis=1)]  # bit counts, in order, all too far apart: no tile
+                tile_fp = fp[at]
+                hit = (np.bitwise_count(tile_fp[:, :, None] ^ tile_fp[:, None, :]) <= radius) & upper
+                own, x, y = np.nonzero(hit)
+                near.append(at[own, x])
+                far.append(at[own, y])
         if near:
             a, b = np.concatenate(near), np.concatenate(far)
             label = local_components(len(key), a, b)
@@ -157,7 +158,7 @@ def near_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE, hot: i
         cells = cells.select(F.xxhash64("key", F.least(mine, theirs), F.greatest(mine, theirs)).alias("key"), "fp", "rep")
         rows = warm.unionAll(cells)
     rows = rows.repartition(max(8, min(4000, total // 20000 + 1)), "key").sortWithinPartitions("key")
-    return rows.mapInArrow(_links(radius, tile), "a long, b long")
+    return rows.mapInArrow(thrifty(_links(radius, tile)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -167,7 +168,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     fingerprints are one node, so copies are never paired. Rows with a null doc_id
     get the component of their fingerprint's other rows, or null if it has none.
     """
-    fps = written(texts_of(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    fps = written(texts_of(docs).mapInArrow(thrifty(_fingerprints), "doc_id long, fp long"), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = connected_components(near_links(nodes, radius, tile))
     labelled = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
@@ -187,12 +188,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     so null and repeated ids keep one row for each component too; rows without an id
     come last. Of equal ids the row of least hash stays, the same one in every run.
     """
+    lean(docs.sparkSession)
     own = [docs["doc_id"].isNull(), docs["doc_id"].cast("long"), docs["text"].isNull(), docs["text"]]
     own += [docs[f.name] for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
     ha, hb = (F.xxhash64(F.lit(i), *own) for i in (0, 1))
     marked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), ha.alias("ha"), hb.alias("hb"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ha", "hb")).alias("first")
-    nodes = written(marked.mapInArrow(_fingerprinted, "doc_id long, ha long, hb long, fp long").groupBy("fp").agg(first), "nodes")
+    nodes = written(marked.mapInArrow(thrifty(_fingerprinted), "doc_id long, ha long, hb long, fp long").groupBy("fp").agg(first), "nodes")
     found = connected_components(near_links(nodes.select("fp", F.col("fp").alias("rep"))))
     grouped = nodes.join(found, nodes["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
     kept = grouped.select("first.ha", "first.hb")

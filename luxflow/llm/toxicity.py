@@ -7,7 +7,7 @@ class prior in it, and is kept from falling below zero.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, texts_of
+from .common import columns, texts_of, thrifty
 from .folds import held_out, share
 from .hashing import word_hashes
 
@@ -80,8 +80,8 @@ class ToxicityModel:
             down_u, down_p = su / unlabelled.n, -prior * sp / positive.n
             if negative >= 0:
                 pull_p, pull_u = up + down_p, down_u
-            else:  # below zero: that part's step is taken back
-                pull_p, pull_u = up - down_p, -down_u
+            else:  # below zero: only that part's step, and backwards
+                pull_p, pull_u = -down_p, -down_u
             grad = positive.grad(pull_p, size) + unlabelled.grad(pull_u, size)
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             step = rate / (1 + t / 200)
@@ -114,18 +114,23 @@ class ToxicityModel:
         return float(_sigmoid(np.float64(self.slope * z + self.shift)))
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for toxic, texts in columns(batches, "toxic", "text"):
-        for i in range(0, len(texts), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(toxic[i : i + 512], pa.int32()), pa.array([word_features(t).astype("<u8").tobytes() for t in texts[i : i + 512]])], ["toxic", "at"])
+def _feature_rows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for toxic, texts in columns(batches, "toxic", "text"):
+            for i in range(0, len(texts), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[i : i + 512], pa.int32()), pa.array([word_features(t)[:words].astype("<u8").tobytes() for t in texts[i : i + 512]])], ["toxic", "at"])
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000, checked: int = 6000) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000, checked: int = 6000, words: int = 2048) -> ToxicityModel | None:
     """A model from about that many toxic, unlabelled and labelled rows outside the held-out fold; None without toxic ones.
 
     The class prior is the toxic share of all labelled rows of that part. Rows are
     taken by their id's hash, so which ones, and how many, don't hang on the input's size;
-    of a labelled id that repeats, the text of least hash counts.
+    of a labelled id that repeats, the text of least hash counts, and of its labels the
+    largest: toxic once is toxic. At most `words` different words of a text are learnt
+    from, those of least hash, so what reaches the driver is bounded.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -138,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     picked = known.where(((F.col("toxic") == 1) & (draw < positives / n1)) | (draw < checked / n)).orderBy(F.xxhash64("doc_id", F.lit(2))).limit(2 * (positives + checked))
     marked = learn.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")  # bounded by the limit above
     plain = learn.where(share(F.struct("doc_id", F.length("text")), 1) < unlabelled / total).orderBy(F.xxhash64("doc_id", "text")).limit(2 * unlabelled).select("text", F.lit(-1).alias("toxic"))
-    rows = marked.unionAll(plain).select("toxic", "text").mapInArrow(_feature_rows, "toxic int, at binary").orderBy("toxic", F.xxhash64("at")).collect()
+    rows = marked.unionAll(plain).select("toxic", "text").mapInArrow(thrifty(_feature_rows(words)), "toxic int, at binary").orderBy("toxic", F.xxhash64("at")).collect()
     found: dict[int, list[np.ndarray]] = {-1: [], 0: [], 1: []}
     for r in rows:
         found[r["toxic"] if r["toxic"] in found else 0].append(np.frombuffer(bytes(r["at"]), "<u8").astype(np.uint64))
@@ -156,7 +161,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds:
     """(doc_id, held_out, score, predicted), one row per input row, from whole texts.
 
     Null texts are empty and score as a text without words. Without toxic labels to
-    learn from, every score is 0. Rows with a null doc_id aren't held out.
+    learn from, every score is 0. Rows with a null doc_id aren't held out. Labels that
+    contradict each other, or repeat, count as train says; null ones don't.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **bounds))
 
@@ -166,4 +172,4 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds:
             found = np.array([model.score(t) if model is not None else 0.0 for t in texts])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out_fold), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return texts_of(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts_of(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(thrifty(run), "doc_id long, held_out boolean, score double, predicted int")

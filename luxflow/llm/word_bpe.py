@@ -6,11 +6,10 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-from .common import trim
+from .common import WordCache, worker_held
 
 #: Split pattern and normaliser of the vocabulary that the fast way below repeats; other files take the library's way throughout.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -26,7 +25,7 @@ class WordBpe:
     split here; others go to the library whole.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 64 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -37,23 +36,23 @@ class WordBpe:
         letters, numbers = ("".join(re.escape(c) for c in _CHARS if unicodedata.category(c)[0] == k) for k in "LN")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
         self.odd = re.compile("[^\t-\r -~\xa0-ɏ]|İ").search
-        self.cache: dict[str, bytes] = {}
-        self.limit = cache
+        self.cache = WordCache(cache)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
-        trim(self.cache, self.limit)
         cache, whole = self.cache, [not self.known or self.odd(t) is not None for t in texts]
         split = [None if w else self.split(t.lower()) for t, w in zip(texts, whole, strict=True)]
         missing = list(set().union(*filter(None, split)) - cache.keys())
-        cache.update(zip(missing, self._library(missing), strict=True))
+        for i in range(0, len(missing), 20_000):
+            cache.add(missing[i : i + 20_000], self._library(missing[i : i + 20_000]))
         other = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [next(other) if s is None else b"".join(map(cache.__getitem__, s)) for s in split]
+        out = [next(other) if s is None else b"".join(map(cache.__getitem__, s)) for s in split]
+        cache.trim()
+        return out
 
 
-@lru_cache(maxsize=1)
 def word_bpe(path: str) -> WordBpe:
     """One per Python worker, so that its tasks share what they have encoded."""
-    return WordBpe(path)
+    return worker_held(("word_bpe", path), lambda: WordBpe(path))

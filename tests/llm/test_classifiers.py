@@ -67,3 +67,25 @@ def test_toxic_sample_of_repeated_ids_is_bounded(spark, monkeypatch):
             pass
     assert len(seen[0]) <= 1 + sum(i % 7 == 0 for i in range(10, 310))
     assert seen[0] == seen[1]
+
+
+def test_more_languages_than_a_short_list(spark):
+    """Every language has its share of the sample, however many there are, and which comes last in the alphabet makes no difference."""
+    rng = random.Random(11)
+    stems = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for k in range(30)}
+    rows = [(100 * k + i, words(rng, stems[lang], 30), lang) for k, lang in enumerate(stems) for i in range(40)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=600).collect()}
+    held = [(i, lang) for i, _, lang in rows if got[i].held_out]
+    assert sum(got[i].lang_pred == lang for i, lang in held) / len(held) > 0.9
+
+
+def test_labels_that_contradict(spark):
+    """A label is toxic if any row of its id says so, and a text's words beyond the bound are not learnt from."""
+    rng = random.Random(12)
+    rows = [(i, ("Grobnik " if i % 4 == 0 else "") + words(rng, EN, 30)) for i in range(600)]
+    lab = [(i, int(i % 4 == 0)) for i in range(400)] + [(i, 0) for i in range(0, 400, 8)]
+    d, both = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int")
+    once = spark.createDataFrame(lab[:400], "doc_id long, toxic int")
+    scores = [sorted((r.doc_id, r.score) for r in toxicity.score(d, x).collect()) for x in (both, once)]
+    assert scores[0] == scores[1]
+    assert len(toxicity.score(d, once, words=3).collect()) == 600

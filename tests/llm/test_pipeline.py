@@ -56,6 +56,8 @@ def test_stages(spark, tmp_path):
 def test_empty_and_clashing_names(spark):
     empty = spark.createDataFrame([], SCHEMA + ", key string, h int, copies int, c0 int, component_id int")
     rows = spark.createDataFrame([(1, "the shed ould", "en", "a", 3, "k", 1, 2, 3, 4), (1, "the shed ould", "en", "a", 3, "k", 1, 2, 3, 4), (None, "x", None, None, None, None, None, None, None, None)], empty.schema)
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, empty, "").collect() == [] and last(spark, rows, "").count() == 3
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, "").collect() == [], name
         got = stage(spark, rows, "")
