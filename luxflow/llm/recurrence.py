@@ -2,15 +2,21 @@
 
 A text is a run of units (bytes or words). Of each window of units the anchor is the
 k-gram of least hash in it, the leftmost of equals, so equal windows have the same
-anchor at the same place. Anchors are counted over all distinct texts. Round each that
-recurs, the text of the windows that it anchors (its context) is sent to the anchor's
-bucket, once for each task that meets it, and windows are compared exactly there. What
-is found for a context is joined to its occurrences, and only texts in which something
-was found are shuffled to have it removed.
+anchor at the same place. Anchors are counted over all distinct texts. The text round
+each one that recurs (the windows that it anchors: its context) is known by a 128-bit
+BLAKE2 digest; of the places with one digest, one sends the text to the anchor's bucket,
+and all windows of a bucket are compared there. What is found for a context is joined
+to its places, and only texts in which something was found are shuffled to have it
+removed.
+
+An anchor with over `hot` different contexts (a common line) would make one
+bucket too large. Each of its windows is a context of its own, with a bucket named by its
+digest, and goes through the same steps, so no bucket outgrows a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import texts_of, thrifty, written
 from .hashing import Spans, sliding_min
 
 #: Bits of a filter that every task gets: 16 MB, whatever the input.
@@ -71,9 +77,9 @@ def word_units(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndar
 class Batch:
     """Texts with their doc_ids and keys, the bytes of all, and their anchors in order.
 
-    Of an anchor: its hash, text, unit, the first window that it anchors and the one
-    after the last (counted from the text's start), its context's place in data and
-    hash; begin: where each text's units begin, of all.
+    Of an anchor: its bucket, text, unit, the first window that it anchors and the one
+    after the last (counted from the text's start), its context's place in data; begin:
+    where each text's units begin, of all.
     """
 
     docs: list[int]
@@ -89,12 +95,24 @@ class Batch:
     last: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    context: np.ndarray
 
     def only(self, hit: np.ndarray) -> Batch:
         """With those anchors only."""
-        names = ("text", "h", "unit", "first", "last", "low", "high", "context")
-        return replace(self, **{n: getattr(self, n)[hit] for n in names})
+        return replace(self, **{n: getattr(self, n)[hit] for n in ("text", "h", "unit", "first", "last", "low", "high")})
+
+    def digests(self) -> np.ndarray:
+        """Each context's 128-bit digest, as two numbers."""
+        data, made = self.data, hashlib.blake2b
+        raw = b"".join([made(data[a:b], digest_size=16).digest() for a, b in zip(self.low.tolist(), self.high.tolist(), strict=True)])
+        return np.frombuffer(raw, "<i8").reshape(-1, 2)
+
+    def windows(self, window: int) -> Batch:
+        """Each window as a context of its own, in a bucket named by its digest."""
+        which, local = spread(np.arange(len(self.h)), self.last - self.first)
+        text, first = self.text[which], self.first[which] + local
+        at = self.begin[text] + first
+        out = replace(self, text=text, unit=self.unit[which], first=first, last=first + 1, low=self.starts[at], high=self.ends[at + window - 1], h=self.h[which])
+        return replace(out, h=np.ascontiguousarray(out.digests()[:, 0]))
 
 
 def anchors(units: Units, docs: list[int], keys: list[bytes], texts: list[str]) -> Batch:
@@ -104,7 +122,7 @@ def anchors(units: Units, docs: list[int], keys: list[bytes], texts: list[str])
     owner = np.repeat(np.arange(len(texts)), count)
     inside = np.nonzero(owner[: max(n - reach, 0)] == owner[reach:])[0]
     if not len(inside):
-        return Batch(docs, keys, data, starts, ends, begin, *[np.empty(0, np.int64)] * 8)
+        return Batch(docs, keys, data, starts, ends, begin, *[np.empty(0, np.int64)] * 7)
     spans = Spans(np.frombuffer(data, np.uint8))
     keyed = spans.rough(starts[: n - units.gram + 1], ends[units.gram - 1 :]) & np.uint64(0xFFFFFFFF00000000)
     keyed |= np.arange(len(keyed), dtype=np.uint64)
@@ -116,7 +134,7 @@ def anchors(units: Units, docs: list[int], keys: list[bytes], texts: list[str])
     text = owner[first]
     low, high = starts[first], ends[last + units.window - 2]
     h = spans.of(starts[unit], ends[unit + units.gram - 1]).view(np.int64)
-    return Batch(docs, keys, data, starts, ends, begin, text, h, unit - begin[text], first - begin[text], last - begin[text], low, high, spans.of(low, high).view(np.int64))
+    return Batch(docs, keys, data, starts, ends, begin, text, h, unit - begin[text], first - begin[text], last - begin[text], low, high)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -131,8 +149,35 @@ def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in names), strict=True)
 
 
-def _met(batches: Iterator[pa.RecordBatch], units: Units, bits: np.ndarray | None = None, size: int = 1 << 16) -> Iterator[Batch]:
-    """The distinct texts of a task, about size characters at a time, with their anchors, or those in the filter.
+Filter = Callable[[], "np.ndarray | None"]
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """Which anchors a pass is after: those in the filter `inside`; with split, each of their windows, of those in the filter `windows`."""
+
+    inside: Filter = lambda: None
+    split: bool = False
+    windows: Filter = lambda: None
+
+    def here(self, window: int) -> Callable[[Batch], Batch]:
+        """The choice, in a task, which unpacks the filters once."""
+        inside, windows = self.inside(), self.windows()
+
+        def of(found: Batch) -> Batch:
+            if inside is not None:
+                found = found.only(np.nonzero(marked(inside, found.h))[0])
+            if self.split:
+                found = found.windows(window)
+                if windows is not None:
+                    found = found.only(np.nonzero(marked(windows, found.h))[0])
+            return found
+
+        return of
+
+
+def _met(batches: Iterator[pa.RecordBatch], units: Units, wanted: Wanted, size: int = 1 << 16) -> Iterator[Batch]:
+    """The distinct texts of a task, about size characters at a time, with their wanted anchors.
 
     A text comes again if a smaller doc_id has it; a null one counts as the largest.
     """
@@ -141,11 +186,7 @@ def _met(batches: Iterator[pa.RecordBatch], units: Units, bits: np.ndarray | Non
     keys: list[bytes] = []
     texts: list[str] = []
     total = 0
-
-    def made() -> Batch:
-        found = anchors(units, docs, keys, texts)
-        return found if bits is None else found.only(np.nonzero(marked(bits, found.h))[0])
-
+    chosen = wanted.here(units.window)
     for doc_id, key, text in _rows(batches, "doc_id", "key", "text"):
         doc = LAST if doc_id is None else doc_id
         if seen.get(key, LAST + 1) <= doc:
@@ -156,64 +197,79 @@ def _met(batches: Iterator[pa.RecordBatch], units: Units, bits: np.ndarray | Non
         texts.append(text)
         total += len(text)
         if total > size:
-            yield made()
+            yield chosen(anchors(units, docs, keys, texts))
             docs, keys, texts, total = [], [], [], 0
     if texts:
-        yield made()
+        yield chosen(anchors(units, docs, keys, texts))
 
 
-def recurring(texts: DataFrame, units: Units) -> DataFrame:
-    """(h) of the anchors in at least two distinct texts."""
+def counted(texts: DataFrame, units: Units, wanted: Wanted) -> DataFrame:
+    """(h) of the buckets met in two distinct texts, or twice in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _met(batches, units):
+        for found in _met(batches, units, wanted):
             order = np.lexsort((found.h, found.text))
             h, text = found.h[order], found.text[order]
             start = np.nonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]))[0] if len(h) else order
             keys = np.fromiter(map(key_hash, found.keys), np.int64, len(found.keys))
-            yield pa.RecordBatch.from_arrays([pa.array(h[start]), pa.array(keys[text[start]])], ["h", "key"])
+            times = np.diff(np.append(start, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[start]), pa.array(keys[text[start]]), pa.array(times > 1)], ["h", "key", "again"])
 
-    found = texts.select("doc_id", "key", "text").mapInArrow(run, "h long, key long")
-    return written(found.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h"), "recurring")
+    found = texts.select("doc_id", "key", "text").mapInArrow(thrifty(run), "h long, key long, again boolean")
+    made = found.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("again").alias("again"))
+    return made.where("a < b OR again").select("h")
 
 
-def met(texts: DataFrame, units: Units, bits: np.ndarray | None) -> DataFrame:
-    """(h, context, key, doc, first, last) of each anchor, or of those in the filter, of the distinct texts of each task; context is 64 bits of hash."""
-    held = sent_filter(texts.sparkSession, bits)
+def _mixed(context: np.ndarray, found: Batch) -> np.ndarray:
+    """A number for each place, by which the one that sends a context's text is chosen: it hangs on the context, the text and the document."""
+    x = np.fromiter(map(key_hash, found.keys), np.int64, len(found.keys)).view(np.uint64) + np.array(found.docs, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        x = (x[found.text] ^ context.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    return x.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _met(batches, units, held()):
-            keys, docs = pa.array(found.keys, pa.binary()), np.array(found.docs, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.h), pa.array(found.context), keys.take(pa.array(found.text)), pa.array(docs[found.text]), pa.array(found.first.astype(np.int32)), pa.array(found.last.astype(np.int32))], ["h", "context", "key", "doc", "first", "last"])
 
-    return texts.mapInArrow(run, "h long, context long, key binary, doc long, first int, last int")
+PLACES = "h long, c1 long, c2 long, key binary, doc long, first int, last int, number long"
 
 
-def contexts_met(texts: DataFrame, units: Units) -> DataFrame:
-    """(h, context, doc, times) of all anchors: each context of a text once."""
+def placed(texts: DataFrame, units: Units, wanted: Wanted) -> DataFrame:
+    """PLACES of the wanted anchors of the distinct texts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _met(batches, units):
+        for found in _met(batches, units, wanted):
             if not len(found.h):
                 continue
-            order = np.lexsort((found.context, found.h, found.text))
-            h, context, text = found.h[order], found.context[order], found.text[order]
-            start = np.nonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (text[1:] != text[:-1])]))[0]
-            docs = np.array(found.docs, np.int64)[text[start]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[start], context[start], docs, np.diff(np.append(start, len(h))))], ["h", "context", "doc", "times"])
+            c, keys, docs = found.digests(), pa.array(found.keys, pa.binary()), np.array(found.docs, np.int64)
+            c1, c2 = (np.ascontiguousarray(c[:, i]) for i in (0, 1))
+            columns = [pa.array(found.h), pa.array(c1), pa.array(c2), keys.take(pa.array(found.text)), pa.array(docs[found.text]), pa.array(found.first.astype(np.int32)), pa.array(found.last.astype(np.int32)), pa.array(_mixed(c1, found))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c1", "c2", "key", "doc", "first", "last", "number"])
 
-    return texts.mapInArrow(run, "h long, context long, doc long, times long")
+    return texts.mapInArrow(thrifty(run), PLACES)
 
 
-def profile(rows: DataFrame) -> DataFrame:
-    """(h, mixed, least, most, times, n) of each anchor in rows (h, context, doc, times).
+CONTEXTS = "h long, c1 long, c2 long, at int, least long, most long, times long, text binary"
 
-    times: in how many places of distinct texts of a task it is met; least and most: the
-    smallest and largest doc_id there; mixed: its contexts differ; n: a bound on their
-    number.
-    """
-    found = rows.groupBy("h").agg(F.min("context").alias("a"), F.max("context").alias("b"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.sum("times").alias("times"), F.count("*").alias("n"))
-    return found.select("h", (F.col("a") != F.col("b")).alias("mixed"), "least", "most", "times", "n")
+
+def sent(texts: DataFrame, units: Units, wanted: Wanted, numbers: Filter) -> DataFrame:
+    """CONTEXTS rows with the text of each context, from the place whose number is in the filter (or a few more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        senders = numbers()
+        for found in _met(batches, units, wanted):
+            if not len(found.h):
+                continue
+            c = found.digests()
+            hit = np.nonzero(marked(senders, _mixed(np.ascontiguousarray(c[:, 0]), found)))[0]
+            _, one = np.unique(np.column_stack([c[hit], found.h[hit]]), axis=0, return_index=True)  # once for each batch of texts
+            hit = hit[one]
+            own, c = found.only(hit), c[hit]
+            none = pa.nulls(len(hit), pa.int64())
+            body = pa.array([own.data[a:b] for a, b in zip(own.low.tolist(), own.high.tolist(), strict=True)], pa.binary())
+            columns = [pa.array(own.h), pa.array(np.ascontiguousarray(c[:, 0])), pa.array(np.ascontiguousarray(c[:, 1])), pa.array((own.unit - own.first).astype(np.int32)), none, none, none, body]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c1", "c2", "at", "least", "most", "times", "text"])
+
+    return texts.mapInArrow(thrifty(run), CONTEXTS)
 
 
 def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
@@ -243,69 +299,46 @@ def key_hash(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-CONTEXTS = "h long, context long, at int, least long, most long, times long, text binary"
+def decided(texts: DataFrame, units: Units, hot: int, compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(key, doc, start, end, before) of the runs of units that compare has found, in each text that has them.
 
+    compare: gets CONTEXTS rows sorted by h and context, and gives (h, c1, c2, a, b,
+    before) for runs of windows.
+    """
+    spark = texts.sparkSession
 
-def contexts(texts: DataFrame, units: Units, bits: np.ndarray) -> DataFrame:
-    """CONTEXTS rows: a task sends each context that it meets once, and at its end a row without text for it: in how many places it was met, and the smallest and largest doc_id there."""
-    held = sent_filter(texts.sparkSession, bits)
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["h", "context", "at", "least", "most", "times", "text"]
+    def filtered(hashes: DataFrame, column: str = "h") -> Filter:
+        return sent_filter(spark, bitmap(hashes, column))
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    def held(wanted: Wanted) -> tuple[DataFrame, DataFrame]:
+        places = written(placed(texts, units, wanted), "places")
+        return places, written(places.groupBy("h", "c1", "c2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("times"), F.min("number").alias("number")), "contexts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats: dict[tuple[int, int], list[int]] = {}
-        rows: list[tuple] = []
-        size = 0
-        for found in _met(batches, units, held()):
-            docs = [found.docs[i] for i in found.text.tolist()]
-            for h, context, doc, place, low, high in zip(found.h.tolist(), found.context.tolist(), docs, (found.unit - found.first).tolist(), found.low.tolist(), found.high.tolist(), strict=True):
-                own = stats.get((h, context))
-                if own is None:
-                    stats[h, context] = [doc, doc, 1]
-                    rows.append((h, context, place, None, None, None, found.data[low:high]))
-                    size += high - low
-                else:
-                    own[0], own[1], own[2] = min(own[0], doc), max(own[1], doc), own[2] + 1
-            if size > 4_000_000:
-                yield batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield batch(rows)
-        rows = [(*k, None, *v, None) for k, v in stats.items()]
-        stats.clear()
-        for i in range(0, len(rows), 50_000):
-            yield batch(rows[i : i + 50_000])
-
-    return texts.mapInArrow(run, CONTEXTS)
-
-
-def decided(texts: DataFrame, units: Units, found: DataFrame, places: DataFrame, hot: int, compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> tuple[DataFrame, list[int]]:
-    """(key, doc, start, end, before) of the runs of units to look at, and the mixed anchors of over hot contexts, which are left out.
-
-    found: profiles of the anchors that recur; places: met. Where all of an anchor's
-    contexts are the same, all its windows recur, first in the document `before`;
-    others' contexts go to compare, which gives (h, context, a, b, before) for runs of
-    windows.
-    """
-    often = [r["h"] for r in found.where(F.col("mixed") & (F.col("n") > hot)).select("h").collect()]  # at most the number of anchors over `hot`
-    mixed = found.where(F.col("mixed") & (F.col("n") <= hot))
-    sent = contexts(texts, units, bitmap(mixed, "h")).repartition("h").sortWithinPartitions("h")
-    runs = sent.mapInArrow(compare, "h long, context long, a int, b int, before long")
-    parts = places.join(runs, ["h", "context"]).select("key", "doc", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b")).alias("end"), "before")
-    whole = places.join(found.where("NOT mixed").select("h", F.col("least").alias("before")), "h")
-    return parts.unionAll(whole.select("key", "doc", F.col("first").alias("start"), (F.col("last") + F.lit(units.window - 1)).alias("end"), "before")), often
+    def compared(wanted: Wanted, places: DataFrame, stats: DataFrame) -> DataFrame:
+        body = sent(texts, units, wanted, filtered(stats, "number"))
+        blank = stats.select("h", "c1", "c2", F.lit(None).cast("int").alias("at"), "least", "most", "times", F.lit(None).cast("binary").alias("text"))
+        rows = body.unionAll(blank).repartition("h").sortWithinPartitions("h", "c1", "c2")
+        runs = rows.mapInArrow(thrifty(compare), "h long, c1 long, c2 long, a int, b int, before long")
+        return places.join(runs, ["h", "c1", "c2"]).select("key", "doc", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b")).alias("end"), "before")
+
+    plain = Wanted(inside=filtered(counted(texts, units, Wanted())))
+    places, stats = held(plain)
+    crowded = written(stats.groupBy("h").count().where(F.col("count") > hot).select("h"), "crowded")
+    if crowded.isEmpty():
+        return compared(plain, places, stats)
+    split = Wanted(inside=filtered(crowded), split=True)
+    split = replace(split, windows=filtered(counted(texts, units, split)))
+    return compared(plain, places, stats.join(crowded, "h", "left_anti")).unionAll(compared(split, *held(split)))
 
 
 @dataclass
 class Block:
-    """Distinct contexts of whole buckets: bucket number, anchor, hash, the anchor's place, text, smallest and largest doc_id, number of places."""
+    """Distinct contexts of whole buckets: bucket number, h and digest, the anchor's place, text, smallest and largest doc_id, number of places."""
 
     bucket: np.ndarray
     h: np.ndarray
-    context: np.ndarray
+    c1: np.ndarray
+    c2: np.ndarray
     at: np.ndarray
     text: list[bytes]
     least: np.ndarray
@@ -315,40 +348,42 @@ class Block:
     def batch(self, own: np.ndarray, a: np.ndarray, b: np.ndarray, before: np.ndarray | None) -> pa.RecordBatch:
         """What was found for contexts own."""
         last = pa.nulls(len(a), pa.int64()) if before is None else pa.array(before)
-        return pa.RecordBatch.from_arrays([pa.array(self.h[own]), pa.array(self.context[own]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), last], ["h", "context", "a", "b", "before"])
+        return pa.RecordBatch.from_arrays([pa.array(self.h[own]), pa.array(self.c1[own]), pa.array(self.c2[own]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), last], ["h", "c1", "c2", "a", "b", "before"])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Block]:
-    """Rows of CONTEXTS, sorted by h, as blocks of about limit bytes; buckets of one context met in one place hold nothing and are left out."""
-    kept: list[list] = []
-    bucket: dict[int, list] = {}
-    size, number, last = 0, 0, None
+    """Rows of CONTEXTS, sorted by h and digest, as blocks of about limit bytes; buckets of one context met in one place hold nothing and are left out."""
+    kept: list[tuple] = []
+    bucket: list[list] = []
+    size, number = 0, 0
 
     def close() -> None:
         nonlocal number, size
-        if len(bucket) > 1 or any(c[5] > 1 for c in bucket.values()):
-            kept.extend([number, last, context, *own] for context, own in ((k, v[1:]) for k, v in bucket.items()))
-            size += sum(len(c[2]) for c in bucket.values())
+        bucket[:] = [c for c in bucket if c[7]]  # a text may be sent that isn't asked for
+        if len(bucket) > 1 or any(c[7] > 1 for c in bucket):
+            kept.extend((number, *c) for c in bucket)
+            size += sum(len(c[4]) for c in bucket)
             number += 1
         bucket.clear()
 
     def cut() -> Block:
         columns = list(zip(*kept, strict=True))
         kept.clear()
-        return Block(*[np.array(c, np.int64) for c in columns[:4]], list(columns[4]), *[np.array(c, np.int64) for c in columns[5:]])
+        return Block(*[np.array(c, np.int64) for c in columns[:5]], list(columns[5]), *[np.array(c, np.int64) for c in columns[6:]])
 
-    for h, context, at, least, most, times, text in _rows(batches, "h", "context", "at", "least", "most", "times", "text"):
-        if h != last:
+    for h, c1, c2, at, least, most, times, text in _rows(batches, "h", "c1", "c2", "at", "least", "most", "times", "text"):
+        if bucket and bucket[-1][0] != h:
             close()
-            last = h
             if size > limit:
                 yield cut()
                 size, number = 0, 0
-        own = bucket.setdefault(context, [None, 0, b"", LAST, -LAST - 1, 0])
+        if not bucket or bucket[-1][1] != c1 or bucket[-1][2] != c2:
+            bucket.append([h, c1, c2, None, b"", LAST, -LAST - 1, 0])
+        own = bucket[-1]
         if text is not None:
-            own[1], own[2] = at, text
+            own[3], own[4] = at, text
         else:
-            own[3], own[4], own[5] = min(own[3], least), max(own[4], most), own[5] + times
+            own[5], own[6], own[7] = least, most, times
     close()
     if kept:
         yield cut()
@@ -380,29 +415,6 @@ def window_runs(mask: np.ndarray, value: np.ndarray, count: np.ndarray, window:
     return own[start], local[start], local[end] + window, value[start]
 
 
-def hot_windows(texts: DataFrame, units: Units, hot: list[int]) -> DataFrame:
-    """(w1, w2, key, doc, start) of each window that an anchor in hot anchors: two hashes of the window in place of its text."""
-    held = texts.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64)))  # anchors of over `hot` contexts each: few
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = held.value
-        for found in _met(batches, units):
-            found = found.only(np.nonzero(np.isin(found.h, wanted))[0])
-            if not len(found.h):
-                continue
-            which, local = spread(np.arange(len(found.h)), found.last - found.first)
-            start = found.first[which] + local
-            text = found.text[which]
-            at = found.begin[text] + start
-            raw = np.frombuffer(found.data, np.uint8)
-            low, high = found.starts[at], found.ends[at + units.window - 1]
-            w1, w2 = Spans(raw).of(low, high), Spans(raw[::-1]).of(len(raw) - high, len(raw) - low)
-            keys, docs = [found.keys[i] for i in text.tolist()], [found.docs[i] for i in text.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(start.astype(np.int32))], ["w1", "w2", "key", "doc", "start"])
-
-    return texts.mapInArrow(run, "w1 long, w2 long, key binary, doc long, start int")
-
-
 def affected(texts: DataFrame, spans: DataFrame, per_doc: bool) -> DataFrame:
     """(key, least, copies, spans) of the texts in which spans were found or that occur in several rows.
 
@@ -438,4 +450,4 @@ def split_by(texts: DataFrame, bits: np.ndarray, schema, passed: Callable[[pa.Re
             rows = batch.filter(pa.array(inside if passed is None else ~inside))
             yield rows if passed is None else passed(rows)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(thrifty(run), schema)

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .recurrence import Units, affected, bitmap, blocks, decided, hot_windows, joined_words, key_bits, keyed_texts, merged, met, profile, recurring, split_by, window_runs, word_units
+from .common import thrifty
+from .recurrence import Units, affected, blocks, decided, joined_words, key_bits, keyed_texts, merged, split_by, window_runs, word_units
 
-WINDOW, GRAM, HOT, BLOCK = 13, 4, 20_000, 1_000_000
+WINDOW, GRAM, HOT, BLOCK = 13, 4, 4_000, 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,19 +112,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     Each word in a window of `window` words that also starts in a document of smaller
     doc_id goes. Of documents with one text, all but that of the smallest id have all
     their windows in it; texts of fewer words than a window stay. A null doc_id counts
-    as larger than any other. Anchors with over `hot` different contexts are not sent to one
-    bucket: their windows are grouped by 128 bits of hash instead.
+    as larger than any other. Of an anchor with over `hot` contexts each window has an
+    automaton's bucket of its own.
     """
     units = Units(word_units, window, gram)
     texts = keyed_texts(docs)
-    places = written(met(texts, units, bitmap(recurring(texts, units), "h")), "places")
-    found = written(profile(places.withColumn("times", F.lit(1))).where("least < most"), "profiles")
-    spans, often = decided(texts, units, found, places, hot, _found(window, block))
-    spans = spans.where("before < doc").drop("before")
-    if often:
-        held = hot_windows(texts, units, often)
-        least = held.groupBy("w1", "w2").agg(F.min("doc").alias("before"))
-        spans = spans.unionAll(held.join(least, ["w1", "w2"]).where("before < doc").select("key", "doc", "start", (F.col("start") + window).alias("end")))
+    spans = decided(texts, units, hot, _found(window, block)).where("before < doc").drop("before")
     changed = affected(texts, spans, per_doc=True)
     keys = key_bits(changed)
 
@@ -138,7 +131,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
 
     copy = F.when(F.col("doc_id").isNull(), F.col("least").isNotNull()).otherwise(F.col("doc_id") > F.col("least"))
     rest = split_by(texts, keys, texts.schema, None).join(changed, "key", "left").select("doc_id", copy.alias("copy"), "spans", "text")
-    return split_by(texts, keys, SCHEMA, whole).unionAll(rest.mapInArrow(cut, SCHEMA))
+    return split_by(texts, keys, SCHEMA, whole).unionAll(rest.mapInArrow(thrifty(cut), SCHEMA))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .recurrence import Units, affected, bitmap, blocks, byte_units, contexts_met, decided, hot_windows, key_bits, keyed_texts, merged, met, profile, split_by, spread, window_runs
+from .common import thrifty
+from .recurrence import Units, affected, blocks, byte_units, decided, key_bits, keyed_texts, merged, split_by, window_runs
 
-WINDOW, GRAM, HOT, BLOCK = 400, 64, 20_000, 1_000_000
+WINDOW, GRAM, HOT, BLOCK = 400, 64, 4_000, 1_000_000
 
 #: Every difference modulo 7 is one of two of these.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -101,11 +101,7 @@ def _found(window: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit):
             count = np.fromiter(map(len, block.text), np.int64, len(block.text)) - window + 1
-            mask = np.repeat(block.times > 1, count)
-            mixed = np.nonzero((np.bincount(block.bucket) > 1)[block.bucket])[0]  # a bucket's only context recurs as a whole or not at all
-            if len(mixed):
-                start, local = spread((np.cumsum(count) - count)[mixed], count[mixed])
-                mask[start + local] = recurs([block.text[i] for i in mixed.tolist()], block.at[mixed], block.bucket[mixed], block.times[mixed], window)
+            mask = recurs(block.text, block.at, block.bucket, block.times, window)
             own, a, b, _ = window_runs(mask, np.zeros(len(mask), np.int8), count, window)
             yield block.batch(own, a, b, None)
 
@@ -126,16 +122,8 @@ def _left(text: str | None, copies: int, spans: list[dict] | None, window: int)
 
 def _changed(texts: DataFrame, window: int, gram: int, hot: int, block: int) -> DataFrame:
     """(key, copies, spans) of the texts that lose bytes."""
-    units = Units(byte_units, window, gram)
-    found = written(profile(contexts_met(texts, units)).where("times > 1"), "profiles")
-    places = written(met(texts, units, bitmap(found, "h")), "places")
-    spans, often = decided(texts, units, found, places, hot, _found(window, block))
-    spans = spans.select("key", "start", "end")
-    if often:
-        held = hot_windows(texts, units, often).select("w1", "w2", "key", "start").distinct()
-        again = held.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1")
-        spans = spans.unionAll(held.join(again, ["w1", "w2"], "left_semi").select("key", "start", (F.col("start") + window).alias("end")))
-    return affected(texts, spans, per_doc=False).select("key", "copies", "spans")
+    spans = decided(texts, Units(byte_units, window, gram), hot, _found(window, block))
+    return affected(texts, spans.select("key", "start", "end"), per_doc=False).select("key", "copies", "spans")
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -152,9 +140,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     Each byte in a string of `window` bytes of one document that also starts elsewhere,
     in it or another, goes; all occurrences do. n_spans: maximal removed runs. Null texts
     are empty; of texts that occur as they are in several rows all bytes go, unless
-    shorter than window. window is 14 at least, and not 2 modulo 7. Anchors with over
-    `hot` different contexts are not sent to one bucket: their windows are grouped by 128 bits of
-    hash instead.
+    shorter than window. window is 14 at least, and not 2 modulo 7. Of an anchor with
+    over `hot` contexts each window is sorted in a bucket of its own.
     """
     texts = keyed_texts(docs)
     changed = _changed(texts, window, gram, hot, block)
@@ -169,7 +156,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
             yield _batch(rows.column("doc_id"), [_left(t, c or 1, s, window) for t, c, s in zip(*columns, strict=True)])
 
     rest = split_by(texts, keys, texts.schema, None).join(changed, "key", "left").select("doc_id", "copies", "spans", "text")
-    return split_by(texts, keys, SCHEMA, whole).unionAll(rest.mapInArrow(cut, SCHEMA))
+    return split_by(texts, keys, SCHEMA, whole).unionAll(rest.mapInArrow(thrifty(cut), SCHEMA))
 
 
 def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -197,7 +184,7 @@ def clean(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else held.column(f"c{i}") for i in range(len(columns))], columns)
 
     rest = split_by(tagged, keys, tagged.schema, None).join(changed, "key", "left").select(*[f"c{i}" for i in range(len(columns))], "copies", "spans")
-    return split_by(tagged, keys, docs.schema, whole).unionAll(rest.mapInArrow(cut, docs.schema))
+    return split_by(tagged, keys, docs.schema, whole).unionAll(rest.mapInArrow(thrifty(cut), docs.schema))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -66,3 +66,28 @@ def test_blocks_are_sorted_suffixes(window):
 
 def test_empty(spark):
     assert suffix_dedup.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def thue_morse(a, b, n):
+    out = a + b
+    while len(out) < n:
+        out += out.translate(bytes.maketrans(a + b, b + a))
+    return out[:n]
+
+
+def test_texts_that_collide_in_polynomial_hashes_stay(spark):
+    """Thue-Morse patterns and their swaps have equal polynomial hashes modulo 2^64 for any base."""
+    rng = random.Random(5)
+    middle = bytes(rng.choice(b"abcdefgh") for _ in range(64))
+    one, two = thue_morse(b"-", b"Y", 256), thue_morse(b"Y", b"-", 256)
+    rows = [(0, (one + middle + one).decode()), (1, (two + middle + two).decode())]
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in got} == {0: (576, 0), 1: (576, 0)}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(600_000))
+    rows = [(0, long), (1, "x" * 300 + long[250_000:250_700] + "y" * 300), (2, long[:399])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (600_000, 700, 1), 1: (1300, 700, 1), 2: (399, 0, 0)}
