@@ -44,7 +44,7 @@ def test_top_is_exact(spark, vectors, monkeypatch):
     assert rows_of(topk.top(table(spark, vectors))) == want
     real = vector_search.search
     monkeypatch.setattr(topk, "search", lambda *a, **b: real(*a, **b, shard=200, block=10))
-    assert rows_of(topk.top(table(spark, vectors))) == want
+    assert rows_of(topk.top(table(spark, vectors).repartition(3))) == want
 
 
 def test_ann_recall_and_scores(spark, vectors, monkeypatch):
@@ -73,3 +73,44 @@ def test_few_and_none(spark):
     assert [b for _, b, _ in got[0]] == [3, 4]
     assert topk.top(table(spark, x).limit(0)).count() == 0
     assert ann.nearest(table(spark, x).limit(0)).count() == 0
+
+
+def test_shards_and_leaves_are_pruned(vectors):
+    """Of vectors in groups, few are scored, and the recall holds."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((40, 64))[rng.integers(0, 40, 8000)] + 0.3 * rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    space, q = ann.Projected(64, 1.0 + 1e-9), x[::20]
+    index = []
+
+    class Seen(vector_search.KdTree):
+        def __init__(self, *a):
+            super().__init__(*a)
+            index.append(self)
+
+    keep, vector_search.KdTree = vector_search.KdTree, Seen
+    try:
+        places = vector_search.best_first(space, x, q, np.full(len(q), -np.inf), 21)
+    finally:
+        vector_search.KdTree = keep
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(places.tolist(), want.tolist(), strict=True)]) >= 0.9
+    assert index[0].verified < 0.2 * len(q) * len(x)
+
+
+def test_repeated_ids_wide_numbers_and_extra_columns(spark):
+    rows = [(0, [3.0e6, 1.0]), (0, [1.0, 1.0]), (50, [2.0, 7.0]), (7, [9.0e12, 1.0]), (7, [9.0e12, 1.0]), (8, [9.0e12, 2.0])]
+    df = spark.createDataFrame([(i, v, "x", 1, 2, 0.5) for i, v in rows], "vec_id long, embedding array<double>, shard string, query long, floor int, score double")
+    got = rows_of(topk.top(df))
+    q = {0: [256, 256], 50: [512, 1792], 7: [int(9.0e12) * 256, 256], 8: [int(9.0e12) * 256, 512]}  # of id 0 the least vector
+    for i in (0, 50):
+        s = sorted((-(q[i][0] * v[0] + q[i][1] * v[1]), j) for j, v in q.items() if j != i)
+        assert got[i] == [(r + 1, j, min(-a, 2**63 - 1)) for r, (a, j) in enumerate(s)]
+
+
+def test_one_vector_for_a_third_of_all(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 8))
+    x[:200] = x[0]
+    want = brute(x, np.arange(600), 50, 5, lambda x: np.floor(x * 256))
+    assert rows_of(topk.top(table(spark, x))) == want
