@@ -4,8 +4,8 @@ Strict patterns give the base spans. They, and looser candidates, are voted on b
 labelers (pattern and check digits, gazetteers, context words, borders, variety of
 characters). Expectation-maximisation on the table of vote patterns estimates each
 labeler's reliability, and the posteriors train a logistic span classifier, whose
-weights become literals of the final expression. Candidates that it is sure of, and
-that a context word backs, join the base spans.
+weights become literals of the final expression. Candidates that it is sure of join the
+base spans.
 
 The vote patterns are a table whose size is bounded by the labelers, not the input;
 only that table reaches the driver.
@@ -134,7 +134,7 @@ def _candidates(kind: str, loose: bool, text: Column, guard: Column) -> Column:
         else:
             strict = F.when(base, 1).otherwise(0)
         known = F.lit(-1) if loose and kind in ("phone", "ip") else F.when((_digits(x) if kind == "card" else x).rlike(GAZETTEERS[kind]), 1).otherwise(0)
-        context = F.when(around.rlike(CONTEXT[kind]), 1).otherwise(-1)
+        context = F.when(around.rlike(CONTEXT[kind]), 1).otherwise(0 if loose else -1)  # where no strict pattern speaks for it, no word nearby speaks against it
         border = F.when(f["before"].rlike(r"[\w@/\\=-]$") | f["after"].rlike(r"^[\w@/\\=]"), 0).otherwise(1)
         variety = F.when(F.size(F.array_distinct(F.split(F.substring(x, 1, 64), ""))) >= 5, 1).otherwise(0)
         size = F.when(F.length(x) < 12, 0).when(F.length(x) < 20, 1).when(F.length(x) < 32, 2).otherwise(3)
@@ -171,25 +171,34 @@ class SpanModel:
 _FEATURES = (*VOTES, "size")
 
 
-def train(annotated: DataFrame, rounds: int = 40) -> SpanModel:
-    """Expectation-maximisation over vote patterns, then logistic regression on the posteriors."""
+def train(annotated: DataFrame, rounds: int = 40, prior: float = 0.5, right: float = 0.85, belief: float = 0.2) -> SpanModel:
+    """Expectation-maximisation over vote patterns, then logistic regression on the posteriors.
+
+    prior, the share of candidates that are personal data, is held fixed: where labelers
+    seldom disagree the votes don't tell it, and an estimate of it runs off to 0 or 1.
+    Labelers are believed to be right with probability `right` beforehand, as much as
+    `belief` of the candidates would tell.
+    """
     table = annotated.select(F.explode("pii").alias("c")).groupBy("c.kind", *[f"c.{f}" for f in _FEATURES]).agg(F.count("*").alias("n")).collect()  # at most 4 kinds x 3^5 votes x 4 sizes
+    return fit([r.asDict() for r in table], rounds, prior, right, belief)
+
+
+def fit(table: list[dict], rounds: int = 40, prior: float = 0.5, right: float = 0.85, belief: float = 0.2) -> SpanModel:
+    """As train, of the table of vote patterns: kind, a value for each feature, and n."""
     weights, reliability = {}, {}
     for kind in sorted({r["kind"] for r in table}):
         rows = sorted((tuple(r[f] for f in _FEATURES), r["n"]) for r in table if r["kind"] == kind)
         votes, n = np.array([r[0][: len(VOTES)] for r in rows]), np.array([r[1] for r in rows], float)
         cast = votes >= 0
-        post = np.where(cast.any(axis=1), (votes == 1).sum(axis=1) / np.maximum(cast.sum(axis=1), 1), 0.5)
+        held = belief * n.sum()
+        yes, no = np.full(len(VOTES), right), np.full(len(VOTES), 1 - right)
         for _ in range(rounds):
-            prior = np.clip((n * post).sum() / n.sum(), 0.02, 0.98)
-            share = []
-            for p in (post, 1 - post):
-                w = (n * p)[:, None] * cast
-                share.append(((w * (votes == 1)).sum(axis=0) + 1) / (w.sum(axis=0) + 2))
-            yes, no = np.clip(share[0], 0.05, 0.98), np.clip(share[1], 0.02, 0.95)
-            yes = np.maximum(yes, no)  # no labeler is held to vote the wrong way round
             odds = np.log(prior / (1 - prior)) + np.where(cast, np.where(votes == 1, np.log(yes / no), np.log((1 - yes) / (1 - no))), 0).sum(axis=1)
             post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            w, v = (n * post)[:, None] * cast, (n * (1 - post))[:, None] * cast
+            yes = ((w * (votes == 1)).sum(axis=0) + held * right) / (w.sum(axis=0) + held)
+            no = ((v * (votes == 1)).sum(axis=0) + held * (1 - right)) / (v.sum(axis=0) + held)
+            yes, no = np.clip(yes, 0.02, 0.98), np.clip(no, 0.02, 0.98)
         reliability[kind] = {v: (float(a), float(b)) for v, a, b in zip(VOTES, yes, no, strict=True)}
         names = sorted({f"{f}={v}" for r, _ in rows for f, v in zip(_FEATURES, r, strict=True)})
         x = np.array([[1.0] + [float(name in {f"{f}={v}" for f, v in zip(_FEATURES, r, strict=True)}) for name in names] for r, _ in rows])
@@ -206,7 +215,11 @@ def train(annotated: DataFrame, rounds: int = 40) -> SpanModel:
 
 
 def decide(annotated: DataFrame, model: SpanModel, sure: float = 0.9) -> DataFrame:
-    """annotated with `base` and `spans`: arrays of (kind, s, e), by kind and start."""
+    """annotated with `base` and `spans`: arrays of (kind, s, e), by kind and start.
+
+    spans: the base's, and the candidates that the classifier gives `sure` or more, unless
+    they overlap a base span.
+    """
     weights = F.create_map(*[F.lit(x) for kind, own in model.weights.items() for name, w in own.items() for x in (f"{kind}:{name}", w)]) if model.weights else None
 
     def accepted(c: Column) -> Column:
@@ -215,11 +228,11 @@ def decide(annotated: DataFrame, model: SpanModel, sure: float = 0.9) -> DataFra
         z = F.coalesce(weights[F.concat_ws(":", c["kind"].cast("string"), F.lit(""))], F.lit(-30.0))
         for f in _FEATURES:
             z = z + F.coalesce(weights[F.concat(c["kind"].cast("string"), F.lit(f":{f}="), c[f].cast("string"))], F.lit(0.0))
-        return (1 / (1 + F.exp(-z)) >= sure) & (c["strict"] == -1) & (c["context"] == 1) & (c["border"] == 1)
+        return 1 / (1 + F.exp(-z)) >= sure
 
     plain = lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
     base = F.filter("pii", lambda c: c["base"])
-    more = F.when(F.exists("pii", lambda c: c["strict"] == -1), F.filter("pii", lambda c: ~c["base"] & accepted(c)))
+    more = F.when(F.exists("pii", lambda c: ~c["base"]), F.filter("pii", lambda c: ~c["base"] & accepted(c)))
     out = annotated.withColumn("more", F.coalesce(F.transform(more, plain), F.array().cast("array<struct<kind:int,s:int,e:int>>"))).withColumn("base", F.transform(base, plain)).drop("pii")
     free = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     return out.withColumn("spans", F.when(F.size("more") > 0, F.array_sort(F.array_distinct(F.concat("base", free)))).otherwise(F.col("base"))).drop("more")

@@ -60,6 +60,19 @@ def test_added_spans_need_context(spark):
     assert all(rows[i].spans == "" for i in range(200, 250))
 
 
+def test_classifier_decides(spark):
+    """The same candidates, by another model: what was added goes, what was left out comes."""
+    texts = [f"please call phone 555-{i:03d}-{i * 7 % 10000:04d} today" for i in range(100, 160)] + [f"number {i}55-123-4567 " for i in range(10, 40)] + [f"write to a{i}@b{i}.com" for i in range(20)]
+    held = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    model = pii.train(held)
+    added = lambda m: {r.doc_id for r in pii.decide(held, m).collect() if len(r.spans) > len(r.base)}
+    assert added(model) <= set(range(60)) and len(added(model)) >= 55  # 555-150-1050 has too few different characters
+    turned = pii.SpanModel({k: {n: -v for n, v in w.items()} for k, w in model.weights.items()}, model.reliability)
+    assert added(turned) != added(model)
+    sure = pii.SpanModel({k: {"": 9.0} for k in model.weights}, model.reliability)
+    assert added(sure) == set(range(90))
+
+
 def test_redact_keeps_the_rest(spark):
     rows = [(1, "é a@b.com, 10.0.0.1!", "en", None), (2, None, None, "k"), (3, "plain", "en", "k"), (3, "plain", "en", "k")]
     got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, lang string, spans string"))
