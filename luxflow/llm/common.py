@@ -76,25 +76,28 @@ def chunked(items: Iterator[tuple[str, int]], limit: int) -> Iterator[list]:
 
 
 class WordCache(dict):
-    """Words and their ids, bounded in bytes: when over the limit, long words, which seldom come again, go first."""
+    """Words and their ids, about `limit` bytes of them: when half of that is full it becomes the older half, from which words that come again are taken over."""
 
-    def __init__(self, limit: int, short: int = 8):
-        self.limit, self.short, self.size = limit, short, 0
+    def __init__(self, limit: int):
+        self.limit, self.size, self.older = limit, 0, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those of words that neither half holds; those of the older half are taken over."""
+        new = words - self.keys()
+        again = new & self.older.keys()
+        self.add(list(again), list(map(self.older.__getitem__, again)))
+        return list(new - again)
 
     def add(self, words: list[str], ids: list[bytes]) -> None:
         self.update(zip(words, ids, strict=True))
-        self.size += sum(map(sys.getsizeof, words)) + sum(map(sys.getsizeof, ids)) + 100 * len(words)  # and a place in the table
+        self.size += len("".join(words)) + len(b"".join(ids)) + 190 * len(words)  # two objects' heads and a place in the table
 
     def trim(self) -> None:
-        """To be called after the batch that was added to it has been read."""
-        if self.size <= self.limit:
-            return
-        kept = {w: x for w, x in self.items() if len(w) <= self.short}
-        self.clear()
-        self.size = 0
-        words = list(kept)
-        if sum(map(sys.getsizeof, words)) + sum(sys.getsizeof(x) for x in kept.values()) + 100 * len(words) <= self.limit // 2:
-            self.add(words, list(kept.values()))
+        """To be called when the batch that was added to it has been read."""
+        if self.size > self.limit // 2:
+            self.older = dict(self)
+            self.clear()
+            self.size = 0
 
 
 _HELD: dict[tuple, object] = {}

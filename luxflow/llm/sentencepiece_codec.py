@@ -26,7 +26,7 @@ SPACE = "▁"
 class Codec:
     """Encodes and decodes as the sentencepiece library does for a BPE model with identity normalisation."""
 
-    def __init__(self, path: str, cache: int = 48 << 20):
+    def __init__(self, path: str, cache: int = 64 << 20):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         if sp.normalize("a éﬁ  b") != f"{SPACE}a{SPACE}éﬁ{SPACE}{SPACE}b":
@@ -138,7 +138,7 @@ class Codec:
         """Ids without begin and end, little-endian unsigned 32-bit, of each text."""
         split = [self.words.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         cache = self.cache
-        missing = list(set().union(*split) - cache.keys())
+        missing = cache.missing(set().union(*split))
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
             cache.add(part, self.merge_words(part))

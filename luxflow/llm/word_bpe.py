@@ -25,7 +25,7 @@ class WordBpe:
     split here; others go to the library whole.
     """
 
-    def __init__(self, path: str, cache: int = 64 << 20):
+    def __init__(self, path: str, cache: int = 96 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -44,7 +44,7 @@ class WordBpe:
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         cache, whole = self.cache, [not self.known or self.odd(t) is not None for t in texts]
         split = [None if w else self.split(t.lower()) for t, w in zip(texts, whole, strict=True)]
-        missing = list(set().union(*filter(None, split)) - cache.keys())
+        missing = cache.missing(set().union(*filter(None, split)))
         for i in range(0, len(missing), 20_000):
             cache.add(missing[i : i + 20_000], self._library(missing[i : i + 20_000]))
         other = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
