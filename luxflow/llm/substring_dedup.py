@@ -7,7 +7,9 @@ of all documents, is streamed through its shard to find each occurrence.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import ahocorasick
 import numpy as np
@@ -16,17 +18,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import thrifty
-from .recurrence import Units, affected, blocks, decided, joined_words, key_bits, keyed_texts, merged, split_by, window_runs, word_units
+from .recurrence import Units, affected, blocks, decided, joined_words, key_bits, keyed_texts, merged, split_by, spread, window_runs, word_units
 
 WINDOW, GRAM, HOT, BLOCK = 13, 4, 4_000, 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
+#: Words from one gram of a window to the next, and characters of a gram in the automata.
+STRIDE, LETTERS = 3, 3
 
-def _coded(words: np.ndarray) -> str:
-    """Three characters for each word's number, of an alphabet of their own each, so that matches start at words; -1: a separator."""
-    out = np.empty((len(words), 3), "<u4")
-    out[:, 0], out[:, 1], out[:, 2] = 0x100 + (words & 127), 0x200 + (words >> 7 & 127), 0x300 + (words >> 14)
-    out[words < 0] = 0x10FFFF
+
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    """The number of the `width` words from each place on; equal words, and only they, have equal numbers."""
+    out, done = words, 1
+    while done < width:
+        step = min(done, width - done)
+        out = np.unique(out[:-step] << 32 | out[step:], return_inverse=True)[1]
+        done += step
+    return out
+
+
+def _coded(symbols: np.ndarray) -> str:
+    """LETTERS characters for each number, of an alphabet of their own each, so that matches start at symbols; -1: a separator."""
+    base = 2
+    while base**LETTERS <= int(symbols.max(initial=0)):
+        base += 1
+    out, rest = np.empty((len(symbols), LETTERS), "<u4"), symbols
+    for k in range(LETTERS):
+        out[:, k], rest = 0x100 + k * base + rest % base, rest // base
+    out[symbols < 0] = 0x10FFFF
     return out.tobytes().decode("utf-32-le")
 
 
@@ -34,21 +53,30 @@ def first_docs(texts: list[bytes], docs: np.ndarray, several: np.ndarray, window
     """Per window of each text (words joined by spaces), one after another: the smallest of docs among the texts that hold it.
 
     several: the text is in more than one document. Windows that don't recur get their own text's.
+    The automaton reads a window as the few word grams, STRIDE words apart, that just cover
+    it; a text is as many streams of grams as there are words in a stride.
     """
-    number: dict[bytes, int] = {}
+    number: dict[bytes, int] = defaultdict(count().__next__)
     split = [t.split(b" ") for t in texts]
     size = np.fromiter(map(len, split), np.int64, len(split))
-    words = np.full(int(size.sum()) + len(split), -1, np.int64)
-    start = np.cumsum(size + 1) - size - 1
-    inside = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    words[inside] = np.fromiter((number.setdefault(w, len(number)) for s in split for w in s), np.int64, len(inside))
-    count = size - window + 1
-    place = np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    own = np.repeat(np.arange(len(texts)), count)
+    words = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+    stride = min(STRIDE, window)
+    length = window // stride
+    width = window - stride * (length - 1)
+    gram = _grams(words, width)
+    begin, grams, windows = np.cumsum(size) - size, size - width + 1, size - window + 1
+    own, local = spread(np.arange(len(texts)), grams)
+    of = gram[begin[own] + local]
+    phase = local % stride
+    at = (np.cumsum(grams + stride) - grams - stride)[own] + phase * (grams // stride)[own] + np.minimum(phase, (grams % stride)[own]) + phase + local // stride
+    stream = np.full(int((grams + stride).sum()), -1, np.int64)  # a separator after each phase of each text
+    stream[at] = of
+    place = at[local < windows[own]]
+    own = np.repeat(np.arange(len(texts)), windows)
     with np.errstate(over="ignore"):
         mixed = np.zeros(len(place), np.uint64)
-        for j in range(window):
-            mixed = (mixed + words[place + j].astype(np.uint64) + np.uint64(1)) * _FACTOR
+        for j in range(length):
+            mixed = (mixed + stream[place + j].astype(np.uint64) + np.uint64(1)) * _FACTOR
             mixed ^= mixed >> np.uint64(31)
     _, one, group, times = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
     confirmed = times > 1
@@ -57,17 +85,22 @@ def first_docs(texts: list[bytes], docs: np.ndarray, several: np.ndarray, window
     out = docs[own].copy()
     if not len(phrases):
         return out
-    text = _coded(words)
+    used = np.unique(stream[phrases[:, None] + np.arange(length)])
+    rank = np.searchsorted(used, stream)
+    met = used[np.minimum(rank, len(used) - 1)] == stream
+    text = _coded(np.where(met, rank, -1))  # a gram that no phrase has separates, too
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, p in enumerate((phrases * 3).tolist()):
-        automaton.add_word(text[p : p + 3 * window], i)
+    for i, p in enumerate((phrases * LETTERS).tolist()):
+        automaton.add_word(text[p : p + LETTERS * length], i)
     automaton.make_automaton()
     hits = np.fromiter((end << 32 | phrase for end, phrase in automaton.iter(text)), np.int64)
-    where, phrase = (hits >> 32) // 3 - window + 1, hits & 0xFFFFFFFF
-    at = np.searchsorted(place, where)  # windows are in the order of their places
+    where, phrase = (hits >> 32) // LETTERS - length + 1, hits & 0xFFFFFFFF
+    row = np.full(len(stream), -1, np.int64)
+    row[place] = np.arange(len(place))
+    found = row[where]
     least = np.full(len(phrases), np.iinfo(np.int64).max)
-    np.minimum.at(least, phrase, docs[own[at]])
-    out[at] = least[phrase]
+    np.minimum.at(least, phrase, docs[own[found]])
+    out[found] = least[phrase]
     return out
 
 
