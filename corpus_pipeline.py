@@ -32,8 +32,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that still occur more than once go; documents of which nothing is left go with them. Empty and null texts stay."""
-    return recounted(suffix_dedup.clean(docs))
+    """Strings of 400 bytes and passages of 50 words that still occur more than once go; documents of which nothing is left go with them. Empty and null texts stay."""
+    return recounted(suffix_dedup.clean(docs, words=50))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(kept["pii"])
 
 
+def test_short_passages_of_many_words(spark):
+    """Passages of over 50 words that take fewer than 400 bytes go, those of fewer words stay."""
+    rng = random.Random(9)
+    long, short = words(rng, ["a", "be", "sea"], 55), words(rng, ["a", "be", "sea"], 45)
+    assert len(long) < 400
+    rows = [(i, " ".join([words(rng, EN, 80), long.replace(" ", "\n", i), words(rng, EN, 80)]), "en", "s", 0) for i in range(3)]
+    rows += [(10 + i, " ".join([words(rng, EN, 80), short, words(rng, EN, 80)]), "en", "s", 0) for i in range(3)]
+    stage = dict(corpus_pipeline.STAGES)["suffix_array_dedup"]
+    got = {r.doc_id: r for r in stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    for i, text, *_ in rows:
+        left = " ".join(got[i].text.split())
+        assert left == " ".join(text.split()).replace(long + " ", "") and got[i].n_chars == len(got[i].text)
+        assert (short in left) == (i >= 10)
+
+
 def test_empty_and_clashing_names(spark):
     empty = spark.createDataFrame([], SCHEMA + ", key string, h int, copies int, c0 int, component_id int")
     rows = spark.createDataFrame([(1, "the shed ould", "en", "a", 3, "k", 1, 2, 3, 4), (1, "the shed ould", "en", "a", 3, "k", 1, 2, 3, 4), (None, "x", None, None, None, None, None, None, None, None)], empty.schema)

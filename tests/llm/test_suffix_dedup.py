@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -91,3 +92,39 @@ def test_very_long_text(spark):
     rows = [(0, long), (1, "x" * 300 + long[250_000:250_700] + "y" * 300), (2, long[:399])]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: (600_000, 700, 1), 1: (1300, 700, 1), 2: (399, 0, 0)}
+
+
+def brute_clean(rows, window, words):
+    """Rows that stay, with the bytes left: without strings of `window` bytes and passages of `words` words that recur."""
+    data = [(t or "").encode() for _, t in rows]
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", x)] for x in data]
+    strings = Counter(x[i : i + window] for x in data for i in range(len(x) - window + 1))
+    passages = Counter(tuple(x[a:b] for a, b in f[i : i + words]) for x, f in zip(data, found, strict=True) for i in range(len(f) - words + 1))
+    out = []
+    for (d, t), x, f in zip(rows, data, found, strict=True):
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x) - window + 1):
+            if strings[x[i : i + window]] > 1:
+                gone[i : i + window] = True
+        covered = {j for i in range(len(f) - words + 1) if passages[tuple(x[a:b] for a, b in f[i : i + words])] > 1 for j in range(i, i + words)}
+        for j in covered:
+            gone[f[j][0] : f[j + 1][0] if j + 1 in covered else f[j][1]] = True
+        kept = bytes(b for b, g in zip(x, gone, strict=True) if not g).decode("utf-8", "ignore")
+        if not gone.any() or kept.strip():
+            out.append((d if d is not None else -1, kept if gone.any() else t))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("options", [{"window": 60, "gram": 12, "words": 9}, {"window": 60, "gram": 12, "words": 9, "block": 300}, {"window": 41, "gram": 10, "words": 8, "hot": 3}, {"window": 400, "gram": 64, "words": 50}])
+def test_passages_of_words_against_brute_force(spark, options):
+    rng = random.Random(options["words"])
+    text = lambda n: "".join(rng.choice(["ab", "c", "dé", "the", "of"]) + rng.choice([" ", " ", "\n", "  "]) for _ in range(n))
+    respaced = lambda t: re.sub(r"\s+", lambda m: rng.choice([" ", "\t", "\n\n"]), t)
+    words = options["words"]
+    passages = [text(n) for n in (words - 1, words, words + 1, 2 * words)]
+    rows = [(i, text(rng.randrange(1, 2 * words)) + respaced(rng.choice(passages)) + text(rng.randrange(0, words))) for i in range(80)]
+    rows += [(100 + i, passages[i]) for i in range(4)] + [(200, "  " + passages[3] + " " + passages[2]), (201, rows[3][1]), (202, "x " * 3 * words), (203, "y" * 900), (204, None), (205, " "), (205, " "), (None, passages[1]), (206, text(words)), (207, rows[4][1])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, words int").repartition(3)
+    got = [(r.doc_id if r.doc_id is not None else -1, r.text) for r in suffix_dedup.clean(df, **options).collect()]
+    assert sorted(got, key=repr) == brute_clean(rows, options["window"], words)
