@@ -12,16 +12,21 @@ from . import files
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, value): the lines of a text file with their dense place in it.
+    """(idx, value): the lines of a text file, or of a folder's or pattern's files by name, with their dense place in it.
 
-    Partitions of a file scan follow the file, so a line's place is its place in its
-    partition, which needs no shuffle, plus the lines of the partitions before.
+    A scan deals files and blocks of files over partitions by size, not in order. Lines of
+    one block stay together, so a line's place is its place in its block, which needs no
+    shuffle, plus the lines of the blocks before. Blocks are counted by a scan of their
+    own; if that one cut or dealt them otherwise, it is an error.
     """
-    raw = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    sizes = raw.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return raw.withColumn("_part", part).join(F.broadcast(before), "_part").select((F.col("_before") + place).alias("idx"), "value")  # a row for each partition
+    meta = {"_file": "_metadata.file_path", "_start": "_metadata.file_block_start", "_length": "_metadata.file_block_length"}
+    raw = spark.read.text(path).select("value", *[F.col(c).alias(n) for n, c in meta.items()], F.monotonically_increasing_id().alias("_id"))
+    block = ["_part", *meta]
+    raw = raw.withColumn("_part", F.shiftright("_id", 33))
+    sizes = raw.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = sizes.select(*block, (F.sum("_n").over(Window.orderBy("_file", "_start")) - F.col("_n") - F.col("_first")).alias("_before"))
+    moved = F.raise_error(F.concat(F.lit("blocks of a text file were dealt otherwise when they were counted: "), F.col("_file"))).cast("long")
+    return raw.join(F.broadcast(before), block, "left").select(F.coalesce(F.col("_before") + F.col("_id"), moved).alias("idx"), "value")  # a row for each block
 
 
 def fields(value: Column, pattern: str = r"\s+") -> Column:

@@ -260,3 +260,31 @@ def test_layouts(tmp_path):
     assert layout.dsec_sequence(str(tmp_path), "s1")["events"].endswith("train_events/s1/events")
     (tmp_path / "c.yaml").write_text("%YAML:1.0\na: {b: [1, 2]}\n")
     assert layout.yaml_calibration(str(tmp_path / "c.yaml")) == {"a": {"b": [1, 2]}}
+
+
+@pytest.mark.parametrize("cut", ["128m", "100"])
+def test_lines_keep_the_order_of_names_whatever_their_files_sizes(spark, tmp_path, cut):
+    """A scan takes the largest files and blocks first."""
+    want, at = [], 0
+    for k, n in enumerate([3, 40, 0, 7, 90, 1]):
+        (tmp_path / f"part-{k:05d}.txt").write_text("".join(f"{(at + i) / 8} {at + i}\n" for i in range(n)))
+        want += range(at, at + n)
+        at += n
+    spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert rows(text.lines(spark, str(tmp_path)), "idx", "value") == [(i, f"{i / 8} {i}") for i in want]
+        assert rows(text.read_timestamps(spark, str(tmp_path)), "idx", "t") == [(i, i / 8) for i in want]
+        assert rows(text.read_rows(spark, str(tmp_path), 2), "idx", "row") == [(i, [i / 8, float(i)]) for i in want]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_davis_events_of_several_files_do_not_fall(spark, tmp_path):
+    (tmp_path / "events.txt").mkdir()
+    for k, n in enumerate([2, 50, 5]):
+        (tmp_path / "events.txt" / f"part-{k:05d}.txt").write_text("# new file\n" + "".join(f"{k}.{i:03d} {i} 1 1\n" for i in range(n)))
+    held = recording.davis(spark, str(tmp_path))
+    assert rows(held.events, "idx", "x") == list(enumerate([*range(2), *range(50), *range(5)]))
+    assert held.index_to_time(-1) == 2_004_000
