@@ -316,12 +316,8 @@ def src24_flow_archives(spark, d):
         k, y, x = np.mgrid[0:40, 0:4, 0:5].astype(float)
         return {"x_flow_dist": k * 100 + y * 10 + x + int(rows["file"].iloc[0]), "y_flow_dist": y - x, "timestamps": np.arange(40) / 2}
 
-    out = None
-    for n, path in enumerate(_archives(spark, d, arrays, packed=True)):
-        held = rasters.read_npz_flow(spark, path).cache()
-        one = rasters.flow_pixels(held).join(held.select("frame", "t"), "frame").select(F.lit(n).cast("long").alias("file"), "frame", "t", "y", "x", "fx", "fy")
-        out = one if out is None else out.unionByName(one)
-    return out
+    held = rasters.read_npz_flow(spark, _archives(spark, d, arrays, packed=True))
+    return rasters.flow_pixels(held, "recording", "t").select(file_of(), "frame", "t", "y", "x", "fx", "fy")
 
 
 @query(f"WITH {DEALT} SELECT file, i AS idx, t_us::DOUBLE AS t, x::DOUBLE AS px, y::DOUBLE AS py FROM ev")

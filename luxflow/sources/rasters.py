@@ -197,39 +197,69 @@ class _Member:
         return np.frombuffer(raw, self.dtype).reshape(high - low, *self.shape[1:])
 
 
-def read_npz_flow(spark: SparkSession, path: str, x: str = "x_flow_dist", y: str = "y_flow_dist", t: str = "timestamps", block: int = 16) -> DataFrame:
-    """(frame, t, height, width, fx, fy) of an archive of flow frames, one row per frame; a task reads blocks of frames out of the archive's members."""
-    members = npz_members(path)
-    n = _Member(path, members[t]).shape[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _npz_blocks(spark: SparkSession, paths: list[str], key: str, block: int) -> DataFrame:
+    """(recording, low, high) of blocks of an array's rows; tasks open the archives, so the plan and the driver's work are as small for many as for one."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in batch.column(0).to_pylist():
-                high = min(n, low + block)
-                fx, fy, times = (_Member(path, members[k]).rows(low, high) for k in (x, y, t))
-                h, w = fx.shape[1:]
-                flat = [pa.FixedSizeListArray.from_arrays(pa.array(a.astype(np.float32).ravel()), h * w).cast(pa.list_(pa.float32())) for a in (fx, fy)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array(times.astype(float)), pa.array(np.full(high - low, h, np.int32)), pa.array(np.full(high - low, w, np.int32)), *flat], ["frame", "t", "height", "width", "fx", "fy"])
+            for path in batch.column(0).to_pylist():
+                n = _Member(path, npz_members(path)[key]).shape[0]
+                low = np.arange(0, n, block)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(low), pa.string()), pa.array(low), pa.array(np.minimum(low + block, n))], ["recording", "low", "high"])
+
+    listed = spark.createDataFrame([(p,) for p in paths], "recording string").mapInArrow(find, "recording string, low long, high long")
+    return listed.repartition(4 * spark.sparkContext.defaultParallelism, "recording", "low")  # a number, as so few bytes would be coalesced to one task
 
-    return spark.range(0, n, block).mapInArrow(run, "frame long, t double, height int, width int, fx array<float>, fy array<float>")
 
+def _blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[str, int, int, list[_Member]]]:
+    """Blocks with their archive's members, which are opened once for blocks that follow one another."""
+    last, held = None, []
+    for batch in batches:
+        for path, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if path != last:
+                members = npz_members(path)
+                last, held = path, [_Member(path, members[k]) for k in keys]
+            yield path, low, high, held
 
-def read_npz_rows(spark: SparkSession, path: str, columns: dict[str, str], block: int = 1 << 16) -> DataFrame:
-    """(idx, name...) of an archive of equally long arrays, such as odometry: scalars as double, rows as array<double>; read by tasks in blocks."""
-    members = npz_members(path)
-    shapes = {name: _Member(path, members[key]).shape for name, key in columns.items()}
-    n = next(iter(shapes.values()))[0]
-    if any(s[0] != n for s in shapes.values()):
-        raise ValueError(f"arrays differ in length in {path}")
-    schema = "idx long, " + ", ".join(f"{name} {'double' if len(s) == 1 else 'array<double>'}" for name, s in shapes.items())
 
+def read_npz_flow(spark: SparkSession, paths: str | list[str], x: str = "x_flow_dist", y: str = "y_flow_dist", t: str = "timestamps", block: int = 16) -> DataFrame:
+    """(frame, t, height, width, fx, fy) of an archive of flow frames, one row per frame, or of a list of archives with `recording` before; a task reads blocks of frames out of the archives' members."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in batch.column(0).to_pylist():
-                held = [_Member(path, members[key]).rows(low, min(n, low + block)).astype(float) for key in columns.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, min(n, low + block))), *map(_rows_of, held)], ["idx", *columns])
+        for path, low, high, members in _blocks_of(batches, [x, y, t]):
+            fx, fy, times = (m.rows(low, high) for m in members)
+            h, w = fx.shape[1:]
+            flat = [pa.FixedSizeListArray.from_arrays(pa.array(a.astype(np.float32).ravel()), h * w).cast(pa.list_(pa.float32())) for a in (fx, fy)]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * (high - low)), pa.array(np.arange(low, high)), pa.array(times.astype(float)), pa.array(np.full(high - low, h, np.int32)), pa.array(np.full(high - low, w, np.int32)), *flat], ["recording", "frame", "t", "height", "width", "fx", "fy"])
+
+    found = _npz_blocks(spark, [paths] if isinstance(paths, str) else paths, t, block).mapInArrow(run, "recording string, frame long, t double, height int, width int, fx array<float>, fy array<float>")
+    return found.drop("recording") if isinstance(paths, str) else found
+
+
+def read_npz_rows(spark: SparkSession, paths: str | list[str], columns: dict[str, str], block: int = 1 << 16) -> DataFrame:
+    """(idx, name...) of an archive of equally long arrays, such as odometry, or of a list of archives with `recording` before: scalars as double, rows as array<double>; read by tasks in blocks.
+
+    What is a scalar is told by the first archive; another that differs, or whose arrays differ in length, is an error.
+    """
+    listed, keys = [paths] if isinstance(paths, str) else paths, list(columns.values())
+    flat = {}
+    if listed:
+        members = npz_members(listed[0])
+        shapes = {name: _Member(listed[0], members[key]).shape for name, key in columns.items()}
+        if len({s[0] for s in shapes.values()}) > 1:
+            raise ValueError(f"arrays differ in length in {listed[0]}")
+        flat = {name: len(s) == 1 for name, s in shapes.items()}
+    schema = "recording string, idx long, " + ", ".join(f"{name} {'double' if flat.get(name, True) else 'array<double>'}" for name in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, low, high, members in _blocks_of(batches, keys):
+            if any(m.shape[0] != members[0].shape[0] for m in members):
+                raise ValueError(f"arrays differ in length in {path}")
+            if any((len(m.shape) == 1) != f for m, f in zip(members, flat.values(), strict=True)):
+                raise ValueError(f"arrays differ in shape in {path}")
+            held = [m.rows(low, high).astype(float) for m in members]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * (high - low)), pa.array(np.arange(low, high)), *map(_rows_of, held)], ["recording", "idx", *columns])
 
-    return spark.range(0, n, block).mapInArrow(run, schema)
+    found = _npz_blocks(spark, listed, keys[0], block).mapInArrow(run, schema)
+    return found.drop("recording") if isinstance(paths, str) else found
 
 
 def _rows_of(a: np.ndarray) -> pa.Array:
@@ -241,10 +271,10 @@ def _rows_of(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(a).ravel()))
 
 
-def flow_pixels(flows: DataFrame) -> DataFrame:
-    """(frame, y, x, fx, fy) of flow frames."""
-    at = flows.select("frame", "width", F.posexplode(F.arrays_zip("fx", "fy")).alias("k", "v"))
-    return at.select("frame", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), F.col("v.fx").alias("fx"), F.col("v.fy").alias("fy"))
+def flow_pixels(flows: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, frame, y, x, fx, fy) of flow frames."""
+    at = flows.select(*keep, "frame", "width", F.posexplode(F.arrays_zip("fx", "fy")).alias("k", "v"))
+    return at.select(*keep, "frame", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), F.col("v.fx").alias("fx"), F.col("v.fy").alias("fy"))
 
 
 def read_hdf5(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], rows: int = 1_000_000) -> DataFrame:

@@ -288,3 +288,19 @@ def test_davis_events_of_several_files_do_not_fall(spark, tmp_path):
     held = recording.davis(spark, str(tmp_path))
     assert rows(held.events, "idx", "x") == list(enumerate([*range(2), *range(50), *range(5)]))
     assert held.index_to_time(-1) == 2_004_000
+
+
+def test_npz_of_many_archives_in_one_plan(spark, tmp_path):
+    """The plan doesn't grow with the archives."""
+    paths = [str(tmp_path / f"{k}.npz") for k in range(40)]
+    for k, path in enumerate(paths):
+        np.savez_compressed(path, x_flow_dist=np.full((3, 1, 2), k), y_flow_dist=np.zeros((3, 1, 2)), timestamps=np.arange(3.0), pos=np.full((3, 2), k))
+    flows = rasters.read_npz_flow(spark, paths, block=2)
+    got = {(r.recording, r.frame, r.t, r.x, r.fx) for r in rasters.flow_pixels(flows, "recording", "t").collect()}
+    assert got == {(path, f, float(f), x, float(k)) for k, path in enumerate(paths) for f in range(3) for x in range(2)}
+    held = rasters.read_npz_rows(spark, paths, {"t": "timestamps", "pos": "pos"}, block=2)
+    assert {(r.recording, r.idx, r.t, tuple(r.pos)) for r in held.collect()} == {(path, i, float(i), (float(k),) * 2) for k, path in enumerate(paths) for i in range(3)}
+    assert len(held._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    np.savez(paths[7], timestamps=np.arange(3.0), pos=np.ones((2, 2)))
+    with pytest.raises(Exception, match="differ in length"):
+        held.collect()
