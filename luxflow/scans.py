@@ -323,12 +323,8 @@ def src24_flow_archives(spark, d):
 @query(f"WITH {DEALT} SELECT file, i AS idx, t_us::DOUBLE AS t, x::DOUBLE AS px, y::DOUBLE AS py FROM ev")
 def src25_odometry_archives(spark, d):
     arrays = lambda rows: {"timestamps": rows["t_us"].to_numpy(float), "pos": np.stack([rows["x"], rows["y"]], axis=1).astype(float)}
-    out = None
-    for n, path in enumerate(_archives(spark, d, arrays, packed=False)):
-        one = rasters.read_npz_rows(spark, path, {"t": "timestamps", "position": "pos"})
-        one = one.select(F.lit(n).cast("long").alias("file"), "idx", "t", F.col("position")[0].alias("px"), F.col("position")[1].alias("py"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = rasters.read_npz_rows(spark, _archives(spark, d, arrays, packed=False), {"t": "timestamps", "position": "pos"})
+    return rows.select(file_of(), "idx", "t", F.col("position")[0].alias("px"), F.col("position")[1].alias("py"))
 
 
 # --- a whole recording ----------------------------------------------------------------------
