@@ -6,7 +6,7 @@ width) and (height, width); models are looked up by name in an explicit registry
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -189,20 +189,22 @@ def voxel_windows(windows: DataFrame, height: int, width: int, bins: int, by: Se
     return cells.select(*by, "window", "bin", "y", "x", F.when(std > 0, (F.col("value") - mean) / std).otherwise(F.lit(0.0)).alias("value"))
 
 
-def voxels(t: np.ndarray, x: np.ndarray, y: np.ndarray, p: np.ndarray, bins: int, ends: tuple[int, int]) -> tuple[np.ndarray, ...]:
-    """bin, y, x and value of one window's voxels as voxel_windows makes them, from its events and the window's first and last time."""
+def voxels(pieces: Callable[[], Iterable[np.ndarray]], bins: int, height: int, width: int, ends: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """bin, y, x and value of one window's voxels as voxel_windows makes them, from pieces of its events (t, x, y, p), which are gone through twice, and the window's first and last time."""
     length = ends[1] - ends[0] or 1
-    place = (bins - 1) * (t - ends[0]) / length
-    low = place.astype(np.int64)
-    sign = np.where(p, 1.0, -1.0)
-    at = np.concatenate([low, low + 1])
-    value = np.concatenate([sign * (1 - (place - low)), sign * (place - low)])
-    cells = np.stack([at, np.tile(y, 2), np.tile(x, 2)], axis=1)[at < bins]
-    found, group = np.unique(cells, axis=0, return_inverse=True)
-    total = np.bincount(group.ravel(), value[at < bins], len(found))
-    found, total = found[total != 0], total[total != 0]
+    grid = np.zeros(bins * height * width)
+    for above in (0, 1):
+        for e in pieces():
+            e = e[(e["x"] >= 0) & (e["x"] < width) & (e["y"] >= 0) & (e["y"] < height)]
+            place = (bins - 1) * (e["t"] - ends[0]) / length
+            low = place.astype(np.int64)
+            value = np.where(e["p"], 1.0, -1.0) * (place - low if above else 1 - (place - low))
+            inside = low + above < bins
+            np.add.at(grid, (((low + above) * height + e["y"]) * width + e["x"])[inside], value[inside])
+    found = np.flatnonzero(grid)
+    total = grid[found]
     std = total.std() if len(total) else 0.0
-    return found[:, 0], found[:, 1], found[:, 2], (total - total.mean()) / std if std > 0 else np.zeros(len(total))
+    return *np.unravel_index(found, (bins, height, width)), (total - total.mean()) / std if std > 0 else np.zeros(len(total))
 
 
 def sharpened(images: DataFrame, height: int, width: int, amount: float, sigma: float = 1.0, by: Sequence[str] = ()) -> DataFrame:

@@ -55,3 +55,29 @@ def test_streamed_images_are_those_of_the_whole(spark, tmp_path):
         image = frames.step(*(part[c].to_numpy() for c in ("bin", "y", "x", "value")))
         want |= {(int(number), y, x): image[y, x] for y in range(3) for x in range(4)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_batch_of_any_size_is_held_in_pieces(monkeypatch):
+    monkeypatch.setattr(live, "ROWS", 100)
+    shaken = rows(1000, 4).sample(frac=1, random_state=1)
+    pieces = list(live.ordered(iter([shaken[k : k + 30] for k in range(0, 1000, 30)])))
+    assert max(map(len, pieces)) <= 100
+    assert pd.concat(pieces).equals(rows(1000, 4)[["idx", "t_us", "x", "y", "p"]])
+    assert len(next(live.ordered(iter([shaken[:70]])))) == 70
+
+
+def test_an_unfinished_slice_stays_out_of_the_state(tmp_path, monkeypatch):
+    import pickle
+
+    from luxflow.operators import reconstruction
+
+    monkeypatch.setattr(live, "HELD", 100)
+    waiting, small, data = live.Waiting(str(tmp_path)), live.Waiting(str(tmp_path)), rows(2000, 5)
+    for k in range(0, 2000, 40):
+        waiting.add(data[k : k + 40])
+    assert len(pickle.dumps(waiting)) < 10_000 and len(waiting.paths) > 10
+    monkeypatch.setattr(live, "HELD", 5000)
+    small.add(data)
+    assert not small.paths and small.ends == waiting.ends == (data["t_us"].min(), data["t_us"].max())
+    for got, want in zip(*(reconstruction.voxels(w.pieces, 3, 3, 4, w.ends) for w in (waiting, small)), strict=True):
+        assert np.array_equal(got, want)
