@@ -80,12 +80,22 @@ def slice_counts(events: DataFrame, slice_us: int) -> DataFrame:
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("idx", kind="stable")
-        t0, now = state.get if state.exists else (int(rows["t_us"].iloc[0]), 0)
-        own = ((rows["t_us"] - t0) // slice_us).clip(lower=now).cummax()
-        state.update((t0, int(own.iloc[-1])))
-        counted = rows.assign(slice=own, on=rows["p"].astype("int64"), off=(~rows["p"].astype(bool)).astype("int64")).groupby(["slice", "y", "x"], as_index=False)[["on", "off"]].sum()
-        yield counted.assign(recording=key[0])[["recording", "slice", "y", "x", "on", "off"]]
+        t0, now = state.get if state.exists else (None, 0)
+        open_: pd.DataFrame | None = None  # counts of the current slice so far
+
+        def counts(made: pd.DataFrame) -> pd.DataFrame:
+            return made.groupby(["slice", "y", "x"], as_index=False)[["on", "off"]].sum()
+
+        for rows in ordered(parts):
+            t0 = int(rows["t_us"].iloc[0]) if t0 is None else t0
+            own = ((rows["t_us"] - t0) // slice_us).clip(lower=now).cummax()
+            now = int(own.iloc[-1])
+            made = counts(rows.assign(slice=own, on=rows["p"].astype("int64"), off=(~rows["p"].astype(bool)).astype("int64")))
+            made = made if open_ is None else counts(pd.concat([open_, made]))
+            done, open_ = made[made["slice"] < now], made[made["slice"] == now]
+            yield done.assign(recording=key[0])[["recording", "slice", "y", "x", "on", "off"]]
+        state.update((t0, now))
+        yield open_.assign(recording=key[0])[["recording", "slice", "y", "x", "on", "off"]]
 
     return events.groupBy("recording").applyInPandasWithState(step, SLICES, _STATE, "append", GroupStateTimeout.NoTimeout)
 
