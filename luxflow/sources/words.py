@@ -1,4 +1,4 @@
-"""Codec words and records as a data source whose partitions are byte ranges, so one huge recording is read by many tasks.
+"""Codec words and records as a data source whose partitions are byte ranges, so one huge recording is read by many tasks and many small ones by few.
 
 format("luxflow_words") gives (recording, i, v): 16-bit little-endian words after an
 EVT3 header. format("luxflow_records") gives (recording, i, b0..b4): 5-byte records.
@@ -17,12 +17,35 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators import decode
 from . import files
 
-RANGE = 32 << 20
+#: Bytes of a range, and tasks over which smaller ranges are dealt.
+RANGE, TASKS = 32 << 20, 64
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int, first: int):
-        self.path, self.start, self.end, self.first = path, start, end, first
+class Ranges(InputPartition):
+    """Byte ranges of one task: (path, start, end, number of the first word)."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]):
+        self.parts = parts
+
+
+def dealt(ranges: list[tuple[str, int, int, int]], tasks: int = TASKS) -> list[Ranges]:
+    """Ranges in order, dealt by bytes over no more than `tasks` tasks, or as many as have RANGE bytes each; those of a task that follow one another in a file are one."""
+    total = sum(end - start for _, start, end, _ in ranges)
+    share = total / min(len(ranges), max(tasks, -(-total // RANGE))) if ranges else 1
+    out: list[Ranges] = []
+    before, last = 0, None
+    for path, start, end, first in ranges:
+        at = int(before / share)
+        before += end - start
+        if at != last:
+            out.append(Ranges([]))
+            last = at
+        held = out[-1].parts
+        if held and held[-1][0] == path and held[-1][2] == start:
+            held[-1] = (path, held[-1][1], end, held[-1][3])
+        else:
+            held.append((path, start, end, first))
+    return out
 
 
 def evt3_header(data: bytes) -> tuple[int, dict[str, str]]:
@@ -53,25 +76,25 @@ class _Reader(DataSourceReader):
     def header(self, path: str) -> int:
         return evt3_header(files.read(path, 0, 1 << 16))[0]
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         out = []
         for path in self.path.split(","):
             low = self.header(path)
             high = low + (files.size(path) - low) // self.width * self.width  # an odd rest at the end is dropped
-            out += [Range(path, at, min(at + self.span, high), (at - low) // self.width) for at in range(low, high, self.span)]
-        return out or [Range("", 0, 0, 0)]
+            out += [(path, at, min(at + self.span, high), (at - low) // self.width) for at in range(low, high, self.span)]
+        return dealt(out) or [Ranges([])]
 
     def arrays(self, raw: bytes) -> list[pa.Array]:
         return [pa.array(np.frombuffer(raw, "<u2").astype(np.int32))]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         step = (1 << 20) // self.width * self.width
-        for at in range(partition.start, partition.end, step):
-            raw = files.read(partition.path, at, min(step, partition.end - at))
-            first = partition.first + (at - partition.start) // self.width
-            n = len(raw) // self.width
-            columns = self.arrays(raw)
-            yield pa.RecordBatch.from_arrays([pa.array([partition.path] * n), pa.array(np.arange(first, first + n)), *columns], ["recording", "i", *self.fields])
+        for path, start, end, number in partition.parts:
+            for at in range(start, end, step):
+                raw = files.read(path, at, min(step, end - at))
+                first = number + (at - start) // self.width
+                n = len(raw) // self.width
+                yield pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.array(np.arange(first, first + n)), *self.arrays(raw)], ["recording", "i", *self.fields])
 
     fields = ("v",)
 

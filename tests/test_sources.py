@@ -304,3 +304,24 @@ def test_npz_of_many_archives_in_one_plan(spark, tmp_path):
     np.savez(paths[7], timestamps=np.arange(3.0), pos=np.ones((2, 2)))
     with pytest.raises(Exception, match="differ in length"):
         held.collect()
+
+
+def test_tasks_of_byte_ranges_grow_with_bytes_only():
+    small = [(f"{k}.raw", at, at + 1000, at // 2) for k in range(3000) for at in range(0, 16_000, 1000)]
+    parts = words.dealt(small)
+    assert len(parts) == words.TASKS
+    assert [(p, at, at + 1000, at // 2) for t in parts for p, low, high, first in t.parts for at in range(low, high, 1000)] == small
+    assert all(first == low // 2 for t in parts for _, low, _, first in t.parts)
+    assert max(sum(high - low for _, low, high, _ in t.parts) for t in parts) < 2 * 48_000_000 / words.TASKS
+    large = [("a.raw", at, at + words.RANGE, at // 2) for at in range(0, 500 * words.RANGE, words.RANGE)]
+    assert [t.parts for t in words.dealt(large)] == [[r] for r in large]
+    assert [t.parts for t in words.dealt(small[:3])] == [[r] for r in small[:3]]
+    assert words.dealt([]) == []
+
+
+def test_many_recordings_are_read_by_few_tasks(spark, tmp_path):
+    paths = [evt3(tmp_path / f"{k}.raw", [0x8000, 0x6000 + k, 1, 0x2000 + k]) for k in range(100)]
+    spark.dataSource.register(words.Words)
+    raw = spark.read.format("luxflow_words").option("range", 2).load(",".join(paths))
+    assert raw.rdd.getNumPartitions() <= words.TASKS
+    assert {(r.recording, r.i, r.v) for r in raw.collect()} == {(p, i, v) for k, p in enumerate(paths) for i, v in enumerate([0x8000, 0x6000 + k, 1, 0x2000 + k])}
