@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 BUCKET, FRAMES = 1 << 18, 200_000
 
 
-def _span(events: DataFrame, t: str) -> int | float:
-    """Width of a bucket of time in which about BUCKET events are, so dense recordings have short buckets."""
+def _span(events: DataFrame, t: str, probes: DataFrame | None = None) -> int | float:
+    """Width of a bucket of time in which about BUCKET events and probes are, so dense recordings and many probes of few events have short buckets. Probes may have any times, so the events' range is what is cut."""
     n, low, high = events.agg(F.count("*"), F.min(t), F.max(t)).first()
     if not n or high == low:
         return 1
+    if probes is not None:
+        n += probes.agg(F.count(t)).first()[0]
     width = (high - low) / (n // BUCKET + 1)
     return max(1, int(width) + 1) if isinstance(low, int) else width * (1 + 1e-9)
 
@@ -25,13 +27,13 @@ def as_of(probes: DataFrame, events: DataFrame, probe_id: str = "probe_id", t: s
 
     events: (idx, t), idx dense and in time order. Of events at one time only the last
     idx matters, so they are aggregated first. Times and probes meet in buckets of
-    `span` time units, by default such that a bucket has about BUCKET events; what a
-    bucket starts from is a table of one row per bucket. Probes carry their columns
+    `span` time units, by default such that a bucket has about BUCKET events and
+    probes; what a bucket starts from is a table of one row per bucket. Probes carry their columns
     along and are shuffled once. around: also `t_left` and `t_right`, the times of that
     event and of the next one.
     """
     if span is None:
-        span = _span(events, t)
+        span = _span(events, t, probes)
     first = 0 if strict else 2  # before or after events of the same time
     row = F.struct(*[probes[c] for c in probes.columns])
     none = F.lit(None).cast(probes.select(row.alias("r")).schema["r"].dataType)

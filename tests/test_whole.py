@@ -75,3 +75,22 @@ def test_frames_by_broadcast_and_by_join_agree(spark):
     few, many = (sorted((r.idx, r.frame_idx) for r in temporal.in_frames(dense, frames, limit).collect()) for limit in (10, 3))
     assert few == many and len(few) == sum(r.t_us < 8000 for r in ordered)
     assert temporal.in_frames(dense, frames.limit(0)).count() == 0
+
+
+def test_many_probes_of_few_events_spread_over_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from luxflow.operators import temporal
+
+    monkeypatch.setattr(temporal, "BUCKET", 100)
+    events = spark.range(20).select(F.col("id").alias("idx"), (F.col("id") * 1000).alias("t_us"))
+    probes = spark.range(5000).select(F.col("id").alias("probe_id"), F.when(F.col("id") > 0, F.col("id") * 4).otherwise(1 << 60).alias("t_us"))
+    spans, step = [], temporal._span
+    monkeypatch.setattr(temporal, "_span", lambda *a: spans.append(step(*a)) or spans[-1])
+    got = temporal.as_of(probes, events, strict=False, around=True).collect()
+    most = probes.groupBy(F.floor(F.col("t_us") / spans[0])).count().agg(F.max("count")).first()[0]
+    assert most <= 150
+    for r in got:
+        at = min(r.t_us // 1000, 19)
+        assert (r.at, r.t_left, r.t_right) == (at, at * 1000, (at + 1) * 1000 if at < 19 else None)
+    assert len(got) == 5000
